@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wicker.llm import cooccurrence, distinctiveness
+from wicker.llm import cooccurrence, distinctiveness, split_overlap
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +17,10 @@ def queries() -> dict[str, Query]:
         "p2_pairs": cooccurrence.pairs,
         "p5_found": distinctiveness.found,
         "p5_weights": distinctiveness.weights,
+        "p7_found": split_overlap.found,
+        "p7_report": split_overlap.report,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**cooccurrence.SQL, **distinctiveness.SQL}
+    return {**cooccurrence.SQL, **distinctiveness.SQL, **split_overlap.SQL}
