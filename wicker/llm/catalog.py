@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wicker.llm import cooccurrence, distinctiveness, split_overlap
+from wicker.llm import cooccurrence, distinctiveness, mixture, split_overlap, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,9 @@ def queries() -> dict[str, Query]:
         "p5_weights": distinctiveness.weights,
         "p7_found": split_overlap.found,
         "p7_report": split_overlap.report,
+        "p8_ids": tokenize.ids,
+        "p9_mix": mixture.mix,
+        "p9_shares": mixture.shares,
     }
 
 
