@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wicker.llm import cooccurrence, distinctiveness, mixture, split_overlap, tokenize
+from wicker.llm import canonical, cooccurrence, distinctiveness, mixture, split_overlap, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Query]:
     return {
         "p2_found": cooccurrence.found,
         "p2_pairs": cooccurrence.pairs,
+        "p4_found": canonical.found,
+        "p4_unmatched": canonical.unmatched,
         "p5_found": distinctiveness.found,
         "p5_weights": distinctiveness.weights,
         "p7_found": split_overlap.found,
