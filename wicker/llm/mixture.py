@@ -80,7 +80,7 @@ def position(c: Column, tilt: Column) -> Column:
 def place(spark: SparkSession, sizes: DataFrame, plans: list[Plan], buckets: int) -> DataFrame:
     """doc_id, source, copy, n_tokens, position of the copies that fill each quota, sorted by position.
 
-    A copy is in if the tokens before it don't fill the quota, so a source overshoots by less than one document.
+    A copy is in if its middle token is within the quota, so a source misses it by at most half a document.
     """
     rows = [(p.source, p.quota, p.passes, float(p.tilt)) for p in plans if p.quota]
     table = spark.createDataFrame(rows, "source string, quota long, passes int, tilt double")
@@ -95,7 +95,7 @@ def place(spark: SparkSession, sizes: DataFrame, plans: list[Plan], buckets: int
     inside = Window.partitionBy(*bucket).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = copies.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, bucket)
     start = F.col("base") + F.col("inner")
-    placed = placed.withColumn("start", start).where(F.col("start") < F.col("quota"))
+    placed = placed.withColumn("start", start).where(F.col("start") + F.col("n_tokens") / 2 <= F.col("quota"))
     part = F.least(F.lit(1.0), (F.col("start") + F.col("n_tokens") / 2) / F.col("quota"))
     placed = placed.select("doc_id", "source", "copy", "n_tokens", F.round(position(part, F.col("tilt")), 12).alias("position"))
     return placed.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
