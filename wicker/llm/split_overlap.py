@@ -2,12 +2,13 @@
 
 A record is a set of tokens. Written as the sequence of its tokens in one global order, the insertions and deletions
 between two records are exactly the tokens they don't share, so a similarity of at least ``num / den`` allows at most
-``(den - num) / (den + num) * (n + m)`` edits. An evaluation record that allows k edits is cut into k + 1 segments, of which at
-least one stands untouched in any partner; training records give all their substrings of the lengths in use. Matches are
-kept only where the tokens left and right of them leave enough room, then verified by a banded dynamic program.
+k = ``(den - num) / (den + num) * (n + m)`` edits between records of n and m tokens. For each size m of a partner an evaluation
+record is cut into k + 1 segments, of which at least one stands untouched in any partner of that size; training records give
+their substrings. Matches are kept only where the tokens left and right of them leave enough room, then verified by a
+banded dynamic program.
 
-The global order is a hash of the token, so common tokens are spread; the cut of each evaluation record is chosen so that, where
-possible, every segment holds a rare token. Identical sets are joined once, as a class, and expanded at the end.
+The global order is a hash of the token, so common tokens are spread, and the cut of each evaluation record is the one whose
+segments are rarest together. Identical sets are joined once, as a class, and expanded at the end.
 """
 
 from __future__ import annotations
@@ -25,20 +26,28 @@ from wicker.functions.items import clean_items, words
 from wicker.session import ensure_checkpoint_dir, read_table
 
 NUM, DEN = 7, 10
-#: Longest segment; a cut always exists, since a record of n tokens has more than 0.42 n segments.
-LONGEST = 5
-#: A token is common if more than one of so many records holds it; there are at most COMMON_DEN * mean size of those.
-COMMON_DEN = 100
-MAX_COMMON = 100_000
+#: Longest segment; a cut always exists, since a record of n tokens has more than 0.3 n segments.
+LONGEST = 6
+#: The part of the records that hold a token is known for tokens in more than one of so many records; there are at most
+#: RARE_DEN * mean size of those. All others count as this rare.
+RARE_DEN = 1_000
+MAX_COMMON = 1_000_000
 _MASK = (1 << 64) - 1
 _SEGMENTS = T.ArrayType(
-    T.StructType([T.StructField("h", T.LongType()), T.StructField("p", T.IntegerType())])
+    T.StructType(
+        [T.StructField("h", T.LongType()), T.StructField("p", T.IntegerType()), T.StructField("m", T.IntegerType())]
+    )
 )
 
 
-def edits(n: int, num: int = NUM, den: int = DEN) -> int:
-    """The most edits between a record of n tokens and any partner that is similar enough."""
-    return (den - num) * (n + n * den // num) // (den + num)
+def edits(n: int, m: int, num: int = NUM, den: int = DEN) -> int:
+    """The most edits between records of n and m tokens that are similar enough."""
+    return (den - num) * (n + m) // (den + num)
+
+
+def partner_sizes(n: int, num: int = NUM, den: int = DEN) -> range:
+    """The sizes that a similar enough partner of a record of n tokens can have."""
+    return range(-(-n * num // den), n * den // num + 1)
 
 
 def _mix(tokens: list[int]) -> int:
@@ -49,40 +58,52 @@ def _mix(tokens: list[int]) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def cut(light: list[bool], parts: int, longest: int = LONGEST) -> list[int]:
-    """Start positions of ``parts`` segments, with as few as possible that hold no light token.
+def cuts(parts: list[float], most: int, longest: int = LONGEST) -> dict[int, list[int]]:
+    """Start positions of the best cut into s segments, for every s up to ``most`` that is possible.
 
-    Dynamic program over (parts used, tokens used); on a tie the earlier segments are the shorter ones.
+    ``parts`` holds for each token the part of the records that have it; the product over a segment estimates how many
+    partners it meets. One dynamic program over (segments, tokens) minimises the sum of these products for all s.
     """
-    n = len(light)
-    far = 10**9
-    cost = [[far] * (n + 1) for _ in range(parts + 1)]
-    back = [[0] * (n + 1) for _ in range(parts + 1)]
-    cost[0][0] = 0
-    seen = np.concatenate([[0], np.cumsum(light)])
-    for s in range(1, parts + 1):
-        for j in range(s, min(n, s * longest) + 1):
-            for i in range(max(s - 1, j - longest), j):
-                if cost[s - 1][i] < far:
-                    c = cost[s - 1][i] + (seen[j] == seen[i])
-                    if c < cost[s][j]:
-                        cost[s][j], back[s][j] = c, i
-    starts, j = [], n
-    for s in range(parts, 0, -1):
-        j = back[s][j]
-        starts.append(j)
-    return starts[::-1]
-
-
-def _eval_segments(common: frozenset[int]):
+    n = len(parts)
+    far = float("inf")
+    cost = [[0.0] + [far] * n]
+    back: list[list[int]] = [[0] * (n + 1)]
+    for s in range(1, most + 1):
+        row, origin, last = [far] * (n + 1), [0] * (n + 1), cost[-1]
+        for j in range(s, n + 1):
+            product = 1.0
+            for i in range(j - 1, max(s - 2, j - longest - 1), -1):
+                product *= parts[i]
+                if last[i] + product < row[j]:
+                    row[j], origin[j] = last[i] + product, i
+        cost.append(row)
+        back.append(origin)
+    out = {}
+    for s in range(1, most + 1):
+        if cost[s][n] < far:
+            starts, j = [], n
+            for k in range(s, 0, -1):
+                j = back[k][j]
+                starts.append(j)
+            out[s] = starts[::-1]
+    return out
+
+
+def _eval_segments(common: dict[int, float]):
+    """Segments of a record for each size m of a partner, cut as finely as that size needs."""
+
     @F.pandas_udf(_SEGMENTS)
     def segments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rare = 1.0 / RARE_DEN
         for records in batches:
             out = []
             for r in records:
                 r = r.tolist()
-                starts = cut([v not in common for v in r], edits(len(r)) + 1)
-                out.append([(_mix(r[a:b]), a) for a, b in zip(starts, [*starts[1:], len(r)])])
+                n = len(r)
+                sizes = partner_sizes(n)
+                best = cuts([common.get(v, rare) for v in r], edits(n, sizes[-1]) + 1)
+                hashed = {s: [(_mix(r[a:b]), a) for a, b in zip(at, [*at[1:], n])] for s, at in best.items()}
+                out.append([(h, a, m) for m in sizes for h, a in hashed[edits(n, m) + 1]])
             yield pd.Series(out)
 
     return segments
@@ -94,7 +115,8 @@ def _train_segments():
         out = []
         for r in records:
             r = r.tolist()
-            out.append([(_mix(r[a : a + w]), a) for w in range(1, LONGEST + 1) for a in range(len(r) - w + 1)])
+            m = len(r)
+            out.append([(_mix(r[a : a + w]), a, m) for w in range(1, LONGEST + 1) for a in range(m - w + 1)])
         return pd.Series(out)
 
     return segments
@@ -169,19 +191,19 @@ def overlaps(spark: SparkSession, records: DataFrame) -> DataFrame:
     classes = hashed.select("src", "train", "f", "r").distinct()
     tokens = classes.select(F.explode("r").alias("v"))
     n = classes.count()
-    common = tokens.groupBy("v").count().where(F.col("count") * COMMON_DEN > n).limit(MAX_COMMON + 1).collect()
+    common = tokens.groupBy("v").count().where(F.col("count") * RARE_DEN > n).limit(MAX_COMMON + 1).collect()
     if len(common) > MAX_COMMON:
         raise ValueError("the mean record has more tokens than this join is meant for")
-    heavy = frozenset(r["v"] for r in common)
+    parts = {r["v"]: r["count"] / n for r in common}
     held = classes.where("not train").select("src", F.col("f").alias("fe"), F.col("r").alias("e"))
     base = classes.where("train").select("src", F.col("f").alias("ft"), F.col("r").alias("t"))
-    left = held.select("src", "fe", F.size("e").alias("n"), F.explode(_eval_segments(heavy)("e")).alias("s"))
-    left = left.select("src", "fe", "n", F.col("s.h").alias("h"), F.col("s.p").alias("p"))
-    right = base.select("src", "ft", F.size("t").alias("m"), F.explode(_train_segments()("t")).alias("s"))
-    right = right.select("src", "ft", "m", F.col("s.h").alias("h"), F.col("s.p").alias("q"))
+    left = held.select("src", "fe", F.size("e").alias("n"), F.explode(_eval_segments(parts)("e")).alias("s"))
+    left = left.select("src", "fe", "n", F.col("s.h").alias("h"), F.col("s.p").alias("p"), F.col("s.m").alias("m"))
+    right = base.select("src", "ft", F.explode(_train_segments()("t")).alias("s"))
+    right = right.select("src", "ft", F.col("s.h").alias("h"), F.col("s.p").alias("q"), F.col("s.m").alias("m"))
     room = F.abs(F.col("p") - F.col("q")) + F.abs(F.col("n") - F.col("p") - F.col("m") + F.col("q"))
     fits = room * (DEN + NUM) <= (DEN - NUM) * (F.col("n") + F.col("m"))
-    pairs = left.join(right, ["src", "h"]).where(fits).select("src", "fe", "ft").distinct()
+    pairs = left.join(right, ["src", "m", "h"]).where(fits).select("src", "fe", "ft").distinct()
     close = _verify(pairs.join(held, ["src", "fe"]).join(base, ["src", "ft"]))
     members = hashed.select("src", "train", "f", "key")
     a = members.where("not train").select("src", F.col("f").alias("fe"), F.col("key").alias("x"))
