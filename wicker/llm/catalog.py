@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wicker.llm import canonical, cooccurrence, distinctiveness, mixture, split_overlap, tokenize
+from wicker.llm import canonical, cooccurrence, distinctiveness, markup, mixture, split_overlap, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "p4_unmatched": canonical.unmatched,
         "p5_found": distinctiveness.found,
         "p5_weights": distinctiveness.weights,
+        "p6_found": markup.found,
         "p7_found": split_overlap.found,
         "p7_report": split_overlap.report,
         "p8_ids": tokenize.ids,
