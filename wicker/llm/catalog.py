@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wicker.llm import canonical, cooccurrence, distinctiveness, markup, mixture, split_overlap, tokenize
+from wicker.llm import canonical, cooccurrence, distinctiveness, markup, mixture, sentences, split_overlap, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "p8_ids": tokenize.ids,
         "p9_mix": mixture.mix,
         "p9_shares": mixture.shares,
+        "p10_found": sentences.found,
     }
 
 
