@@ -62,7 +62,7 @@ _CLOSERS = "\"'”’“»)]」』】）›"
 _THAI = "฀-๿"
 _CANDIDATE = re.compile(rf"[{_ENDS}]+|(?<=[{_THAI}])[ \t ]+(?=[{_THAI}])")
 _GREEK = re.compile("[\u0370-\u03ff\u1f00-\u1fff]")
-_BLANK_LINE = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n)\s*")
+_BLANK_LINE = re.compile(r"(?:\r\n|\r(?!\n)|(?<!\r)\n)[^\S\r\n]*(?:\r\n|\r(?!\n)|(?<!\r)\n)\s*")
 _WORD_BEFORE = re.compile(r"[^\s(\[{\"'“„«‘¿¡「『（【]+$")
 _HOST = re.compile(r"(?:https?://|www\.)|[\w.-]*\w/[\w./]*|(?:[\w-]+\.)+(?:txt|html?|md|csv|json|pdf|py|xml|jpg|png|com|org|net|invalid|example)\b", re.IGNORECASE)
 _OPENERS = "\"“„«‘([{¿¡「『（【‹'"
