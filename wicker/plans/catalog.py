@@ -7,15 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wicker.operators import packed_values, unit_convert
+from wicker.plans import basket_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "answer_items"
+#: name -> (query, SQL or None where SQL can't say it)
+REGISTERED: dict[str, tuple[Query, str | None]] = {
+    "p1_found": (packed_values.found, None),
+    "p3_found": (unit_convert.found, None),
+    **basket_queries.QUERIES,
+}
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": packed_values.found, "p3_found": unit_convert.found}
+    return {name: query for name, (query, _) in REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTERED.items() if sql}
