@@ -241,11 +241,7 @@ n AS (SELECT DISTINCT input_id qid, {clean('text')} x FROM realistic_inputs)""")
         _match,
         with_("ing", more=f"""p AS (SELECT DISTINCT {clean('text')} phrase FROM realistic_inputs WHERE {clean('text')} <> ''),
 m AS (SELECT phrase, nm, string_split(phrase, ' ') pt, string_split(nm, ' ') ws FROM p CROSS JOIN ing),
-c AS (SELECT * FROM m WHERE len(list_filter(list_distinct(ws), lambda w: len(list_filter(pt, lambda x: x = w)) < len(list_filter(ws, lambda x: x = w)))) = 0),
-o AS (SELECT *, list_reduce(list_prepend(0, list_transform(pt, lambda x: x::VARCHAR)::VARCHAR[]::VARCHAR[]), lambda i, x: i) z FROM c)""").replace(
-            """,
-o AS (SELECT *, list_reduce(list_prepend(0, list_transform(pt, lambda x: x::VARCHAR)::VARCHAR[]::VARCHAR[]), lambda i, x: i) z FROM c)""", ""
-        )
+c AS (SELECT * FROM m WHERE len(list_filter(list_distinct(ws), lambda w: len(list_filter(pt, lambda x: x = w)) < len(list_filter(ws, lambda x: x = w)))) = 0)""")
         + """SELECT phrase, nm entry FROM (SELECT phrase, nm, row_number() OVER (PARTITION BY phrase ORDER BY len(ws) DESC,
         regexp_matches(' ' || phrase || ' ', ' ' || array_to_string(list_transform(ws, lambda w: regexp_escape(w)), ' (.* )?') || ' ') DESC, length(nm) DESC, nm DESC) r FROM c) WHERE r = 1""",
     ),
@@ -260,7 +256,7 @@ f AS (SELECT recipe_id, nm, min(line_no) n FROM l JOIN c USING (phrase) WHERE r
     "resolve_lines": (_resolve_lines, None),
     "recipe_lookup": (
         _lookup,
-        """SELECT DISTINCT 'wb-' || regexp_replace(recipe_id, '^r', '') recipe_id, coalesce(len(canonical), -1)::INT n_items, url, licence FROM recipes
+        """SELECT DISTINCT s.recipe_id, len(canonical)::INT n_items, url, licence FROM recipes
         JOIN source_recipes s ON s.recipe_id = 'wb-' || regexp_replace(recipes.recipe_id, '^r', '')""",
     ),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wicker.operators import packed_values, unit_convert
-from wicker.plans import basket_queries
+from wicker.plans import basket_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
     "p1_found": (packed_values.found, None),
     "p3_found": (unit_convert.found, None),
     **basket_queries.QUERIES,
+    **text_queries.QUERIES,
 }
 
 
