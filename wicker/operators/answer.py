@@ -8,47 +8,66 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wicker.operators import basket
+from wicker.session import ensure_checkpoint_dir
 
 MAX_MISSING = 2
 
 
+#: Items of the reference table go to every task; their number is checked.
+MAX_ITEMS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Pack:
-    """Needed lines with weights, per-basket totals, and the inverse frequencies of a collection of baskets."""
+    """The needed lines of a collection of baskets, one row per option, with what scoring needs beside them."""
 
-    need: DataFrame  # rid, line_no, id, w
-    totals: DataFrame  # rid, total, den
-    idf: DataFrame  # id, df, idf
-    staples: DataFrame  # id
+    need: DataFrame  # rid, line_no, id (null for an unread line), w, total, den
+    idf: DataFrame  # id, df, idf; at most as many rows as the reference table
+    staples: list[str]
 
 
 def build_pack(spark: SparkSession, sf_dir: str) -> Pack:
-    lines = basket.basket_lines(spark, sf_dir)
-    staples = basket.dimension(spark, sf_dir).where("staple").select("id")
-    need = basket.needed_lines(lines, staples)
-    kept = need.select("rid").distinct()
-    idf = basket.inverse_frequency(basket.document_frequency(lines.join(kept, "rid", "left_semi")), kept.count())
-    weighed = need.select("rid", "line_no", F.explode_outer("options").alias("id")).join(idf.select("id", F.col("idf").alias("w")), "id", "left")
-    best = weighed.groupBy("rid", "line_no").agg(F.coalesce(F.max("w"), F.lit(0.0)).alias("line_w"))
-    totals = best.groupBy("rid").agg(F.count(F.lit(1)).alias("total"), F.sum("line_w").alias("den"))
-    # an option is worth as much as its line, so a satisfied line adds the same whichever option is held
-    options = weighed.join(best, ["rid", "line_no"]).select("rid", "line_no", "id", F.col("line_w").alias("w"))
-    return Pack(options, totals, idf, staples)
+    """Lines are gathered by basket once (a basket is one record) and written; all else is counted inside the rows."""
+    ensure_checkpoint_dir(spark)
+    known = basket.dimension(spark, sf_dir).select("id", "staple").limit(MAX_ITEMS + 1).collect()
+    if len(known) > MAX_ITEMS:
+        raise ValueError(f"more than {MAX_ITEMS} items in the reference table")
+    staples = sorted(r["id"] for r in known if r["staple"])
+    rows = basket.basket_lines(spark, sf_dir).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("line_no", "options", "optional"))).alias("lines"))
+    st = F.array(*map(F.lit, staples)).cast("array<string>")
+    needed = F.filter("lines", lambda x: ~x["optional"] & ~F.arrays_overlap(x["options"], st))
+    kept = rows.withColumn("need", needed).where(F.size("need") > 0).checkpoint()
+    ids = kept.select(F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["options"])))).alias("id"))
+    idf = basket.inverse_frequency(ids.groupBy("id").agg(F.count(F.lit(1)).alias("df")), kept.count()).checkpoint()
+    weights = idf.agg(F.map_from_entries(F.collect_list(F.struct("id", "idf"))).alias("ws"))  # one entry per known item
+    worth = lambda x: F.coalesce(F.array_max(F.transform(x["options"], lambda o: F.element_at("ws", o))), F.lit(0.0))
+    weighed = kept.crossJoin(F.broadcast(weights)).select(
+        "rid", F.transform("need", lambda x: F.struct(x["line_no"].alias("line_no"), x["options"].alias("options"), worth(x).alias("w"))).alias("need")
+    )
+    den = F.aggregate("need", F.lit(0.0), lambda a, x: a + x["w"])  # added in line order
+    flat = weighed.select("rid", F.size("need").cast("long").alias("total"), den.alias("den"), F.inline("need"))
+    need = flat.select("rid", "line_no", F.explode_outer(F.array_distinct("options")).alias("id"), "w", "total", "den")
+    return Pack(need, idf, staples)
 
 
 def held_items(queries: DataFrame, pack: Pack) -> DataFrame:
     """qid, id of the known items that are no staples."""
-    known = queries.join(pack.idf.select("id"), "id", "left_semi")
-    return known.join(pack.staples, "id", "left_anti").select("qid", "id").distinct()
+    known = F.broadcast(pack.idf.where(~F.col("id").isin(pack.staples)).select("id"))
+    return queries.join(known, "id", "left_semi").select("qid", "id").distinct()
 
 
 def scored(held: DataFrame, pack: Pack) -> DataFrame:
-    """qid, rid, have, total, missing, score of every basket with at least one satisfied line."""
-    hits = held.join(pack.need.where("id is not null"), "id").groupBy("qid", "rid", "line_no").agg(F.max("w").alias("w"))
-    sums = hits.groupBy("qid", "rid").agg(F.count(F.lit(1)).alias("have"), F.sum("w").alias("num"))
-    joined = sums.join(pack.totals, "rid")
-    score = F.when(F.col("den") > 0, F.col("num") / F.sqrt("den")).otherwise(0.0)
-    return joined.select("qid", "rid", "have", "total", (F.col("total") - F.col("have")).alias("missing"), F.round(score, 6).alias("score"))
+    """qid, rid, have, total, missing, score of every basket with at least one satisfied line.
+
+    A satisfied line counts once, whichever and however many of its options are held; weights are added in line order.
+    """
+    hits = held.join(pack.need, "id").groupBy("qid", "rid").agg(
+        F.array_sort(F.collect_set(F.struct("line_no", "w"))).alias("l"), F.first("total").alias("total"), F.first("den").alias("den")
+    )
+    num = F.aggregate("l", F.lit(0.0), lambda a, x: a + x["w"])
+    score = F.when(F.col("den") > 0, num / F.sqrt("den")).otherwise(0.0)
+    have = F.size("l").cast("long")
+    return hits.select("qid", "rid", have.alias("have"), "total", (F.col("total") - have).alias("missing"), F.round(score, 6).alias("score"))
 
 
 def items(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:
@@ -95,11 +114,11 @@ def blockers(spark: SparkSession, sf_dir: str, queries: DataFrame, top: int = 5)
     held = held_items(queries, pack)
     found = scored(held, pack)
     blocked = held.select("qid").distinct().join(found.where(F.col("missing") <= MAX_MISSING).select("qid").distinct(), "qid", "left_anti")
-    gain = pack.need.where("id is not null").groupBy("rid", "id").agg(F.countDistinct("line_no").alias("gain")).join(pack.totals, "rid")
+    gain = pack.need.where("id is not null").groupBy("rid", "id").agg(F.countDistinct("line_no").alias("gain"), F.first("total").alias("total"))
     alone = gain.where(F.col("total") - F.col("gain") <= MAX_MISSING)
     touched = found.join(blocked, "qid", "left_semi").select("qid", "rid", "have")
     satisfied = held.join(pack.need, "id").select("qid", "rid", "line_no").distinct()
-    open_ = touched.join(pack.need.where("id is not null"), "rid").join(satisfied, ["qid", "rid", "line_no"], "left_anti").join(held, ["qid", "id"], "left_anti")
+    open_ = touched.join(pack.need.where("id is not null").select("rid", "line_no", "id"), "rid").join(satisfied, ["qid", "rid", "line_no"], "left_anti").join(held, ["qid", "id"], "left_anti")
     fresh = open_.groupBy("qid", "rid", "id").agg(F.countDistinct("line_no").alias("g"), F.first("have").alias("have"))
     delta = touched.select("qid", "rid").join(gain, "rid").join(held, ["qid", "id"], "left_anti").join(fresh, ["qid", "rid", "id"], "left")
     now = F.coalesce((F.col("total") - F.col("have") - F.col("g") <= MAX_MISSING).cast("long"), F.lit(0))

@@ -22,7 +22,7 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rid, line_no, options (array of ids), optional, read: one row per line of a recipe.
 
-    A line whose name is not in the reference table is unread and has no options.
+    A line whose name is not in the reference table (a fixed dimension, broadcast) is unread and has no options.
     """
     lines = read_table(spark, sf_dir, "parsed_ingredients").select(
         F.col("recipe_id").alias("rid"), "line_no", clean_item(F.col("canonical")).alias("name"), F.coalesce(F.col("raw").contains("(optional)"), F.lit(False)).alias("optional")
@@ -30,19 +30,7 @@ def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = dimension(spark, sf_dir).select("name", "id")
     read = F.col("id").isNotNull()
     options = F.when(read, F.array("id")).otherwise(F.array().cast("array<string>"))
-    return lines.join(ids, "name", "left").select("rid", "line_no", options.alias("options"), "optional", read.alias("read"))
-
-
-def needed_lines(lines: DataFrame, staples: DataFrame) -> DataFrame:
-    """Required lines without a staple among their options; ``staples`` is a small table (id) checked by the caller."""
-    options = lines.where("not optional").select("rid", "line_no", "options", "read", F.explode_outer("options").alias("id"))
-    marked = options.join(F.broadcast(staples.select("id", F.lit(True).alias("is_staple"))), "id", "left")
-    return (
-        marked.groupBy("rid", "line_no")
-        .agg(F.first("options").alias("options"), F.max(F.coalesce("is_staple", F.lit(False))).alias("s"), F.first("read").alias("read"))
-        .where("not s")
-        .drop("s")
-    )
+    return lines.join(F.broadcast(ids), "name", "left").select("rid", "line_no", options.alias("options"), "optional", read.alias("read"))
 
 
 def postings(lines: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,8 +157,8 @@ def cluster_bootstrap(rows: DataFrame, resamples: int = 1_000, level: float = 0.
                 t[1] += int(part["n"].sum())
                 t[2] += len(part)
                 for cluster, s, n in zip(part["cluster"], part["s"], part["n"]):
-                    key = int.from_bytes(f"{seed}:{grp}:{cluster}".encode()[-16:], "little")
-                    draws = np.random.default_rng([seed, key & 0xFFFFFFFF, key >> 32 & 0xFFFFFFFF]).poisson(1.0, resamples)
+                    key = hashlib.blake2b(f"{seed}:{grp}:{cluster}".encode(), digest_size=8).digest()
+                    draws = np.random.default_rng(int.from_bytes(key, "little")).poisson(1.0, resamples)
                     t[3] += draws * s
                     t[4] += draws * n
         yield pd.DataFrame(

@@ -26,16 +26,18 @@ def svd_vectors(matrix: DataFrame, dims: int) -> DataFrame:
     """item, vector (unit length): rows u * s of a truncated SVD of a symmetric matrix (i, j, v) over a bounded vocabulary.
 
     Found by subspace iteration with the sparse product as a join; only the small dims x dims factors come to the driver.
+    Needs a checkpoint folder, which cuts the lineage of each step.
     """
     import numpy as np
 
+    matrix = matrix.checkpoint()
     names = matrix.select(F.col("i").alias("item")).distinct()
     gauss = F.array(*[F.sqrt(-2 * F.log((F.pmod(F.xxhash64("item", F.lit(f"a{d}")), F.lit(1 << 20)) + 1) / float((1 << 20) + 1))) * F.cos(F.pmod(F.xxhash64("item", F.lit(f"b{d}")), F.lit(1 << 20)) / float(1 << 20) * 6.283185307179586) for d in range(dims)])
     q = names.select("item", gauss.alias("q"))
     for _ in range(4):
         terms = matrix.join(q.withColumnRenamed("item", "j"), "j")
         y = terms.groupBy("i").agg(*[F.sum(F.col("v") * F.col("q")[d]).alias(f"y{d}") for d in range(dims)])
-        y = y.select(F.col("i").alias("item"), F.array(*[F.col(f"y{d}") for d in range(dims)]).alias("y")).persist()
+        y = y.select(F.col("i").alias("item"), F.array(*[F.col(f"y{d}") for d in range(dims)]).alias("y")).checkpoint()
         gram = y.agg(*[F.sum(F.col("y")[a] * F.col("y")[b]).alias(f"g{a}_{b}") for a in range(dims) for b in range(a, dims)]).first()
         g = np.array([[gram[f"g{min(a, b)}_{max(a, b)}"] for b in range(dims)] for a in range(dims)])
         values, vectors = np.linalg.eigh(g)

@@ -87,11 +87,11 @@ def recipe_totals(lines: DataFrame, named: list[str]) -> DataFrame:
     ``lines`` holds rid, food_id, grams, per100g; a nutrient adds up as per100g * grams / 100 over lines with grams.
     """
     base = lines.groupBy("rid").agg(
-        F.round(F.coalesce(F.sum("grams"), F.lit(0.0)), 4).alias("grams"), F.count(F.lit(1)).alias("n_lines"),
+        F.coalesce(F.sum("grams"), F.lit(0.0)).alias("grams"), F.count(F.lit(1)).alias("n_lines"),
         F.count("food_id").alias("n_matched"), F.count("grams").alias("n_massed"),
     )
     parts = lines.where("grams is not null").select("rid", "grams", F.explode("per100g").alias("key", "v"))
-    sums = parts.groupBy("rid").pivot("key", named).agg(F.round(F.sum(F.col("v") * F.col("grams") / 100), 4))
+    sums = parts.groupBy("rid").pivot("key", named).agg(F.sum(F.col("v") * F.col("grams") / 100))
     return base.join(sums, "rid", "left")
 
 

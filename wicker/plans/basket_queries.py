@@ -71,7 +71,7 @@ def _idf(spark, d):
 
 def _popular(spark, d):
     pack = answer.build_pack(spark, d)
-    return ranking.popular(pack.idf, pack.staples, 20)
+    return ranking.popular(pack.idf, spark.createDataFrame([(i,) for i in pack.staples], "id string"), 20)
 
 
 def _keys(spark, d):

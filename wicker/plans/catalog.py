@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wicker.operators import packed_values, unit_convert
-from wicker.plans import basket_queries, text_queries
+from wicker.plans import basket_queries, evaluation_queries, graph_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,8 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
     "p3_found": (unit_convert.found, None),
     **basket_queries.QUERIES,
     **text_queries.QUERIES,
+    **graph_queries.QUERIES,
+    **evaluation_queries.QUERIES,
 }
 
 
