@@ -39,14 +39,14 @@ def build_pack(spark: SparkSession, sf_dir: str) -> Pack:
     kept = rows.withColumn("need", needed).where(F.size("need") > 0).checkpoint()
     ids = kept.select(F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["options"])))).alias("id"))
     idf = basket.inverse_frequency(ids.groupBy("id").agg(F.count(F.lit(1)).alias("df")), kept.count()).checkpoint()
-    weights = idf.agg(F.map_from_entries(F.collect_list(F.struct("id", "idf"))).alias("ws"))  # one entry per known item
-    worth = lambda x: F.coalesce(F.array_max(F.transform(x["options"], lambda o: F.element_at("ws", o))), F.lit(0.0))
-    weighed = kept.crossJoin(F.broadcast(weights)).select(
-        "rid", F.transform("need", lambda x: F.struct(x["line_no"].alias("line_no"), x["options"].alias("options"), worth(x).alias("w"))).alias("need")
-    )
-    den = F.aggregate("need", F.lit(0.0), lambda a, x: a + x["w"])  # added in line order
-    flat = weighed.select("rid", F.size("need").cast("long").alias("total"), den.alias("den"), F.inline("need"))
-    need = flat.select("rid", "line_no", F.explode_outer(F.array_distinct("options")).alias("id"), "w", "total", "den")
+    flat = kept.select("rid", F.size("need").cast("long").alias("total"), F.inline("need")).drop("optional")
+    options = flat.select("rid", "total", "line_no", F.explode_outer("options").alias("id"))
+    # all windows share the partitioning by basket
+    weighed = options.join(F.broadcast(idf.select("id", "idf")), "id", "left").repartition("rid")
+    line, basket_ = Window.partitionBy("rid", "line_no"), Window.partitionBy("rid")
+    best = weighed.withColumn("w", F.coalesce(F.max("idf").over(line), F.lit(0.0)))
+    share = best.withColumn("share", F.col("w") / F.count(F.lit(1)).over(line))
+    need = share.withColumn("den", F.sum("share").over(basket_)).select("rid", "line_no", "id", "w", "total", "den").checkpoint()
     return Pack(need, idf, staples)
 
 
@@ -59,15 +59,14 @@ def held_items(queries: DataFrame, pack: Pack) -> DataFrame:
 def scored(held: DataFrame, pack: Pack) -> DataFrame:
     """qid, rid, have, total, missing, score of every basket with at least one satisfied line.
 
-    A satisfied line counts once, whichever and however many of its options are held; weights are added in line order.
+    A satisfied line counts once, whichever and however many of its options are held. Both aggregations use the one
+    shuffle by query and basket.
     """
-    hits = held.join(pack.need, "id").groupBy("qid", "rid").agg(
-        F.array_sort(F.collect_set(F.struct("line_no", "w"))).alias("l"), F.first("total").alias("total"), F.first("den").alias("den")
-    )
-    num = F.aggregate("l", F.lit(0.0), lambda a, x: a + x["w"])
-    score = F.when(F.col("den") > 0, num / F.sqrt("den")).otherwise(0.0)
-    have = F.size("l").cast("long")
-    return hits.select("qid", "rid", have.alias("have"), "total", (F.col("total") - have).alias("missing"), F.round(score, 6).alias("score"))
+    hits = held.join(pack.need, "id").select("qid", "rid", "line_no", "w", "total", "den").repartition("qid", "rid")
+    lines = hits.groupBy("qid", "rid", "line_no").agg(F.max("w").alias("w"), F.max("total").alias("total"), F.max("den").alias("den"))
+    sums = lines.groupBy("qid", "rid").agg(F.count(F.lit(1)).alias("have"), F.sum("w").alias("num"), F.max("total").alias("total"), F.max("den").alias("den"))
+    score = F.when(F.col("den") > 0, F.col("num") / F.sqrt("den")).otherwise(0.0)
+    return sums.select("qid", "rid", "have", "total", (F.col("total") - F.col("have")).alias("missing"), F.round(score, 6).alias("score"))
 
 
 def items(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:
