@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wicker.operators import packed_values, unit_convert
-from wicker.plans import basket_queries, evaluation_queries, graph_queries, text_queries
+from wicker.plans import basket_queries, evaluation_queries, graph_queries, stream_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
     **text_queries.QUERIES,
     **graph_queries.QUERIES,
     **evaluation_queries.QUERIES,
+    **stream_queries.QUERIES,
 }
 
 
