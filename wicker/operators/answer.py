@@ -56,25 +56,54 @@ def held_items(queries: DataFrame, pack: Pack) -> DataFrame:
     return queries.join(known, "id", "left_semi").select("qid", "id").distinct()
 
 
-def scored(held: DataFrame, pack: Pack) -> DataFrame:
-    """qid, rid, have, total, missing, score of every basket with at least one satisfied line.
-
-    A satisfied line counts once, whichever and however many of its options are held. Both aggregations use the one
-    shuffle by query and basket.
-    """
-    hits = held.join(pack.need, "id").select("qid", "rid", "line_no", "w", "total", "den").repartition("qid", "rid")
+def _scores(hits: DataFrame) -> DataFrame:
+    """Both aggregations use the one shuffle by query and basket."""
+    hits = hits.select("qid", "rid", "line_no", "w", "total", "den").repartition("qid", "rid")
     lines = hits.groupBy("qid", "rid", "line_no").agg(F.max("w").alias("w"), F.max("total").alias("total"), F.max("den").alias("den"))
     sums = lines.groupBy("qid", "rid").agg(F.count(F.lit(1)).alias("have"), F.sum("w").alias("num"), F.max("total").alias("total"), F.max("den").alias("den"))
     score = F.when(F.col("den") > 0, F.col("num") / F.sqrt("den")).otherwise(0.0)
     return sums.select("qid", "rid", "have", "total", (F.col("total") - F.col("have")).alias("missing"), F.round(score, 6).alias("score"))
 
 
+def scored(held: DataFrame, pack: Pack) -> DataFrame:
+    """qid, rid, have, total, missing, score of every basket with at least one satisfied line.
+
+    A satisfied line counts once, whichever and however many of its options are held.
+    """
+    return _scores(held.join(pack.need, "id"))
+
+
+def item_pairs(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """key, i < j: pairs of the distinct items of a record, made inside the row."""
+    lists = rows.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("l"))
+    return lists.select(key, "l", F.posexplode("l").alias("p", "i")).select(key, "i", F.explode(F.expr("slice(l, p + 2, size(l))")).alias("j"))
+
+
+def near(held: DataFrame, pack: Pack) -> DataFrame:
+    """The rows of ``scored`` with at most two missing lines, without touching the other baskets.
+
+    A basket of more than three lines needs two satisfied lines to get there, so it is found by a join on pairs of items, which
+    is far more selective than one on items; the shorter ones are found by a join on items.
+    """
+    rows = pack.need.where("id is not null")
+    short = held.join(rows.where(F.col("total") <= MAX_MISSING + 1), "id").select("qid", "rid", "line_no", "w", "total", "den")
+    long = rows.where(F.col("total") > MAX_MISSING + 1)
+    lists = long.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("id", "line_no", "w"))).alias("l"), F.max("total").alias("total"), F.max("den").alias("den"))
+    first = lists.select("rid", "total", "den", "l", F.posexplode("l").alias("p", "a"))
+    pairs = first.select("rid", "total", "den", "a", F.explode(F.expr("slice(l, p + 2, size(l))")).alias("b")).where("a.line_no <> b.line_no")
+    wanted = item_pairs(held, "qid", "id")
+    met = wanted.join(pairs, (F.col("i") == F.col("a.id")) & (F.col("j") == F.col("b.id")))
+    line = lambda c: F.struct(F.col(f"{c}.line_no").alias("line_no"), F.col(f"{c}.w").alias("w"))
+    both = met.select("qid", "rid", "total", "den", F.inline(F.array(line("a"), line("b")))).select("qid", "rid", "line_no", "w", "total", "den")
+    return _scores(short.unionByName(both)).where(F.col("missing") <= MAX_MISSING)
+
+
 def items(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:
     """qid, missing, rank, rid, have, total, score: per query and group the first ``limit`` (negative counts as 0)."""
     pack = build_pack(spark, sf_dir)
-    near = scored(held_items(basket.pantry_queries(spark, sf_dir), pack), pack).where(F.col("missing") <= MAX_MISSING)
+    close = near(held_items(basket.pantry_queries(spark, sf_dir), pack), pack)
     order = Window.partitionBy("qid", "missing").orderBy(F.desc("score"), "total", "rid")
-    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(limit, 0))
+    ranked = close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(limit, 0))
     return ranked.select("qid", "missing", "rank", "rid", "have", "total", "score")
 
 
@@ -82,7 +111,7 @@ def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, make_now, one_away, two_away for every query, zeros included."""
     pack = build_pack(spark, sf_dir)
     queries = basket.pantry_queries(spark, sf_dir)
-    found = scored(held_items(queries, pack), pack)
+    found = near(held_items(queries, pack), pack)
     count = lambda k: F.coalesce(F.sum((F.col("missing") == k).cast("long")), F.lit(0))
     return queries.select("qid").distinct().join(found, "qid", "left").groupBy("qid").agg(
         count(0).alias("make_now"), count(1).alias("one_away"), count(2).alias("two_away")
@@ -93,10 +122,10 @@ def unlocks(spark: SparkSession, sf_dir: str, top: int = 10) -> DataFrame:
     """qid, rank, id, n: the items that complete the most baskets one line away."""
     pack = build_pack(spark, sf_dir)
     held = held_items(basket.pantry_queries(spark, sf_dir), pack)
-    away = scored(held, pack).where("missing = 1").select("qid", "rid")
-    options = away.join(pack.need.where("id is not null").select("rid", "line_no", "id"), "rid")
-    satisfied = held.join(pack.need, "id").select("qid", "rid", "line_no").distinct()
-    open_ = options.join(satisfied, ["qid", "rid", "line_no"], "left_anti")
+    away = near(held, pack).where("missing = 1").select("qid", "rid")
+    options = away.join(pack.need.select("rid", "line_no", "id"), "rid").join(held.withColumn("is_held", F.lit(1)), ["qid", "id"], "left")
+    satisfied = F.max("is_held").over(Window.partitionBy("qid", "rid", "line_no"))
+    open_ = options.withColumn("s", satisfied).where("s is null and id is not null")
     counts = open_.groupBy("qid", "id").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("qid").orderBy(F.desc("n"), "id")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("qid", "rank", "id", "n")

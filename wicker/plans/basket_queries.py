@@ -32,7 +32,8 @@ def _gold_rank(spark, d):
 def _visible(spark, d, limit=10):
     from pyspark.sql import Window
 
-    near = _found(spark, d).where(F.col("missing") <= answer.MAX_MISSING)
+    pack = answer.build_pack(spark, d)
+    near = answer.near(answer.held_items(basket.pantry_queries(spark, d), pack), pack)
     order = Window.partitionBy("qid", "missing").orderBy(F.desc("score"), "total", "rid")
     shown = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     hit = _gold(spark, d).join(shown.select("qid", "rid", F.lit(1).alias("v")), ["qid", "rid"], "left")
