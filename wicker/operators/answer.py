@@ -74,16 +74,16 @@ def scored(held: DataFrame, pack: Pack) -> DataFrame:
 
 
 def item_pairs(rows: DataFrame, key: str, item: str) -> DataFrame:
-    """key, i < j: pairs of the distinct items of a record, made inside the row."""
+    """key, i <= j: pairs of the distinct items of a record, each with itself too, made inside the row."""
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("l"))
-    return lists.select(key, "l", F.posexplode("l").alias("p", "i")).select(key, "i", F.explode(F.expr("slice(l, p + 2, size(l))")).alias("j"))
+    return lists.select(key, "l", F.posexplode("l").alias("p", "i")).select(key, "i", F.explode(F.expr("slice(l, p + 1, size(l))")).alias("j"))
 
 
 def near(held: DataFrame, pack: Pack) -> DataFrame:
     """The rows of ``scored`` with at most two missing lines, without touching the other baskets.
 
     A basket of more than three lines needs two satisfied lines to get there, so it is found by a join on pairs of items, which
-    is far more selective than one on items; the shorter ones are found by a join on items.
+    is far more selective than one on items; the shorter ones are found by a join on items. (One item may satisfy two lines.)
     """
     rows = pack.need.where("id is not null")
     short = held.join(rows.where(F.col("total") <= MAX_MISSING + 1), "id").select("qid", "rid", "line_no", "w", "total", "den")

@@ -55,7 +55,7 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 def read_dimension(spark: SparkSession, path: str) -> DataFrame:
     """id, name, synonyms (array), staple, provenance of the reference table."""
     df = spark.read.csv(path, header=True, schema="id string, name string, synonyms string, staple string, provenance string")
-    parts = F.filter(F.transform(F.split(F.coalesce("synonyms", F.lit("")), r"[|]"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.coalesce("synonyms", F.lit("")), r"[|]"), lambda s: F.trim(s)), lambda s: s != "")
     return df.select("id", "name", parts.alias("synonyms"), (F.col("staple") == "1").alias("staple"), "provenance")
 
 
@@ -108,7 +108,7 @@ def read_curated(spark: SparkSession, path: str, canonical) -> DataFrame:
 def read_labels(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
     """line_id, groups (array of arrays), optional, not_an_ingredient; unknown, repeated, missing and contradictory rows are errors."""
     df = spark.read.csv(path, header=True, schema="line_id string, names string, optional string, not_an_ingredient string")
-    parts = lambda c, sep: F.filter(F.transform(F.split(c, sep), F.trim), lambda s: s != "")
+    parts = lambda c, sep: F.filter(F.transform(F.split(c, sep), lambda s: F.trim(s)), lambda s: s != "")
     groups = F.transform(parts(F.coalesce("names", F.lit("")), ";"), lambda g: parts(g, r"[|]"))
     flag = lambda c: F.coalesce(F.lower(F.trim(F.col(c))).isin("1", "true", "yes"), F.lit(False))
     rows = df.select("line_id", groups.alias("groups"), flag("optional").alias("optional"), flag("not_an_ingredient").alias("not_an_ingredient"))
