@@ -233,3 +233,39 @@ def test_rankers_find_the_gold(spark):
         top = learning.rank_with(fit(df), df, 1).join(df.where("label = 1").select("qid", "rid"), ["qid", "rid"])
         assert top.count() >= 57
     assert learning.rank_with(learning.linear_ranker(df), df, 0).count() == 0
+
+
+def test_metrics(spark):
+    ranked = spark.createDataFrame([("q1", "a", 1), ("q1", "b", 2), ("q2", "c", 1)], "qid string, item string, rank int")
+    gold = spark.createDataFrame([("q1", "b"), ("q1", "x"), ("q3", "a")], "qid string, item string")
+    assert tuple(evaluation.list_metrics(ranked, gold, 2).first()) == (1, 0.5, 0.5, 0.5)
+    assert tuple(evaluation.list_metrics(ranked, gold, 2, pessimistic=True).first()) == (2, 0.25, 0.25, 0.25)
+    ranks = spark.createDataFrame([("a", 1), ("b", 4), ("c", None)], "qid string, rank int")
+    assert tuple(evaluation.pool_metrics(ranks, 2).first()) == (3, 0.666667, 0.333333, 0.333333, 0.5, 0.5)
+    groups = spark.createDataFrame([([["a"], ["x"]], [["a", "b"], ["c"]])], "predicted array<array<string>>, gold array<array<string>>")
+    assert tuple(evaluation.group_scores(groups).first()) == (0.5, 0.5, 0.5)
+
+
+def test_sheet_takes_no_line_twice(spark):
+    df = spark.createDataFrame([(f"l{k}", k % 3 == 0, k) for k in range(90)], "line_id string, hard boolean, rarity int")
+    out = evaluation.stratified_sheet(df, 10, "s").collect()
+    assert len({r["line_id"] for r in out}) == 30 and Counter(r["stratum"] for r in out) == {"hard": 10, "rare": 10, "random": 10}
+
+
+def test_streams(spark, tmp_path):
+    from wicker.streaming import basket_stats
+
+    folder = f"{tmp_path}/in"
+    rows_ = [("k1", "2024-01-01 00:00:00", ["Salt", "b"]), ("k1", "2024-01-02 00:00:00", ["Salt", "b"]), ("k2", "2024-01-03 00:00:00", ["salt ", None])]
+    df = spark.createDataFrame(rows_, "key string, t string, items array<string>").select("key", F.to_timestamp("t").alias("loaded_at"), "items")
+    df.write.parquet(folder)
+    stream = spark.readStream.schema(df.schema).parquet(folder)
+    query = basket_stats.upsert_frequencies(basket_stats.document_frequencies(stream), f"{tmp_path}/out", f"{tmp_path}/cp")
+    query.awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out").select("item", "df")) == [("b", 1), ("salt", 2)]
+
+
+def test_command_line(capsys):
+    from wicker import cli
+
+    assert cli.main(["cook", "--have", "egg", "--tables", "/no/such/folder"]) == 1

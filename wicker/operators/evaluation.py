@@ -174,3 +174,79 @@ def cluster_bootstrap(rows: DataFrame, resamples: int = 1_000, level: float = 0.
     return whole.join(bounds, "grp").select(
         "grp", F.round(F.col("s") / F.col("n"), 6).alias("mean"), F.round(F.col("q")[0], 6).alias("lo"), F.round(F.col("q")[1], 6).alias("hi"), "n_clusters"
     )
+
+
+def list_metrics(ranked: DataFrame, gold: DataFrame, k: int, pessimistic: bool = False) -> DataFrame:
+    """n_queries, precision, recall, mrr of ranked lists (qid, item, rank) against gold pairs (qid, item).
+
+    Precision divides by k, recall by the gold of the query, mrr looks at the whole list. Queries without a list count as
+    zeros if ``pessimistic``, else they are left out.
+    """
+    sizes = gold.distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("g"))
+    hits = ranked.join(gold.distinct(), ["qid", "item"], "left_semi").groupBy("qid").agg(F.sum((F.col("rank") <= k).cast("long")).alias("h"), F.min("rank").alias("first"))
+    queries = sizes if pessimistic else sizes.join(ranked.select("qid").distinct(), "qid", "left_semi")
+    per = queries.join(hits, "qid", "left").fillna(0, ["h"])
+    return per.agg(
+        F.count(F.lit(1)).alias("n_queries"), F.round(F.coalesce(F.avg(F.col("h") / k), F.lit(0.0)), 6).alias("precision"),
+        F.round(F.coalesce(F.avg(F.col("h") / F.col("g")), F.lit(0.0)), 6).alias("recall"),
+        F.round(F.coalesce(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), F.lit(0.0)), 6).alias("mrr"),
+    )
+
+
+def pair_coverage(gold: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """n_pairs, covered_pairs, source_coverage, target_coverage of gold pairs (qid, item) by a vocabulary (item)."""
+    known = vocabulary.select("item").distinct()
+    marked = gold.distinct().join(known.select(F.col("item").alias("qid"), F.lit(1).alias("s")), "qid", "left").join(known.select("item", F.lit(1).alias("t")), "item", "left")
+    share = lambda key, flag: F.round(F.try_divide(F.countDistinct(F.when(F.col(flag) == 1, F.col(key))), F.countDistinct(key)), 6)
+    return marked.agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.sum(F.col("s") * F.col("t")), F.lit(0)).alias("covered_pairs"),
+        share("qid", "s").alias("source_coverage"), share("item", "t").alias("target_coverage"),
+    )
+
+
+def pool_metrics(ranks: DataFrame, k: int) -> DataFrame:
+    """n, ceiling (gold in the pool), recall and mrr at k over all queries and over those with their gold in the pool.
+
+    ``ranks`` holds qid, rank (null where the gold was not in the pool).
+    """
+    inside = F.col("rank").isNotNull()
+    hit = F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double")
+    value = F.when(F.col("rank") <= k, 1.0 / F.col("rank")).otherwise(0.0)
+    return ranks.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(inside.cast("double")), 6).alias("ceiling"), F.round(F.avg(hit), 6).alias("recall"), F.round(F.avg(value), 6).alias("mrr"),
+        F.round(F.avg(F.when(inside, hit)), 6).alias("recall_in_pool"), F.round(F.avg(F.when(inside, value)), 6).alias("mrr_in_pool"),
+    )
+
+
+def group_scores(rows: DataFrame) -> DataFrame:
+    """precision, recall, f1 of predicted groups against gold groups (arrays of arrays of ids).
+
+    A predicted group is right if its ids lie inside one gold group, a gold group is found if any prediction touches it.
+    """
+    right = F.size(F.filter("predicted", lambda p: F.exists("gold", lambda g: F.size(F.array_except(p, g)) == 0)))
+    touched = F.size(F.filter("gold", lambda g: F.exists("predicted", lambda p: F.arrays_overlap(p, g))))
+    sums = rows.agg(F.sum(right).alias("r"), F.sum(F.size("predicted")).alias("np"), F.sum(touched).alias("t"), F.sum(F.size("gold")).alias("ng"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    p, r = ratio(F.col("r"), F.col("np")), ratio(F.col("t"), F.col("ng"))
+    return sums.select(F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1"))
+
+
+def stratified_sheet(lines: DataFrame, size: int, seed: str) -> DataFrame:
+    """line_id, stratum, split: ``size`` lines per stratum in the order hard, rare, random, none taken twice, half of each dev.
+
+    ``lines`` holds line_id, hard (boolean), rarity (higher is rarer); inside a stratum lines come by hash.
+    """
+    h = hash_order(seed, F.col("line_id"), "sha256")
+    taken, out = None, None
+    for stratum, part in (("hard", lines.where("hard")), ("rare", lines.orderBy(F.desc("rarity"), h).limit(4 * size)), ("random", lines)):
+        free = part if taken is None else part.join(taken, "line_id", "left_anti")
+        picked = free.withColumn("h", hash_order(seed, F.col("line_id"), "sha256")).orderBy("h", "line_id").limit(size).select("line_id", "h", F.lit(stratum).alias("stratum"))
+        taken = picked.select("line_id") if taken is None else taken.unionByName(picked.select("line_id"))
+        out = picked if out is None else out.unionByName(picked)
+    order = F.row_number().over(Window.partitionBy("stratum").orderBy("h", "line_id"))
+    return out.withColumn("i", order).select("line_id", "stratum", F.when(F.col("i") <= size // 2, "dev").otherwise("test").alias("split"))
+
+
+def sample_size(p: float, margin: float, z: float = 1.96) -> int:
+    """Judgements needed to know a rate near p to within the margin."""
+    return int(np.ceil(z * z * p * (1 - p) / (margin * margin)))

@@ -77,6 +77,37 @@ def _recall(spark, d):
     return rows[0].unionByName(rows[1])
 
 
+def _pool_metrics(spark, d):
+    pool = basket.candidate_pool(basket.pantry_queries(spark, d), _items(spark, d), 25)
+    ranks = _gold(spark, d).join(pool.select("qid", "rid", "rank"), ["qid", "rid"], "left").select("qid", "rank")
+    return evaluation.pool_metrics(ranks, 10)
+
+
+def _group_scores(spark, d):
+    gold = read_table(spark, d, "labels").select("line_id", F.lower(F.col("text")).alias("t"), F.col("groups").alias("gold")).where("gold is not null").distinct()
+    names = basket.dimension(spark, d).select("name", F.split("name", " ")[0].alias("w"))
+    words = gold.select("line_id", "t", F.explode(F.array_distinct(F.split("t", r"[^\p{L}]+"))).alias("w"))
+    hit = words.join(names, "w").where(F.col("t").contains(F.col("name"))).groupBy("line_id").agg(F.collect_set(F.array("name")).alias("predicted"))
+    none = F.array().cast("array<array<string>>")
+    return evaluation.group_scores(gold.join(hit, "line_id", "left").select(F.coalesce("predicted", none).alias("predicted"), "gold"))
+
+
+def _sheet(spark, d):
+    lines = read_table(spark, d, "labels").select("line_id", F.coalesce("not_an_ingredient", F.lit(False)).alias("hard"), F.length("text").alias("rarity")).groupBy("line_id").agg(F.max("hard").alias("hard"), F.max("rarity").alias("rarity"))
+    return evaluation.stratified_sheet(lines, 20, "42")
+
+
+def _leave_one_out(spark, d, k=10):
+    """Hide one item of each eligible basket, by hash, and look for the basket with the rest."""
+    rows = basket.baskets(spark, d).where(F.size("items") >= 3)
+    first = F.array_min(F.transform("items", lambda x: F.struct(F.sha2(F.concat(F.lit("42:"), "key", F.lit(":"), x), 256), x.alias("x"))))
+    queries = rows.withColumn("gone", first["x"]).select(F.col("key").alias("qid"), F.explode(F.array_remove("items", F.col("gone"))).alias("id"))
+    items = basket.baskets(spark, d).select(F.col("key").alias("rid"), F.explode("items").alias("id"))
+    pool = basket.candidate_pool(queries, items, k)
+    gold = queries.select("qid").distinct().join(pool.where("qid = rid").select("qid", "rank"), "qid", "left")
+    return evaluation.recall_mrr(gold, k)
+
+
 def _leaderboard(spark, d):
     rows = read_table(spark, d, "eval_pantries").select(
         basket.query_id().alias("qid"), F.coalesce("sampler", F.lit("none")).alias("sampler"), F.lower(F.trim("split")).alias("split"), F.size("distractors").alias("d")
@@ -232,6 +263,25 @@ c AS (SELECT coalesce(sum(len(list_intersect(coalesce(predicted, []), gold))), 0
         _recall,
         with_("cand", more=_R) + f"SELECT 'overlap' arm, {_HITS.format(r='recall', m='mrr')} FROM (SELECT ro rank FROM r) UNION ALL SELECT 'idf_flat', {_HITS.format(r='recall', m='mrr')} FROM (SELECT ri rank FROM r)",
     ),
+    "pool_metrics": (
+        _pool_metrics,
+        with_("pool", more=_G) + """SELECT count(*) n, round(avg((rank IS NOT NULL)::INT), 6) ceiling, round(avg((coalesce(rank, 99) <= 10)::INT), 6) recall,
+        round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) mrr, round(avg((rank <= 10)::INT), 6) recall_in_pool,
+        round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank WHEN rank IS NOT NULL THEN 0 END), 6) mrr_in_pool FROM g LEFT JOIN pool USING (qid, rid)""",
+    ),
+    "group_scores": (
+        _group_scores,
+        with_("ing", more="""l AS (SELECT DISTINCT line_id, lower(text) t, groups gold FROM labels WHERE groups IS NOT NULL),
+w AS (SELECT DISTINCT line_id, t, unnest(regexp_split_to_array(t, '[^\\p{L}]+')) w FROM l),
+p AS (SELECT DISTINCT line_id, nm FROM w JOIN ing ON string_split(nm, ' ')[1] = w WHERE contains(t, nm)),
+g AS (SELECT line_id, i, unnest(gr) x FROM (SELECT line_id, unnest(gold) gr, unnest(range(len(gold))) i FROM l)),
+s AS (SELECT (SELECT count(*) FROM p WHERE EXISTS (SELECT 1 FROM g WHERE g.line_id = p.line_id AND g.x = p.nm)) r, (SELECT count(*) FROM p) np,
+ (SELECT count(*) FROM (SELECT DISTINCT g.line_id, i FROM g JOIN p ON p.line_id = g.line_id AND p.nm = g.x)) t, (SELECT sum(len(gold)) FROM l) ng),
+a AS (SELECT coalesce(r / nullif(np, 0)::DOUBLE, 0) pr, coalesce(t / nullif(ng, 0)::DOUBLE, 0) re FROM s)""")
+        + 'SELECT round(pr, 6) AS "precision", round(re, 6) recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) f1 FROM a',
+    ),
+    "stratified_sheet": (_sheet, None),
+    "leave_one_out": (_leave_one_out, None),
     "leaderboard": (
         _leaderboard,
         with_("cand", more=_R + ", m AS (SELECT DISTINCT gold_id || '#' || draw qid, coalesce(sampler, 'none') sampler, lower(trim(split)) split, len(distractors)::INT d FROM eval_pantries)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wicker.functions.items import clean_item
 from wicker.functions.text import parse_unit
-from wicker.operators import basket, learning, nutrition, ranking, substitution
+from wicker.operators import basket, evaluation, learning, nutrition, ranking, substitution
 from wicker.operators.unit_convert import unit_rows
 from wicker.plans.sqltext import clean, with_
 from wicker.session import ensure_checkpoint_dir, read_table
@@ -78,6 +78,18 @@ def _context(spark, d):
     return ranking.context_rerank(a.select("qid", "item", (F.col("rank") - 1).alias("rank")), context, sim, 0.5, 5)
 
 
+def _list_metrics(spark, d):
+    a, b = _plain_lists(spark, d)
+    gold = b.where("rank <= 3").select("qid", "item")
+    return evaluation.list_metrics(a, gold, 5, pessimistic=True)
+
+
+def _pair_coverage(spark, d):
+    _, b = _plain_lists(spark, d)
+    vocabulary = basket.dimension(spark, d).select(F.col("name").alias("item"))
+    return evaluation.pair_coverage(b.select("qid", "item"), vocabulary)
+
+
 def _knn(spark, d):
     vectors = read_table(spark, d, "embeddings").select("vec_id", "embedding")
     return ranking.knn(vectors.where("vec_id % 20 = 0"), vectors, 5)
@@ -119,8 +131,7 @@ def _substitutes(spark, d, diet="vegan"):
 def _svd(spark, d):
     vectors = learning.svd_vectors(substitution.sppmi(_pairs(spark, d)), 8)
     named = vectors.select(F.col("item").alias("vec_id"), F.col("vector").alias("embedding"))
-    queries = named.where(F.pmod(F.xxhash64("vec_id"), F.lit(20)) == 0)
-    return ranking.knn(queries, named, 3)
+    return ranking.knn(named, named, 3)
 
 
 def _word2vec(spark, d):
@@ -248,6 +259,17 @@ QUERIES = {
         (SELECT l.qid, l.item, round(1.0::DOUBLE / l.rank + 0.5 * coalesce(avg(m.n / 100.0::DOUBLE), 0), 6) score FROM la l LEFT JOIN
         (SELECT c.qid, mr.i, mr.n FROM la c JOIN mr ON mr.j = c.item WHERE c.rank <= 2) m ON m.qid = l.qid AND m.i = l.item GROUP BY l.qid, l.item, l.rank)) WHERE rank <= 5""",
     ),
+    "list_metrics": (
+        _list_metrics,
+        with_("it", more=_L) + """SELECT count(*) n_queries, round(avg(h / 5.0::DOUBLE), 6) AS "precision", round(avg(h / g::DOUBLE), 6) recall, round(avg(coalesce(1.0::DOUBLE / f, 0)), 6) mrr FROM
+        (SELECT b.qid, count(*) g, count(*) FILTER (WHERE a.rank <= 5) h, min(a.rank) f FROM lb b LEFT JOIN la a USING (qid, item) WHERE b.rank <= 3 GROUP BY 1)""",
+    ),
+    "pair_coverage": (
+        _pair_coverage,
+        with_("it", "ing", more=_L) + """SELECT count(*) n_pairs, count(*) FILTER (WHERE qid IN (SELECT nm FROM ing) AND item IN (SELECT nm FROM ing)) covered_pairs,
+        round(count(DISTINCT CASE WHEN qid IN (SELECT nm FROM ing) THEN qid END) / count(DISTINCT qid)::DOUBLE, 6) source_coverage,
+        round(count(DISTINCT CASE WHEN item IN (SELECT nm FROM ing) THEN item END) / count(DISTINCT item)::DOUBLE, 6) target_coverage FROM lb""",
+    ),
     "knn_cosine": (
         _knn,
         """SELECT query_id, rank, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT rank FROM
