@@ -42,6 +42,13 @@ def upsert_frequencies(stream: DataFrame, table: str, checkpoint: str) -> Stream
     return stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, table: str) -> DataFrame:
+    """The last version that ``upsert_frequencies`` has written."""
+    every = spark.read.parquet(table)
+    last = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == last).drop("version")
+
+
 def run_to_end(spark: SparkSession, source: Callable[[SparkSession], DataFrame], name: str, mode: str = "complete") -> DataFrame:
     """Process all that is there into a table of the session, for tests and reports of bounded size."""
     query = source(spark).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
