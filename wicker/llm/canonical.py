@@ -98,12 +98,13 @@ def misfit(words: list[str], entry: str) -> int | None:
         short = [w.endswith(".") and p.startswith(w[:-1]) for w, p in zip(words, parts)]
         if all(s or w.rstrip(".") == p for s, w, p in zip(short, words, parts)):
             return 1
-    if "".join([*words[:-1], _singular(words[-1])]) == goal:
-        return 1
     limit = 0 if len(goal) < 4 else 1 if len(goal) < 8 else 2
+    last = words[-1].rstrip(".")
     found = distance(compact, goal, limit)
-    if found > 1 and _singular(words[-1]) != words[-1]:
-        found = min(found, 1 + distance("".join([*words[:-1], _singular(words[-1])]), goal, 1))
+    for single in {_singular(last), last.rstrip("s") if len(last) > 3 else last} - {last}:
+        d = distance("".join([*(w.rstrip(".") for w in words[:-1]), single]), goal, limit)
+        if d <= limit and d < found:  # a plural with at most as many typing errors
+            found = d
     return None if found > limit else 1 + found
 
 
