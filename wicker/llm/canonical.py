@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wicker.functions.segment import split_names
-from wicker.session import read_table
+from wicker.session import ensure_checkpoint_dir, read_table
 
 #: Least Jaccard similarity of a candidate.
 SIMILARITY = 0.5
@@ -136,11 +136,11 @@ _WINDOWS = T.ArrayType(
             T.StructField("first", T.IntegerType()),
             T.StructField("n", T.IntegerType()),
             T.StructField("words", T.StringType()),
-            T.StructField("toks", T.ArrayType(T.IntegerType())),
-            T.StructField("prefix", _PREFIX),
+            T.StructField("compact", T.StringType()),
         ]
     )
 )
+_TOKENS = T.StructType([T.StructField("toks", T.ArrayType(T.IntegerType())), T.StructField("prefix", _PREFIX)])
 
 
 def prefix_length(size: int, similarity: float = SIMILARITY) -> int:
@@ -153,45 +153,45 @@ def _ordered(compact: str, rank: dict[str, int], unknown: int) -> tuple[list[int
     return toks, [(t, i) for i, t in enumerate(toks[: prefix_length(len(toks))]) if t >= 0]
 
 
-def _windows_udf(rank: dict[str, int]):
-    @F.pandas_udf(_WINDOWS)
-    def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for text in texts:
-                words = typed_words(text)
-                found = []
-                for a in range(len(words)):
-                    for b in range(a + 1, min(len(words), a + WINDOW) + 1):
-                        part = words[a:b]
-                        if any(c.isdigit() for w in part for c in w):
-                            continue
-                        compact = "".join(w.rstrip(".") for w in part)
-                        if len(compact) > 1:
-                            found.append((a, b - a, " ".join(part), *_ordered(compact, rank, -1)))
-                out.append(found)
-            yield pd.Series(out)
-
-    return windows
-
-
-def candidates(texts: DataFrame, keys: DataFrame, rank: dict[str, int]) -> DataFrame:
-    """text, n_words, first, n, words, key, id of the runs of typed words that are similar enough to a key."""
-    runs = texts.select("text", F.explode(_windows_udf(rank)("text")).alias("w"))
-    runs = runs.select("text", "w.first", "w.n", "w.words", "w.toks", "w.prefix").withColumn("size", F.size("toks"))
-    left = runs.select("words", "size", "prefix").distinct().select("words", "size", F.explode("prefix").alias("p"))
+@F.pandas_udf(_WINDOWS)
+def _windows_udf(texts: pd.Series) -> pd.Series:
+    """Runs of up to ``WINDOW`` typed words without digits."""
+    out = []
+    for text in texts:
+        words, found = typed_words(text), []
+        for a in range(len(words)):
+            for b in range(a + 1, min(len(words), a + WINDOW) + 1):
+                if any(c.isdigit() for c in words[b - 1]):
+                    break
+                compact = "".join(w.rstrip(".") for w in words[a:b])
+                if len(compact) > 1:
+                    found.append((a, b - a, " ".join(words[a:b]), compact))
+        out.append(found)
+    return pd.Series(out)
+
+
+def _tokens_udf(rank: dict[str, int]):
+    @F.pandas_udf(_TOKENS)
+    def tokens(runs: pd.Series) -> pd.DataFrame:
+        rows = [_ordered(c, rank, -1) for c in runs]
+        return pd.DataFrame({"toks": [t for t, _ in rows], "prefix": [p for _, p in rows]})
+
+    return tokens
+
+
+def candidates(runs: DataFrame, keys: DataFrame, rank: dict[str, int]) -> DataFrame:
+    """compact, key, id, jaccard of the distinct runs of typed words (by their letters) that are similar enough to a key."""
+    sets = runs.select("compact").distinct().withColumn("t", _tokens_udf(rank)("compact")).select("compact", "t.toks", "t.prefix")
+    left = sets.select("compact", F.size("toks").alias("size"), F.explode("prefix").alias("p"))
     right = keys.select("key", F.size("ktoks").alias("ksize"), F.explode("kprefix").alias("k"))
     least = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("size") + F.col("ksize")) - 1e-9)
     room = 1 + F.least(F.col("size") - F.col("p.at") - 1, F.col("ksize") - F.col("k.at") - 1)
     length = (F.col("ksize") >= F.col("size") * SIMILARITY) & (F.col("size") >= F.col("ksize") * SIMILARITY)
-    joined = left.join(right, F.col("p.tok") == F.col("k.tok")).where(length & (room >= least)).select("words", "key").distinct()
-    sets = runs.select("words", "toks").distinct()
-    both = joined.join(sets, "words").join(keys.select("key", "id", "ktoks"), "key")
-    shared = F.size(F.array_intersect("toks", "ktoks"))
-    similar = both.withColumn("shared", shared)
+    joined = left.join(F.broadcast(right), F.col("p.tok") == F.col("k.tok")).where(length & (room >= least)).select("compact", "key").distinct()
+    both = joined.join(sets.select("compact", "toks"), "compact").join(F.broadcast(keys.select("key", "id", "ktoks")), "key")
+    similar = both.withColumn("shared", F.size(F.array_intersect("toks", "ktoks")))
     total = F.size("toks") + F.size("ktoks") - F.col("shared")
-    similar = similar.where(F.col("shared") >= SIMILARITY * total).withColumn("jaccard", F.col("shared") / total)
-    return runs.select("text", "first", "n", "words").join(similar.select("words", "key", "id", "jaccard"), "words")
+    return similar.where(F.col("shared") >= SIMILARITY * total).select("compact", "key", "id", (F.col("shared") / total).alias("jaccard"))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -199,15 +199,19 @@ def _misfit_udf(words: pd.Series, keys: pd.Series) -> pd.Series:
     return pd.Series([misfit(w.split(" "), k) for w, k in zip(words, keys)], dtype="Int32")
 
 
-@F.pandas_udf(T.IntegerType())
-def _strange_udf(texts: pd.Series, first: pd.Series, n: pd.Series) -> pd.Series:
-    """Typed words outside the run that are no fillers (a filler may be mistyped)."""
-    out = []
-    for text, a, k in zip(texts, first, n):
-        words = typed_words(text)
-        rest = words[:a] + words[a + k :]
-        out.append(sum(not _filler(w) and not _mistyped_filler(w) for w in rest))
-    return pd.Series(out, dtype="Int32")
+def _strange_udf(mistyped: bool):
+    """Typed words outside the run that are no fillers (with ``mistyped``, no mistyped ones either)."""
+
+    @F.pandas_udf(T.IntegerType())
+    def strange(texts: pd.Series, first: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for text, a, k in zip(texts, first, n):
+            words = typed_words(text)
+            rest = words[:a] + words[a + k :]
+            out.append(sum(not (_filler(w) or mistyped and _mistyped_filler(w)) for w in rest))
+        return pd.Series(out, dtype="Int32")
+
+    return strange
 
 
 def map_values(spark: SparkSession, texts: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
@@ -215,9 +219,12 @@ def map_values(spark: SparkSession, texts: DataFrame, keys: list[tuple[str, str]
 
     Null and blank texts mean none. An entry covers a run of the typed words; what stands around it must be fillers. Of
     several entries the one covering most words wins, then the better fit, the more similar, the longer, the smaller id.
+    Texts in which an entry stands letter for letter, with nothing but fillers around it, need no similarity join; that is
+    the join at similarity one, whose prefix is the whole key.
     """
     if not keys:
         return texts.limit(0).selectExpr("text", "'' AS id", "'' AS key", "0D AS jaccard")
+    ensure_checkpoint_dir(spark)
     counts = Counter(t for key, _ in keys for t in tokens_of(key.replace(" ", "")))
     rank = {t: i for i, (t, _) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0])))}
     rows = [(key, id_, *_ordered(key.replace(" ", ""), rank, -1)) for key, id_ in keys]
@@ -232,13 +239,18 @@ def map_values(spark: SparkSession, texts: DataFrame, keys: list[tuple[str, str]
             ]
         ),
     )
-    found = candidates(texts, F.broadcast(table), rank)
-    fits = found.withColumn("misfit", _misfit_udf("words", "key")).where("misfit is not null")
-    fits = fits.withColumn("strange", _strange_udf("text", "first", "n")).where("strange = 0")
+    runs = texts.select("text", F.explode(_windows_udf("text")).alias("w")).select("text", "w.first", "w.n", "w.words", "w.compact")
     # one aggregate per text, so no group of candidates is ever collected
     best = F.struct(-F.col("n"), F.col("misfit"), -F.col("jaccard"), -F.length("key"), F.col("id"), F.col("key"), F.col("jaccard"))
-    top = fits.groupBy("text").agg(F.min(best).alias("b"))
-    return top.select("text", "b.id", "b.key", "b.jaccard")
+    top = lambda df: df.groupBy("text").agg(F.min(best).alias("b")).select("text", "b.id", "b.key", "b.jaccard")
+    letters = table.select("key", "id", F.replace("key", F.lit(" "), F.lit("")).alias("compact"))
+    same = runs.join(F.broadcast(letters), "compact").withColumn("strange", _strange_udf(False)("text", "first", "n")).where("strange = 0")
+    exact = top(same.select("text", "n", F.lit(0).alias("misfit"), F.lit(1.0).alias("jaccard"), "key", "id")).checkpoint()
+    open_ = runs.join(exact.select("text"), "text", "left_anti")
+    found = open_.join(candidates(open_, table, rank), "compact")
+    fits = found.withColumn("misfit", _misfit_udf("words", "key")).where("misfit is not null")
+    fits = fits.withColumn("strange", _strange_udf(True)("text", "first", "n")).where("strange = 0")
+    return exact.unionByName(top(fits))
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
