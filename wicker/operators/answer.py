@@ -136,15 +136,17 @@ def blockers(spark: SparkSession, sf_dir: str, queries: DataFrame, top: int = 5)
 
     A basket comes into reach if held and new lines leave at most two missing. What an item brings to baskets the query
     doesn't touch is the same for every query, so it is counted once; only touched baskets are counted per query, which
-    keeps the join on shared items.
+    keeps the join on shared items. Which queries are blocked is found by ``near``, so that the others never get that far.
     """
     pack = build_pack(spark, sf_dir)
-    held = held_items(queries, pack)
+    asked = held_items(queries, pack)
+    reached = near(asked, pack).select("qid").distinct()
+    held = asked.join(reached, "qid", "left_anti").checkpoint()  # of the blocked queries only
+    blocked = held.select("qid").distinct()
     found = scored(held, pack)
-    blocked = held.select("qid").distinct().join(found.where(F.col("missing") <= MAX_MISSING).select("qid").distinct(), "qid", "left_anti")
     gain = pack.need.where("id is not null").groupBy("rid", "id").agg(F.countDistinct("line_no").alias("gain"), F.first("total").alias("total"))
     alone = gain.where(F.col("total") - F.col("gain") <= MAX_MISSING)
-    touched = found.join(blocked, "qid", "left_semi").select("qid", "rid", "have")
+    touched = found.select("qid", "rid", "have")
     satisfied = held.join(pack.need, "id").select("qid", "rid", "line_no").distinct()
     open_ = touched.join(pack.need.where("id is not null").select("rid", "line_no", "id"), "rid").join(satisfied, ["qid", "rid", "line_no"], "left_anti").join(held, ["qid", "id"], "left_anti")
     fresh = open_.groupBy("qid", "rid", "id").agg(F.countDistinct("line_no").alias("g"), F.first("have").alias("have"))

@@ -138,9 +138,7 @@ def _lookup(spark, d):
 
 
 def _blocked(spark, d):
-    """Queries of single pantry items (few baskets are in reach of one item)."""
-    rows = read_table(spark, d, "eval_pantries").select(F.concat_ws("#", "gold_id", "draw").alias("qid"), F.col("pantry")[0].alias("id")).where("id is not null").distinct()
-    return answer.blockers(spark, d, rows)
+    return answer.blockers(spark, d, basket.pantry_queries(spark, d))
 
 
 _TOP = "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY {o})::INT rank, rid FROM cand"
