@@ -1,8 +1,10 @@
 """Queries that once worked on a part of their input, against plain Python over all of it."""
 
 import random
+import re
 from collections import Counter
 
+from wicker.functions.quantity import GLYPHS
 from wicker.plans import catalog
 
 
@@ -33,3 +35,31 @@ def test_blockers_of_whole_pantries(spark, write):
         expected |= {(f"{q}#0", k + 1, i, n) for k, (i, n) in enumerate(top)}
     assert any(len(pantries[q[:-2]]) > 1 for q, *_ in expected)
     assert set(rows(catalog.queries()["answer_blockers"](spark, d))) == expected
+
+
+_NUMBER = r"(?:\d+\s+)?\d+\s*/\s*\d+|\d+\.\d+|\.\d+|\d+"
+
+
+def plain_quantity(raw):
+    """(quantity, rest) of a line, by one regular expression over the line with its marks spelled out."""
+    for glyph, v in GLYPHS.items():
+        raw = raw.replace(glyph, f" {v.numerator}/{v.denominator} ")
+    t = " ".join(raw.replace("\u2044", "/").replace("\u2013", "-").replace("\u2014", "-").split())
+    m = re.match(_NUMBER, t, re.ASCII)
+    if not m:
+        return None, t
+    *whole, last = re.sub(r"\s*/\s*", "/", m[0]).split()
+    top, _, below = last.partition("/")
+    q = None if below and not int(below) else sum(map(float, whole)) + float(top) / float(below or 1)
+    tail = r"\s*(?:-|to\b)\s*(?:\d+\s+\d+\s*/\s*\d+|\d+\s*/\s*\d+|\d+(?:\.\d+)?)"
+    return q if q is None else round(q, 9), re.sub("^" + tail, "", t[m.end() :], flags=re.ASCII).strip()
+
+
+def test_quantities_of_every_line(spark, write):
+    starts = ["", "1", "1¼", "½", "2–3", "2 to 3 1/2", "2.5", "1 1/2", "1⁄4", "1/0", ".5", "3—4", "10-12", "¾ -1"]
+    rests = [" cups x", "dL crème fraîche, sifted", " (15 oz) can x", ", a-b", "", " x 2"]
+    lines = [a + b for a in starts for b in rests] + ["jalapeño, 2", "  salt\tto taste ", "(2) eggs"]
+    d = write("parsed_ingredients", [(x,) for x in [*lines, None]], "raw string")
+    got = {r["raw"]: (r["quantity"], r["rest"]) for r in catalog.queries()["parse_quantity"](spark, d).collect()}
+    assert got == {x: plain_quantity(x) for x in lines}
+    assert got["1¼ cups x"] == (1.25, "cups x") and got["2–3, a-b"] == (2.0, ", a-b") and got["(2) eggs"] == (None, "(2) eggs")

@@ -48,7 +48,7 @@ def _lines(spark, d):
 
 def _quantity(spark, d):
     q, rest = X.parse_quantity(F.col("raw"))
-    return _lines(spark, d).where("raw rlike '^[0-9./ ]+[a-zA-Z ]+$'").select("raw", F.round(q, 9).alias("quantity"), rest.alias("rest"))
+    return _lines(spark, d).select("raw", F.round(q, 9).alias("quantity"), rest.alias("rest"))
 
 
 def _unit(spark, d):
