@@ -1,5 +1,6 @@
 """Queries that once worked on a part of their input, against plain Python over all of it."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -63,3 +64,15 @@ def test_quantities_of_every_line(spark, write):
     got = {r["raw"]: (r["quantity"], r["rest"]) for r in catalog.queries()["parse_quantity"](spark, d).collect()}
     assert got == {x: plain_quantity(x) for x in lines}
     assert got["1¼ cups x"] == (1.25, "cups x") and got["2–3, a-b"] == (2.0, ", a-b") and got["(2) eggs"] == (None, "(2) eggs")
+
+
+def test_rare_items_have_pairs_and_neighbours(spark, write):
+    rare = [["x", "y", "a"], ["y", "x", "w"], ["x", "y", "w"], ["x", "z", "b"], ["once", "a"]]
+    recipes = rare + [["a", "b"]] * 450
+    d = write("recipes", [(f"r{k}", items) for k, items in enumerate(recipes)], "recipe_id string, canonical array<string>")
+    count = Counter(i for r in recipes for i in r)
+    expected = Counter(p for r in recipes for p in itertools.combinations(sorted(i for i in r if count[i] >= 2), 2))
+    assert set(rows(catalog.queries()["cooccurrence"](spark, d))) == {(*p, n) for p, n in expected.items()}
+    assert ("x", "y", 3) in {(*p, n) for p, n in expected.items()}
+    for name, key in (("sppmi", "i"), ("graph_neighbors", "a"), ("rank_blend", "qid"), ("svd_neighbors", "query_id")):
+        assert {"x", "y"} <= {r[key] for r in catalog.queries()[name](spark, d).collect()}, name

@@ -12,19 +12,20 @@ from wicker.operators.unit_convert import unit_rows
 from wicker.plans.sqltext import clean, with_
 from wicker.session import ensure_checkpoint_dir, read_table
 
-#: Least number of baskets of a vocabulary item in these queries, as a part of all baskets (one of so many).
+#: Least number of baskets of a vocabulary item, whatever the number of baskets.
+LEAST_BASKETS = 2
+#: The bar that the SQL below still has: one of so many of all baskets.
 VOCABULARY_DEN = 200
 
 
 def _vocabulary(spark, d):
     records = basket.baskets(spark, d)
-    n = records.count()
     counts = records.select(F.explode("items").alias("item")).groupBy("item").count()
-    return records, counts.where(F.col("count") * VOCABULARY_DEN >= n).select("item")
+    return records, counts.where(F.col("count") >= LEAST_BASKETS).select("item")
 
 
 def _pairs(spark, d):
-    """Pair counts over the vocabulary; written once, since several stages read them, and bounded by the vocabulary."""
+    """Pair counts over the vocabulary; written once, since several stages read them."""
     records, vocabulary = _vocabulary(spark, d)
     ensure_checkpoint_dir(spark)
     return substitution.cooccurrence(records, vocabulary).checkpoint()
