@@ -1,8 +1,9 @@
 """Items that appear together: exact pair counts by heavy-light decomposition, and lift.
 
-A pair can only reach the support asked for if both its items do, so items below it are left out first; what remains is
-bounded by ``min_share_den`` times the mean number of items of a record, whatever the size of the table, and is sent to
-the workers behind a check of that size. Each partition counts its records in blocks: pairs of heavy items by popcounts of
+A pair can only reach the support asked for if both its items do, so items below it are left out first. With a share as
+support (``p2_found``) what remains is bounded by ``min_share_den`` times the mean number of items of a record, whatever
+the size of the table; with a count alone (``p2_pairs``) it grows with the table. It is sent to the workers behind a check
+of its size, beyond which the pairs are counted by a shuffle. Each partition counts its records in blocks: pairs of heavy items by popcounts of
 a dense bit matrix, pairs of light items in a hash table, mixed pairs by probing the bit rows of the heavy items with the
 record lists of the light ones. The union of the partial counts is summed by pair.
 """
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wicker.functions.items import record_items
@@ -125,10 +126,10 @@ def _block_counts(records: DataFrame, codes: list[dict[str, int]], heavy: list[i
 
 
 def pair_counts(
-    spark: SparkSession, sources: list[DataFrame], min_count: int = 5, min_share_den: int = 400, heavy_den: int = 64
+    spark: SparkSession, sources: list[DataFrame], min_count: int = 5, min_share_den: int | None = 400, heavy_den: int = 64
 ) -> DataFrame:
-    """src (index of the source), item_a < item_b, n_ab, n_a, n_b, n_all of every pair with n_ab >= min_count and
-    min_share_den * n_ab >= n_all.
+    """src (index of the source), item_a < item_b, n_ab, n_a, n_b, n_all of every pair with n_ab >= min_count and, unless
+    min_share_den is None, min_share_den * n_ab >= n_all.
 
     ``sources`` hold ``key`` and ``items`` (distinct items, one row per record). Items found in at least one of
     ``heavy_den`` records are heavy. Empty sources give no rows; ties don't matter, every pair is counted exactly.
@@ -141,7 +142,7 @@ def pair_counts(
     counts = exploded.groupBy("src", "item").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.where("item is null").select("src", F.col("n").alias("n_all"))
     eligible = counts.where(F.col("item").isNotNull()).join(F.broadcast(totals), "src")
-    eligible = eligible.where((F.col("n") >= min_count) & (F.col("n") * min_share_den >= F.col("n_all")))
+    eligible = eligible.where((F.col("n") >= min_count) & _share("n", min_share_den))
     rows = eligible.limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
         return _shuffled_counts(records, eligible, min_count, min_share_den)
@@ -155,14 +156,14 @@ def pair_counts(
         [(i, k, item, n, n_all[i]) for i, p in enumerate(per) for k, (n, item) in enumerate(p)],
         "src int, code int, item string, n long, n_all long",
     )
-    share = F.col("n_ab") * min_share_den >= F.col("n_all")
+    share = _share("n_ab", min_share_den)
     left = names.select("src", F.col("code").alias("a"), F.col("item").alias("x"), F.col("n").alias("n_x"), "n_all")
     right = names.select("src", F.col("code").alias("b"), F.col("item").alias("y"), F.col("n").alias("n_y"))
     joined = pairs.where(F.col("n_ab") >= min_count).join(F.broadcast(left), ["src", "a"]).where(share).join(F.broadcast(right), ["src", "b"])
     return _ordered(joined)
 
 
-def _shuffled_counts(records: DataFrame, eligible: DataFrame, min_count: int, min_share_den: int) -> DataFrame:
+def _shuffled_counts(records: DataFrame, eligible: DataFrame, min_count: int, min_share_den: int | None) -> DataFrame:
     """The same counts without any table on the driver: pairs of eligible items of a record, counted by a shuffle."""
     items = records.select("src", "key", F.explode("items").alias("item")).join(eligible, ["src", "item"])
     entry = F.struct("item", "n", "n_all")
@@ -172,7 +173,11 @@ def _shuffled_counts(records: DataFrame, eligible: DataFrame, min_count: int, mi
     grouped = pairs.groupBy(
         "src", F.col("p.item").alias("x"), F.col("q.item").alias("y"), F.col("p.n").alias("n_x"), F.col("q.n").alias("n_y"), F.col("p.n_all").alias("n_all")
     ).agg(F.count(F.lit(1)).alias("n_ab"))
-    return _ordered(grouped.where((F.col("n_ab") >= min_count) & (F.col("n_ab") * min_share_den >= F.col("n_all"))))
+    return _ordered(grouped.where((F.col("n_ab") >= min_count) & _share("n_ab", min_share_den)))
+
+
+def _share(n: str, min_share_den: int | None) -> Column:
+    return F.lit(True) if min_share_den is None else F.col(n) * min_share_den >= F.col("n_all")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -188,13 +193,16 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     )
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, item_a, item_b, n_ab, n_a, n_b, lift of the pairs of ``raw_recipes.ner`` and ``recipes.canonical``."""
+def pairs(spark: SparkSession, sf_dir: str, min_share_den: int | None = None) -> DataFrame:
+    """src, item_a, item_b, n_ab, n_a, n_b, lift of the pairs of ``raw_recipes.ner`` and ``recipes.canonical``.
+
+    Every pair found in at least five records counts; a share of all records is asked for only by ``found``.
+    """
     sources = [
         record_items(read_table(spark, sf_dir, "raw_recipes"), "raw_id", "ner"),
         record_items(read_table(spark, sf_dir, "recipes"), "recipe_id", "canonical"),
     ]
-    counted = pair_counts(spark, sources)
+    counted = pair_counts(spark, sources, min_share_den=min_share_den)
     src = F.array(F.lit("raw_recipes.ner"), F.lit("recipes.canonical"))[F.col("src")]
     lift = F.col("n_ab") * F.col("n_all") / (F.col("n_a") * F.col("n_b"))
     return counted.select(src.alias("src"), "item_a", "item_b", "n_ab", "n_a", "n_b", "n_all", F.round(lift, 6).alias("lift"))
@@ -203,7 +211,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, item_a, item_b of the pairs found at least four times as often as chance would have them."""
     often = F.col("n_ab") * F.col("n_all") >= 4 * F.col("n_a") * F.col("n_b")
-    return pairs(spark, sf_dir).where(often).select("src", "item_a", "item_b")
+    return pairs(spark, sf_dir, 400).where(often).select("src", "item_a", "item_b")
 
 
 _PAIRS_SQL = """
