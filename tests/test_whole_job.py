@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import unicodedata
 from collections import Counter
 
 from wicker.functions.quantity import GLYPHS
@@ -76,3 +77,41 @@ def test_rare_items_have_pairs_and_neighbours(spark, write):
     assert ("x", "y", 3) in {(*p, n) for p, n in expected.items()}
     for name, key in (("sppmi", "i"), ("graph_neighbors", "a"), ("rank_blend", "qid"), ("svd_neighbors", "query_id")):
         assert {"x", "y"} <= {r[key] for r in catalog.queries()[name](spark, d).collect()}, name
+
+
+def plain_normal(t):
+    t = re.sub(r"\([^)]*\)", " ", unicodedata.normalize("NFKC", t).lower().strip())
+    return " ".join(re.sub(r"[^a-z0-9/.\-\s]", " ", t).split())
+
+
+def plain_singular(w):
+    if len(w) <= 3 or w.endswith("ss") or w.endswith("sses"):
+        return w
+    if w.endswith("ies"):
+        return w[:-3] + "y"
+    return w[:-2] if w.endswith(("ches", "shes", "ses", "xes", "zes", "oes")) else w.removesuffix("s")
+
+
+def plain_key(t):
+    t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    return " ".join(map(plain_singular, plain_normal(t.replace("-", " ")).split()))
+
+
+def test_texts_of_any_characters(spark, write):
+    names = ["jalapeño", "crème fraîche", "7-up", "half & half", "salt"]
+    typed = ["Jalapeños", "creme fraiche", "7 up", "Crème Fraîche (cold), 2", "½ salt", "salt", "ﬁgs", "half & half", "naïve, x"]
+    write("ingredients", [(f"i{k}", n, "0") for k, n in enumerate(names)], "id string, name string, staple string")
+    write("realistic_inputs", [(k, t) for k, t in enumerate([*typed, None, " "])], "input_id long, text string")
+    write("parsed_ingredients", [(t,) for t in typed], "raw string")
+    d = write("raw_recipes", [(1, [*typed, None])], "raw_id long, ner array<string>")
+    clean = {t: " ".join(t.lower().split()) for t in typed}
+    q = catalog.queries()
+    assert dict(rows(q["normalize"](spark, d))) == {t: plain_normal(t) for t in typed}
+    got = dict(map(tuple, q["canonicalize"](spark, d).collect()))
+    assert {t: got[t] for t in typed} == {t: " ".join(map(plain_singular, plain_normal(t.replace("-", " ")).split())) for t in typed}
+    words = {w + e for t in clean.values() for w in t.split() for e in ("", "s", "es", "ies")}
+    assert dict(rows(q["singularize"](spark, d))) == {w: plain_singular(w) for w in words}
+    ids = {plain_key(n): f"i{k}" for k, n in enumerate(names)}
+    assert set(rows(q["resolve_names"](spark, d))) == {(k, clean[t], ids.get(plain_key(clean[t]))) for k, t in enumerate(typed)}
+    foods = {r["name"]: (r["food_id"], r["how"]) for r in q["jaccard_match"](spark, d).collect()}
+    assert set(foods) == set(clean.values()) and foods["half & half"] == ("i3", "exact") and foods["½ salt"] == ("i4", "similar")

@@ -86,8 +86,8 @@ def _suggest(spark, d):
 
 
 def _resolve_names(spark, d):
-    names = read_table(spark, d, "realistic_inputs").select(F.col("input_id").alias("qid"), F.lit(0).alias("pos"), clean_item(F.col("text")).alias("name")).where("name rlike '^[a-z ]+$'").distinct()
-    keys = resolve.canonical_keys(basket.dimension(spark, d).where("name rlike '^[a-z ]+$'").select("id", F.col("name").alias("form")))
+    names = read_table(spark, d, "realistic_inputs").select(F.col("input_id").alias("qid"), F.lit(0).alias("pos"), clean_item(F.col("text")).alias("name")).where("name <> ''").distinct()
+    keys = resolve.canonical_keys(basket.dimension(spark, d).select("id", F.col("name").alias("form")))
     return resolve.resolve_names(names, keys).select("qid", "name", "id")
 
 

@@ -184,8 +184,8 @@ def _coverage(spark, d):
 
 
 def _match_foods(spark, d):
-    names = read_table(spark, d, "realistic_inputs").select(clean_item(F.col("text")).alias("name")).where("name rlike '^[a-z ]+$'").distinct()
-    dim = basket.dimension(spark, d).where("name rlike '^[a-z ]+$'")
+    names = read_table(spark, d, "realistic_inputs").select(clean_item(F.col("text")).alias("name")).where("name <> ''").distinct()
+    dim = basket.dimension(spark, d)
     foods = dim.select(F.col("id").alias("food_id"), F.col("name").alias("description"), F.col("id").alias("ord"))
     aliases = spark.createDataFrame([("sugar", "white_sugar")], "name string, food_id string")
     return nutrition.match_foods(names, foods, aliases)

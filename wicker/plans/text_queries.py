@@ -12,9 +12,9 @@ from wicker.sources import readers, wiki
 
 
 def _names(spark, d):
-    """Distinct clean item names of plain letters."""
+    """Distinct clean item names."""
     items = read_table(spark, d, "raw_recipes").select(F.explode("ner").alias("x"))
-    return items.select(clean_item(F.col("x")).alias("name")).where("name rlike '^[a-z ]+$'").distinct()
+    return items.select(clean_item(F.col("x")).alias("name")).where("name <> ''").distinct()
 
 
 _NAMES = f"nm AS (SELECT DISTINCT {clean('x')} name FROM (SELECT unnest(ner) x FROM raw_recipes) WHERE regexp_matches({clean('x')}, '^[a-z ]+$'))"
@@ -28,7 +28,7 @@ def _singularize(spark, d):
 
 
 def _canonicalize(spark, d):
-    texts = read_table(spark, d, "realistic_inputs").select("text").where("text rlike '^[A-Za-z0-9 (),-]+$'").distinct()
+    texts = read_table(spark, d, "realistic_inputs").select("text").where("text is not null").distinct()
     return texts.select("text", X.canonicalize(F.col("text")).alias("canonical"))
 
 
@@ -88,8 +88,7 @@ def _pages(spark, d):
 
 
 def _normalize(spark, d):
-    lines = _lines(spark, d).where("raw rlike '^[ -~]*$'")
-    return lines.select("raw", X.normalize(F.col("raw")).alias("normal"))
+    return _lines(spark, d).select("raw", X.normalize(F.col("raw")).alias("normal"))
 
 
 _NUM = r"^(?:(\d+)\s+)?(\d+)\s*/\s*(\d+)"
