@@ -42,6 +42,28 @@ def test_lines(text, values):
     assert split_line(text, KNOWN) == values
 
 
+def test_dictionary_decides():
+    """Without the dictionary a list is no list, and a mark inside a known value is a boundary."""
+    nothing = ValueDictionary([])
+    assert split_line("2 cups salt, 3 g wheat flour", nothing) == ["2 cups salt, 3 g wheat flour"]
+    assert split_line("1 black | white flour; 2 salt", KNOWN) == ["1 black", "white flour", "2 salt"]
+    assert split_line("1 black | white flour; 2 salt", ValueDictionary(["black | white flour"])) == ["1 black | white flour", "2 salt"]
+    assert split_line("1 flour, white, 2 salt, 3 salt, white", KNOWN) == ["1 flour, white, 2 salt, 3 salt, white"]
+    assert split_names("flour, white, salt") == ["flour", "white", "salt"]
+    assert split_names("flour, white, salt; sea salt/flour, white", KNOWN) == ["flour, white", "salt", "sea salt", "flour, white"]
+    assert split_names("oat flour, white, salt", KNOWN) == ["oat flour", "white", "salt"]
+
+
+def test_parts_of_a_large_dictionary_change_nothing(spark, write):
+    values = ["salt", "wheat flour", "flour, white", "olive oil", "red onion", "black | white flour"]
+    d = write("ingredients", [(f"i{k}", v, "flour, white, salt; oat/x") for k, v in enumerate(values)], "id string, name string, synonyms string")
+    lines = ["2 cups flour, white, 3 salt", "1 black | white flour; 2 salt", "1 oil, 2 onion, 3 flour", "salt, 3 g", None, "", "1 salt, 2 at a time"]
+    write("source_recipes", [("r1", lines), ("r2", None)], "recipe_id string, ingredient_lines array<string>")
+    whole = sorted(map(tuple, packed_values.found(spark, d).collect()))
+    assert whole == sorted(map(tuple, packed_values.found(spark, d, part=2).collect()))
+    assert ("source_recipes.ingredient_lines", "r1", 2, 2, "3 flour") in whole
+
+
 def test_cover_takes_most_characters():
     d = ValueDictionary(["ab", "b c d", "c", "ab b"])
     assert [("ab b c d"[a:b]) for a, b in d.cover("ab b c d")] == ["ab", "b c d"]

@@ -6,6 +6,7 @@ The unit of work is one string; the Spark side is ``wicker.operators.packed_valu
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 
 import ahocorasick
@@ -24,16 +25,49 @@ _OWN_AMOUNT = re.compile(
 )
 
 
-class ValueDictionary:
+class FoundValues:
+    """Known values already found in one text: their (start, stop) by stop, and the kinds of thing it names."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = (), heads: Iterable[str] = ()):
+        self.found = list(spans)
+        self.heads = set(heads)
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        return self.found
+
+    def cover(self, text: str) -> list[tuple[int, int]]:
+        """The non-overlapping known values that cover the most characters."""
+        best: list[tuple[int, int]] = [(0, 0)]  # (covered characters, -values) up to each match end
+        chosen: list[tuple[int, tuple[int, int] | None]] = [(0, None)]
+        ends = [0]
+        for start, stop in self.spans(text):
+            if stop > ends[-1]:
+                ends.append(stop)
+                best.append(best[-1])
+                chosen.append((len(ends) - 2, None))
+            j = bisect_right(ends, start) - 1
+            option = (best[j][0] + stop - start, best[j][1] - 1)
+            if option > best[-1]:
+                best[-1], chosen[-1] = option, (j, (start, stop))
+        out, i = [], len(ends) - 1
+        while i > 0:
+            i, span = chosen[i]
+            if span:
+                out.append(span)
+        return out[::-1]
+
+
+class ValueDictionary(FoundValues):
     """Known whole values in a multi-pattern automaton.
 
     ``cover`` picks, by dynamic programming over the match ends, the set of non-overlapping whole-word matches that
-    covers the most characters (fewest values on a tie).
+    covers the most characters (fewest values on a tie). ``heads`` are the last words of values of several words: the kinds
+    of thing that are named.
     """
 
     def __init__(self, values: Iterable[str]):
+        super().__init__()
         self.automaton = ahocorasick.Automaton()
-        self.heads: set[str] = set()
         for value in values:
             key = value.strip().lower()
             if not key:
@@ -46,37 +80,22 @@ class ValueDictionary:
         if not self.empty:
             self.automaton.make_automaton()
 
-    def cover(self, text: str) -> list[tuple[int, int]]:
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """(start, stop) of every whole-word occurrence of a known value, by stop."""
         if self.empty:
             return []
         low = text.lower()
         if len(low) != len(text):  # a character whose lower form is longer
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        spans: dict[int, list[int]] = {}
+        out = []
         for end, length in self.automaton.iter(low):
             start, stop = end - length + 1, end + 1
-            if (start and low[start - 1].isalnum()) or (stop < len(low) and low[stop].isalnum()):
-                continue
-            spans.setdefault(stop, []).append(start)
-        ends = sorted(spans)
-        # best[i]: (covered characters, -values, chosen spans) using matches that end at or before ends[i - 1]
-        best: list[tuple[int, int, tuple]] = [(0, 0, ())]
-        for i, stop in enumerate(ends):
-            top = best[i]
-            for start in spans[stop]:
-                j = i
-                while j > 0 and ends[j - 1] > start:
-                    j -= 1
-                covered, values, chosen = best[j]
-                option = (covered + stop - start, values - 1, (*chosen, (start, stop)))
-                if option[:2] > top[:2]:
-                    top = option
-            best.append(top)
-        return list(best[-1][2])
-
-    def names(self, piece: str) -> bool:
-        """True if the piece holds a known value, or at least a known kind of thing (last word of a known value)."""
-        return bool(self.cover(piece)) or any(w in self.heads for w in re.findall(r"[^\W\d_]+", piece.lower()))
+            if not (start and low[start - 1].isalnum() or stop < len(low) and low[stop].isalnum()):
+                out.append((start, stop))
+        return out
+
+    def kinds(self, text: str) -> list[str]:
+        return sorted({w for w in re.findall(r"[^\W_]+", text.lower()) if w in self.heads})
 
 
 def protected(text: str) -> bytearray:
@@ -134,40 +153,122 @@ def _values(pieces: Iterable[str]) -> list[str]:
     return [v for v in map(clean, pieces) if v]
 
 
-def split_names(text: str | None) -> list[str]:
-    """The names of a field of names: every unprotected mark is a boundary."""
+def split_names(text: str | None, known: FoundValues | None = None) -> list[str]:
+    """The names of a field of names.
+
+    A dynamic program chooses the boundaries among the marks outside quotes and brackets: a name may hold a mark only if it
+    is a known value as a whole, and of all ways to cut the one that covers the most characters with known values is taken,
+    then the one with most names. Without a dictionary every such mark is a boundary.
+    """
     if not text:
         return []
     if not any(c in NAME_MARKS for c in text):
         return _values([text])
     mask = protected(text)
-    return _values(_cut(text, [i for i, c in enumerate(text) if c in NAME_MARKS and not mask[i]]))
+    marks = [i for i, c in enumerate(text) if c in NAME_MARKS and not mask[i]]
+    spans: dict[int, list[int]] = {}
+    for start, stop in known.spans(text) if known else ():
+        spans.setdefault(start, []).append(stop)
+    edges = [-1, *marks, len(text)]
+    best: list[tuple[int, int, int]] = [(0, 0, -1)] + [(-1, 0, -1)] * (len(edges) - 1)  # covered characters, names, last edge
+    for a in range(len(edges) - 1):
+        covered, names, _ = best[a]
+        first = edges[a] + 1
+        while first < edges[a + 1] and text[first].isspace():
+            first += 1
+        reach = {a + 1: 0}
+        for stop in spans.get(first, ()):
+            b = bisect_right(edges, stop - 1)
+            if b < len(edges) and not text[stop : edges[b]].strip():
+                reach[b] = max(reach.get(b, 0), stop - first)
+        for b, gain in reach.items():
+            option = (covered + gain, names + 1, a)
+            if option[:2] > best[b][:2]:
+                best[b] = option
+    cuts, at = [], len(edges) - 1
+    while at > 0:
+        at = best[at][2]
+        if at > 0:
+            cuts.append(edges[at])
+    return _values(_cut(text, cuts[::-1]))
 
 
-def split_line(text: str | None, known: ValueDictionary) -> list[str]:
-    """The ingredients of a free line.
+_AMOUNT, _NAMED = range(2)
+_TOKEN = re.compile(r"[^\W_]+|.", re.DOTALL)
 
-    A mark of ``LINE_MARKS`` outside quotes and brackets is a boundary. A comma is one only in a line without such a
-    mark, and only if every comma-separated piece starts with its own amount and names an ingredient; commas inside a
-    known value, between digits (decimal commas), in quotes and in brackets never count.
+
+def _comma_cuts(text: str, mask: bytearray, spans: dict[int, list[int]], heads: set[str]) -> list[int] | None:
+    """The commas that set ingredients apart, or None if the line is no list.
+
+    A path reads the line as known values, fillers and boundaries. Every comma outside quotes, brackets and numbers is
+    either inside a known value on the path or a boundary, and a boundary needs a piece that opened with its own amount and
+    has named an ingredient: by a known value or by the last word of one. The path that covers the most characters with
+    known values wins, then the one with fewest values.
+    """
+    n = len(text)
+    # at each place two readings: an amount and no name yet, or a name as well; (covered, -values, place and reading before)
+    best: dict[tuple[int, int], tuple[int, int, tuple[int, int] | None]] = {}
+
+    def reach(to: tuple[int, int], covered: int, values: int, before: tuple[int, int] | None) -> None:
+        if to not in best or best[to][:2] < (covered, values):
+            best[to] = (covered, values, before)
+
+    if not _OWN_AMOUNT.match(text):
+        return None
+    reach((0, _AMOUNT), 0, 0, None)
+    for token in _TOKEN.finditer(text):
+        at, end = token.span()
+        for state in (_AMOUNT, _NAMED):
+            here = best.get((at, state))
+            if here is None:
+                continue
+            covered, values, _ = here
+            for stop in spans.get(at, ()):
+                reach((stop, _NAMED), covered + stop - at, values - 1, (at, state))
+            digits = text[at - 1 : at].isdigit() and text[end : end + 1].isdigit()
+            if text[at] == "," and not mask[at] and not digits:
+                if state == _NAMED and _OWN_AMOUNT.match(text, end):
+                    reach((end, _AMOUNT), covered, values, (at, state))
+            else:
+                kind = token[0].lower() in heads
+                reach((end, _NAMED if kind else state), covered, values, (at, state))
+    at = (n, _NAMED)
+    if at not in best:
+        return None
+    cuts = []
+    while (before := best[at][2]) is not None:
+        if before[1] == _NAMED and at[1] == _AMOUNT:
+            cuts.append(before[0])
+        at = before
+    return cuts[::-1]
+
+
+def split_line(text: str | None, known: FoundValues) -> list[str]:
+    """The ingredients of a free line, cut by the best cover with known values, fillers and boundaries.
+
+    A mark of ``LINE_MARKS`` outside quotes and brackets is a boundary unless the cover puts it inside a known value. A comma
+    is one only in a line without such a mark, and only if every piece starts with its own amount and names an ingredient;
+    commas inside a known value, between digits (decimal commas), in quotes and in brackets never count.
     """
     if not text:
         return []
     hard = [i for i, c in enumerate(text) if c in LINE_MARKS]
-    if not hard and "," not in text:
+    if not hard and "," not in text:  # nothing to choose
         return _values([text])
     mask = protected(text)
     hard = [i for i in hard if not mask[i]]
     if hard:
-        return _values(_cut(text, hard))
-    commas = [i for i, c in enumerate(text) if c == "," and not mask[i] and not (text[i - 1 : i].isdigit() and text[i + 1 : i + 2].isdigit())]
-    if not commas:
-        return _values([text])
-    pieces = _cut(text, commas)
-    if all(_OWN_AMOUNT.match(p) for p in pieces):
-        inside = known.cover(text)
-        commas = [i for i in commas if not any(a < i < b for a, b in inside)]
-        pieces = _cut(text, commas)
-        if all(_OWN_AMOUNT.match(p) and known.names(p) for p in pieces):
-            return _values(pieces)
-    return _values([text])
+        inside = iter([*known.cover(text), (len(text), len(text))])
+        a, b = next(inside)
+        cuts = []
+        for i in hard:
+            while b <= i:
+                a, b = next(inside)
+            if not a < i:
+                cuts.append(i)
+        if cuts:
+            return _values(_cut(text, cuts))
+    spans: dict[int, list[int]] = {}
+    for start, stop in known.spans(text):
+        spans.setdefault(start, []).append(stop)
+    return _values(_cut(text, _comma_cuts(text, mask, spans, known.heads) or []))

@@ -9,20 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicker.functions.quantity import Converter, factor_rows
+from wicker.functions.quantity import SPELLINGS, Converter, factor_rows
 from wicker.operators.packed_values import explode_lines, known_values
 from wicker.session import read_table
 
-MAX_UNITS = 10_000
 _AMOUNT = "base_unit string, amount_tenths long"
 
 
-def unit_rows(spark: SparkSession, sf_dir: str, limit: int = MAX_UNITS) -> list[tuple[str, str, float]]:
-    """The unit symbols with their factors: a dimension whose size is checked before it is sent to the workers."""
-    rows = read_table(spark, sf_dir, "unit_factors").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} unit symbols")
-    return factor_rows(rows)
+def unit_rows(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, float]]:
+    """The factors of the unit symbols that the grammar can spell; their number bounds what is sent to the workers."""
+    table = read_table(spark, sf_dir, "unit_factors").where(F.col("unit").isin(*SPELLINGS))
+    return factor_rows(table.groupBy("unit").agg(F.min("base_unit").alias("base_unit"), F.min("factor").alias("factor")).collect())
 
 
 def amount_of_text(factors: list[tuple[str, str, float]]):
