@@ -38,7 +38,7 @@ def _splitter(values: list[str], split: Callable):
         for texts in batches:
             yield texts.map(lambda t: split(t, known))
 
-    return run
+    return run.asNondeterministic()  # else the filter on empty arrays runs it a second time
 
 
 def _finder(values: list[str]):
@@ -58,7 +58,7 @@ def _found_splitter(split: Callable):
     def run(texts: pd.Series, spans: pd.Series, heads: pd.Series) -> pd.Series:
         return pd.Series([split(t, FoundValues([(s["a"], s["b"]) for s in f], h)) for t, f, h in zip(texts, spans, heads)])
 
-    return run
+    return run.asNondeterministic()
 
 
 def split_values(df: DataFrame, text: str, values: DataFrame, split: Callable, part: int = PART) -> DataFrame:
