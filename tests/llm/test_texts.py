@@ -17,10 +17,39 @@ def test_ids_agree_with_the_public_library():
     t.encode_special_tokens = True
     rnd = random.Random(1)
     texts = TEXTS + ["".join(rnd.choices("ab e\n'ü9漢.-", k=rnd.randint(0, 60))) for _ in range(400)]
-    encoder = tokenize.Encoder(tokenize.load_merges(), kept=10)
-    for part in (texts[:100], texts[100:], texts):
-        assert encoder.ids(part) == [e.ids for e in t.encode_batch([x or "" for x in part], add_special_tokens=False)]
-    assert encoder.counts(texts) == [len(i) for i in encoder.ids(texts)]
+    wanted = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    words = sorted(tokenize.Cutter().count(texts))
+    table = dict(zip(words, tokenize.replay(words, tokenize.load_merges())))
+    for known in (table, {w: i for w, i in table.items() if len(w) < 4}, {}):
+        encoder, got = tokenize.KnownIds(known), []
+        for text in texts:
+            parts, rare = encoder.pieces(text)
+            ordered = sorted([*parts, *((at, table[w]) for at, w in rare)])
+            assert [at for at, _ in ordered] == list(range(len(ordered)))
+            got.append([i for _, ids in ordered for i in ids])
+        assert got == wanted
+    cut = tokenize.Cutter()
+    blanks = ["".join(rnd.choices("a.\u00a0\x1c\x1f \n\u3000'", k=9)) for _ in range(2000)]
+    assert [[w for c in cut.chunks(x) for w in cut.words(c)] for x in blanks] == [cut.words(x) for x in blanks]
+
+
+@needs_vocabulary
+@pytest.mark.parametrize("frequent", [10**6, 5, 1])
+def test_corpus_words_return_to_their_documents(spark, monkeypatch, frequent):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenize, "FREQUENT", frequent)
+    t = Tokenizer.from_file(tokenize.VOCABULARY)
+    t.encode_special_tokens = True
+    texts = [*TEXTS, "stir the soup, the hot soup " * 30, "the soup", "the soup"]
+    df = spark.createDataFrame([(k // 2, x) for k, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    wanted = sorted((k // 2, t.encode(x or "", add_special_tokens=False).ids) for k, x in enumerate(texts))
+    assert sorted((r["key"], r["ids"]) for r in tokenize.encode(spark, df, "doc_id", "text").collect()) == wanted
+    sizes = tokenize.count_tokens(spark, df, "text").collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in sizes) == sorted((k, len(i)) for k, i in wanted)
+    words = {r["word"]: r["n"] for r in tokenize.word_ids(df, "text").collect()}
+    assert words[" soup"] == 62 and tokenize.word_ids(df.limit(0), "text").count() == 0
+    assert tokenize.encode(spark, df.limit(0), "doc_id", "text").count() == 0
 
 
 @needs_vocabulary
