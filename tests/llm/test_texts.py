@@ -180,3 +180,47 @@ def test_posteriors_are_probabilities():
     m = sentences.model()
     places = sentences.contexts("Dr. Vale left. 5. Then he ate.", m.known)
     assert all(0 <= p <= 1 for p in m.posteriors(places))
+
+
+HELD_OUT = [
+    "Gen. Smith left. ‖ Capt. Roe sat. ‖ They rested.", "It held 9 of 12. ‖ 7. Rinse the rice. ‖ 8. Drain it.", "She was born in 1950. ‖ The town was small.",
+    "1. Mix. ‖ 2. Bake. ‖ 3. Eat it warm.", "No. ‖ She stayed. ‖ Look at no. 9 there.", "See https://www.example.org/aaaaa/b.Html for it. ‖ Go on.",
+    "ទឹកពុះ។ ‖ ដាក់អំបិល។", "ရေဆူပြီ။ ‖ ဆားထည့်ပါ။", "ဆားထည့်ပါ ‖ ရေဆူပြီ", "ཆུ་ཁོལ་སོང་། ‖ ཚྭ་བླུགས།", "Lt. Marsh saw it. ‖ Done. ‖ They left.",
+]
+
+
+def _f1(events, decide):
+    right = wrong = missed = 0
+    for line in HELD_OUT:
+        text, marks = sentences._unmark(line)
+        places = sentences.contexts(text, events.lexicon)
+        got = {p[0] for p, s in zip(places, decide(places)) if s > 0.5}
+        right, wrong, missed = right + len(got & marks), wrong + len(got - marks), missed + len(marks - got)
+    return 2 * right / (2 * right + wrong + missed)
+
+
+def test_forward_backward_decides():
+    """Without the event before, titles and step numbers are cut or joined wrongly."""
+    m = sentences.model()
+
+    def alone(places):
+        return [s / (s + n) for s, n in (m.probability(left, right, "", "") for _, left, right, _ in places)]
+
+    assert _f1(m, m.posteriors) == 1 > _f1(m, alone)
+
+
+def test_the_corpus_teaches_abbreviations(spark):
+    texts = ["He ate with Brg. and left. They saw 4 grb. of rice, 5 grb. of oil. He took 6 grb. Then he ate. It was grb. Smith."] * 3 + [None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    evidence = sentences.corpus_evidence(df, "text")
+    assert evidence.pointed["grb"] == (6, 12) and "ate" in evidence.plain and "they" not in evidence.common
+    text = "We had 7 grb. Oil was there."
+    assert len(sentences.sentences(text)) == 2 and len(sentences.sentences("They had Tsp. Oil.", sentences.HiddenEventModel(evidence=evidence))) == 1
+    assert len(sentences.sentences("It needs grb. 5 cups.", sentences.HiddenEventModel(evidence=evidence))) == 1
+    assert sentences.corpus_evidence(df.limit(0), "text") == sentences.Evidence()
+
+
+def test_time_grows_with_the_text():
+    for text in ("a." * 200_000, "a" * 200_000 + "(" + "b" * 200_000 + ". C", "1. " * 100_000, "http://" + "a.b/" * 100_000):
+        covered = sentences.sentences(text)
+        assert "".join("".join(text[a:b].split()) for a, b in covered) == "".join(text.split())

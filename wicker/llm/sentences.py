@@ -1,25 +1,32 @@
 """Sentence boundaries across languages and scripts: a hidden-event n-gram model.
 
-Between the tokens of a text stands a hidden event, a boundary (S) or none (N). Events can only stand behind end marks with
-their closing quotes and brackets, and at blanks between Thai letters. The model multiplies the probability of an event
-after its left context (the word with its mark, and for a bare number what stood before it) with that of the token that
-follows; both are counted on a small annotated text (``SEED``) and smoothed by backing off to shorter contexts. Posteriors
-from a forward-backward pass over each paragraph decide the boundaries. Blank lines always end a sentence, single line breaks are
-blanks.
+Between the tokens of a text stands a hidden event, a boundary (S) or none (N). Where the annotated text (``SEED``) never shows a
+boundary, between words without a mark, its probability is zero, so events are looked for behind end marks with their
+closing quotes and brackets, and at blanks in scripts that part sentences by blanks. There the model multiplies the
+probability of an event after its left context (the word with its mark, whether it stands alone since the event before,
+and that event) with that of the token that follows; both are counted on the annotated text and smoothed by backing off to
+shorter contexts. Posteriors from a forward-backward pass over each paragraph decide the boundaries.
+
+The corpus adds what the annotated text can't know: a point before a lower-case word is an unambiguous label, so pointed words
+that mostly stand so are counted as abbreviations; short capitalised words that also stand without a point are
+names or words, others that open a sentence may be titles; capitalised words that also occur in lower case open sentences.
+
+Blank lines always end a sentence, single line breaks are blanks.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicker.session import read_table
+from wicker.session import read_table, written
 
 #: The annotated text the model is counted on: ‖ marks a boundary, every other place is none. One paragraph per line.
 SEED = """
@@ -53,22 +60,52 @@ El Dr. Ruiz y la Sra. Vega usan sal. ‖ El Sr. Gil come. ‖ La Srta. Paz bebe.
 ውሃውን አፍላ። ‖ ጨው ጨምር። ‖ ተዘጋጅቷል? ‖ 5 ደቂቃ ጠብቅ። ‖ ጥሩ ነው።
 鍋に水を入れます。‖塩は3.5gで十分です。‖「混ぜないで！」と父は言った。‖できましたか？‖はい！‖「いいえ。」と答えた。‖5人が来た。‖「なぜ？」と聞いた。‖「はい」と言った。‖雨です。 ‖ 寒い！ ‖ 「待って！」と叫んだ。
 水开了吗？‖他说：“别急！”然后走了。‖真香！‖加热到3.5度。‖面团要静置5分钟；再分开。‖她问：“为什么？”他没有回答。‖“好。”她说。‖5个人来了。‖下雨了。 ‖ 天冷！ ‖ “等等！”他喊道。
+ទឹកពុះ។ ‖ ដាក់អំបិល។ ‖ ឆ្អិនឬនៅ? ‖ បាទ។
+ရေဆူပြီ။ ‖ ဆားထည့်ပါ။ ‖ ကျက်ပြီလား? ‖ ဟုတ်ကဲ့။
+ཆུ་ཁོལ་སོང་། ‖ ཚྭ་བླུགས། ‖ ཁ་ལག་ཟ།
 ต้มน้ำ ‖ ใส่เกลือ5กรัม ‖ คนช้าๆ ‖ พักแป้ง ‖ เสิร์ฟตอนร้อน
 물을 끓인다. ‖ 소금을 넣는다. ‖ 다 됐나요? ‖ 네! ‖ 5명이 왔다. ‖ 비가 온다.
 """
 
-_ENDS = ".!?…。！？｡．؟۔।॥።፧;\u037e"
+_ENDS = ".!?…。！？｡．؟۔।॥།။។։።፧;\u037e"
 _CLOSERS = "\"'”’“»)]」』】）›"
-_THAI = "฀-๿"
-_CANDIDATE = re.compile(rf"[{_ENDS}]+|(?<=[{_THAI}])[ \t ]+(?=[{_THAI}])")
+#: Scripts written without blanks between words: Thai, Lao, Myanmar, Khmer.
+_JOINED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_CANDIDATE = re.compile(rf"[{_ENDS}]+|(?<=[{_JOINED}])[ \t ]+(?=[{_JOINED}])")
 _GREEK = re.compile("[\u0370-\u03ff\u1f00-\u1fff]")
 _BLANK_LINE = re.compile(r"(?:\r\n|\r(?!\n)|(?<!\r)\n)[^\S\r\n]*(?:\r\n|\r(?!\n)|(?<!\r)\n)\s*")
-_WORD_BEFORE = re.compile(r"[^\s(\[{\"'“„«‘¿¡「『（【]+$")
-_HOST = re.compile(r"(?:https?://|www\.)|[\w.-]*\w/[\w./]*|(?:[\w-]+\.)+(?:txt|html?|md|csv|json|pdf|py|xml|jpg|png|com|org|net|invalid|example)\b", re.IGNORECASE)
+_BEFORE_WORD = "([{\"'“„«‘¿¡「『（【"
+_HOST = re.compile(
+    r"(?:https?://|www\.)[^\s<>\"']*[\w/]|[\w.-]*\w/[\w./]*|(?:[\w-]+\.)+(?:txt|html?|md|csv|json|pdf|py|xml|jpg|png|com|org|net|invalid|example)\b",
+    re.IGNORECASE,
+)
+_SPACE = re.compile(r"\s")
 _OPENERS = "\"“„«‘([{¿¡「『（【‹'"
+#: Longest capitalised word that may be a title.
+TITLE_LENGTH = 5
+#: Words rarer than this part of the corpus (one in so many), or longer, are not learned from it.
+SHARE = 100_000
+SHARE_LENGTH = 40
+#: How many annotated places the label of a learned abbreviation counts for.
+LEARNED_WEIGHT = 4
 Context = tuple[str, str, str]
 
 
+class Lexicon:
+    """What is known of words: abbreviations, words that make a number behind them an ordinal, words that stand without a
+    point, and words that occur in lower case."""
+
+    def __init__(self, known: Iterable[str] = (), plain: Iterable[str] = (), common: Iterable[str] = ()):
+        self.known = frozenset(w for w in known if not w.startswith("#"))
+        self.before = frozenset(w[1:] for w in known if w.startswith("#"))
+        self.plain, self.common = frozenset(plain), frozenset(common)
+        self.longest = max(map(len, self.known), default=0)
+        self.longest_before = max(map(len, self.before), default=0)
+
+    def maybe_title(self, word: str) -> bool:
+        return 2 <= len(word) <= TITLE_LENGTH and word.istitle() and word.isalpha() and word.lower() not in self.plain
+
+
 def _closing(text: str, at: int, quotes: int, german: bool) -> tuple[int, bool]:
     """The end of the closing quotes and brackets at ``at``, and whether a straight quote was closed.
 
@@ -92,39 +129,54 @@ def _closing(text: str, at: int, quotes: int, german: bool) -> tuple[int, bool]:
     return i, straight
 
 
-def _right(text: str, at: int, known: frozenset[str]) -> str:
-    """The class of the token that follows."""
-    i = at
-    while i < len(text) and text[i].isspace():
+def _right(text: str, at: int, words: Lexicon) -> tuple[str, int]:
+    """The class of the token that follows, and where it starts."""
+    i, n = at, len(text)
+    while i < n and text[i].isspace():
         i += 1
-    if i == len(text):
-        return "END"
+    if i == n:
+        return "END", i
     gap = "" if i > at else "-"
     c = text[i]
     if c.isalpha():
         if c.isupper():
-            word = text[i : i + 12].split(maxsplit=1)[0]
-            if not gap and word.endswith(".") and word[:-1].lower() in known and len(word) > 2:
-                return "TITLE"
-            return gap + ("U" if len(word) > 1 and not word[1] == "." or gap == "" else "u")
-        return gap + ("l" if c.islower() else "A")
+            word = text[i : i + words.longest + 2].split(maxsplit=1)[0]  # a longer token is none of the known words
+            if gap:
+                return ("-U" if len(word) > 1 and word[1] != "." else "-u"), i
+            title = len(word) > 2 and word.endswith(".") and word[:-1].lower() in words.known
+            return ("TITLE" if title else "U"), i
+        return gap + ("l" if c.islower() else "A"), i
     if c.isdigit():
-        return gap + "D"
+        return gap + "D", i
     if c in "—–-―":
-        return gap + "DASH"
+        return gap + "DASH", i
     if c in ",;:，；：、،":
-        return gap + "COMMA"
-    return gap + ("OPEN" if c in _OPENERS else "SYM")
+        return gap + "COMMA", i
+    return gap + ("OPEN" if c in _OPENERS else "SYM"), i
+
+
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def contexts(text: str, known: frozenset[str]) -> list[tuple[int, str, str, str]]:
+def title_right(text: str, right: str, at: int, words: Lexicon) -> str:
+    """Behind a word that may be a title, a capitalised word counts by whether it occurs in lower case."""
+    if right == "U":
+        m = _LETTERS.match(text, at)
+        return "UC" if m and m[0].lower() in words.common else "UP"
+    return right
+
+
+def contexts(text: str, words: Lexicon | frozenset[str]) -> list[tuple[int, str, str, str]]:
     """(end, left class, right class, link) of each place in a paragraph where an event may stand.
 
-    ``known`` are the abbreviations of the annotated text. ``link`` is "ADJ" where only a number stands between this
-    place and the one before (or the start), as with the number of a step.
+    ``link`` is "ADJ" where only one word stands between this place and the one before (or the start), as with the number of
+    a step, a title or an answer of one word. Time and memory grow with the text alone, whatever its words are like.
     """
+    words = words if isinstance(words, Lexicon) else Lexicon(words)
     out = []
-    quotes, counted, last = 0, 0, 0
+    quotes, counted, seen, last = 0, 0, 0, 0
+    blank, begin = -1, 0  # the last blank before, and where the word at ``seen`` starts
+    hosts: dict[int, int] = {}
     german = "„" in text
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
@@ -143,97 +195,144 @@ def contexts(text: str, known: frozenset[str]) -> list[tuple[int, str, str, str]
             continue
         stop, _ = _closing(text, end, quotes, german)
         closed = text[end:stop].strip()
-        link = ""
+        link = "" if _SPACE.search(text, _skip(text, last), start) else "ADJ"
+        title = False
         if run == ".":
-            w = _WORD_BEFORE.search(text, max(0, start - 48), start)
-            word = w[0].lower() if w else ""
-            if "." in word and word not in known:  # a sentence may have ended inside, without a blank
-                word = word.rpartition(".")[2]
+            # the word before: behind the last blank, quote or bracket
+            low, seen = seen, start
+            at = start
+            while at > low and text[at - 1].isalnum():
+                at -= 1
+            if at > low:
+                gap = text.rfind(" ", low, at)
+                rest = text[max(gap + 1, low) : at]
+                cut = len(rest) - 1
+                while cut >= 0 and not rest[cut].isspace():
+                    cut -= 1
+                if cut >= 0 or gap >= low:
+                    blank = max(gap + 1, low) + cut if cut >= 0 else gap
+                edge = max((rest.rfind(c, cut + 1) for c in _BEFORE_WORD), default=-1) if rest[cut + 1 :] else -1
+                if edge >= 0:
+                    begin = max(gap + 1, low) + edge + 1
+                elif blank >= low:
+                    begin = blank + 1
+            inner = text.rfind(".", begin, start)
+            word = text[begin:start].lower() if start - begin <= words.longest else ""
+            if word not in words.known:  # a sentence may have ended inside, without a blank
+                word = text[max(begin, inner + 1) : start].lower()
+            follows = text[stop : stop + 1]
             if closed:
                 left = "DOT"
-            elif text[stop : stop + 1].isdigit() and (not word or word[-1].isdigit() or not text[start - 1 : start].isspace()):
+            elif follows.isdigit() and (not word or word[-1].isdigit() or not text[start - 1 : start].isspace()):
                 left = "INNER" if word else "LEAD"
             elif not word:
                 left = "BARE"
+            elif word in words.known:
+                left = word
             else:
-                left = _word_class(text, word, start, known)
-            if left.startswith("NUM") and not text[last : start - len(word)].strip():
-                link = "ADJ"
+                left = _word_class(text, word, begin, start, blank, link if begin > inner else "", words, hosts)
+                title = left == "TITLED"
         elif set(run) <= {".", "…"}:
             left = "ELLIPSIS"
         elif run[0] in ";\u037e":
             left = "ASK"
         elif run[0] in "。｡．！？":
             left = "WIDE"
-        elif run[0] in "؟۔।॥።፧":
+        elif run[0] in "؟۔།။។։።॥।፧":
             left = "STOP"
         else:
             left = "MARK"
         if closed:
             left += "+Q" if any(c in "\"'”’“»」』›" for c in closed) else "+B"
-        right = _right(text, stop, known)
+        right, at = _right(text, stop, words)
         if right == "END":
             continue
-        out.append((stop, left, right, link))
+        out.append((stop, left, title_right(text, right, at, words) if title else right, link))
         last = stop
     return out
 
 
-def _word_class(text: str, word: str, start: int, known: frozenset[str]) -> str:
-    if word in known:
-        return word
+def _skip(text: str, at: int) -> int:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return at
+
+
+def _word_class(text: str, word: str, begin: int, start: int, blank: int, link: str, words: Lexicon, hosts: dict[int, int]) -> str:
     bare = word.strip("()[]")
     if bare.isdigit():
-        before = text[: start - len(word)].rsplit(None, 1) if start < 64 else text[start - 64 : start - len(word)].rsplit(None, 1)
-        return "NUM|ord" if before and before[-1].lower() in known_before(known) else "NUM"
-    chunk = text[max(0, start - 64) : start + 64]
-    offset = min(start, 64)
-    a = max((chunk.rfind(s, 0, offset) for s in " \n\t\r "), default=-1) + 1
-    host = _HOST.match(chunk, a)
-    if host and host.end() > offset:
-        return "HOST"
+        i = start - len(word)
+        while i > 0 and text[i - 1].isspace():
+            i -= 1
+        j = i
+        while j > 0 and i - j <= words.longest_before and not text[j - 1].isspace():
+            j -= 1
+        return "NUM|ord" if text[j:i].lower() in words.before else "NUM"
+    if text[start + 1 : start + 2].strip():  # the word goes on behind the point
+        if blank + 1 not in hosts:
+            host = _HOST.match(text, blank + 1)
+            hosts[blank + 1] = host.end() if host else -1
+        if hosts[blank + 1] > start:
+            return "HOST"
     if len(bare) == 1 and bare.isalpha() and bare != bare.upper() and text[start - 1].isupper():
         return "INITIAL"
-    return "INSIDE" if "." in word else "WORD"
+    return "TITLED" if link and words.maybe_title(text[start - len(word) : start]) else "WORD"
+
 
+@dataclass(frozen=True)
+class Evidence:
+    """What a corpus tells of its words: how many of the points behind a word (of all) stand before a lower-case word, words
+    that stand without a point, and words that occur in lower case."""
 
-def known_before(known: frozenset[str]) -> frozenset[str]:
-    """Words that make a number behind them an ordinal: those of the annotated text, marked with a hash in ``known``."""
-    return frozenset(w[1:] for w in known if w.startswith("#"))
+    pointed: Mapping[str, tuple[int, int]] = field(default_factory=dict)
+    plain: frozenset[str] = frozenset()
+    common: frozenset[str] = frozenset()
 
 
 class HiddenEventModel:
     """Counts of (left context, event) and (left class, event, right class), smoothed by back-off."""
 
-    def __init__(self, seed: str = SEED):
-        lines = [line for line in seed.strip().split("\n")]
-        self.known = self._abbreviations(lines)
+    def __init__(self, seed: str = SEED, evidence: Evidence | None = None):
+        evidence = evidence or Evidence()
+        lines = [_unmark(line) for line in seed.strip().split("\n")]
+        known = self._abbreviations(lines)
+        bare = [w for text, _ in lines for w in re.findall(r"(?<![^\W\d_])[^\W\d_]+(?![^\W\d_]|\.)", text)]
+        plain = evidence.plain | {w.lower() for w in bare}
+        common = evidence.common | {w for w in bare if w.islower()}
         self.events: dict[Context, Counter] = defaultdict(Counter)
         self.rights: dict[tuple[str, str], Counter] = defaultdict(Counter)
         self.classes = set()
-        for line in lines:
-            text, marks = _unmark(line)
-            before = "S"
-            for end, left, right, link in contexts(text, self.known):
-                event = "S" if end in marks else "N"
-                for key in self._lefts(left, link, before):
-                    self.events[key][event] += 1
-                for key in self._sides(left, event):
-                    self.rights[key][right] += 1
-                self.classes.add(right)
-                before = event
+        # words of the annotated text also count as if they were unknown, for those that are
+        blind = Lexicon((w for w in known if w.startswith("#") or not 2 <= len(w) <= TITLE_LENGTH), (), common)
+        for words, titles in ((Lexicon(known, plain, common), False), (blind, True)):
+            for text, marks in lines:
+                before = "S"
+                for end, left, right, link in contexts(text, words):
+                    event = "S" if end in marks else "N"
+                    if (left == "TITLED") == titles:
+                        for key in self._lefts(left, link, before):
+                            self.events[key][event] += 1
+                        for key in self._sides(left, event):
+                            self.rights[key][right] += 1
+                        self.classes.add(right)
+                    before = event
+        for word, (low, n) in evidence.pointed.items():
+            if word not in known and 2 * low >= n:
+                known |= {word}
+                self.events[word, "", "*"]["N"] += LEARNED_WEIGHT * low / n
+        self.known = known
+        self.lexicon = Lexicon(known, plain, common)
         self.cache: dict[tuple[str, str, str, str], tuple[float, float]] = {}
 
     @staticmethod
-    def _abbreviations(lines: list[str]) -> frozenset[str]:
+    def _abbreviations(lines: list[tuple[str, set[int]]]) -> frozenset[str]:
         """Words whose point ends nothing at least once, and words before a number whose point ends nothing."""
         found = set()
-        for line in lines:
-            text, marks = _unmark(line)
+        for text, marks in lines:
             for m in re.finditer(r"\.(?=\s)(?!\s»)", text):
                 if m.end() in marks or text[m.start() - 1] == ".":
                     continue
-                word = _WORD_BEFORE.search(text, max(0, m.start() - 48), m.start())
+                word = re.search(rf"[^\s{re.escape(_BEFORE_WORD)}]+$", text[: m.start()])
                 if not word:
                     continue
                 if word[0].isdigit():
@@ -297,7 +396,7 @@ class HiddenEventModel:
         return out
 
     def boundaries(self, text: str) -> list[int]:
-        places = contexts(text, self.known)
+        places = contexts(text, self.lexicon)
         return [place[0] for place, p in zip(places, self.posteriors(places)) if p > 0.5]
 
 
@@ -342,11 +441,35 @@ def sentences(text: str | None, events: HiddenEventModel | None = None) -> list[
     return out
 
 
-def split(df: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, start_char, end_char of the sentences of every text; a narrow stage over whole texts."""
+def corpus_evidence(df: DataFrame, text: str) -> Evidence:
+    """Counts over all texts. Only words of at least one in ``SHARE`` of all words are kept, so at most so many."""
+    words = df.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+\.?"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    lows = df.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+(?=\.\s\p{Ll})"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("l"))
+    pointed = F.endswith("w", F.lit("."))
+    words = words.select(F.lower(F.rtrim("w", F.lit("."))).alias("word"), pointed.alias("pointed"), (~pointed & (F.lower("w") == F.col("w"))).alias("low"), "n", F.lit(0).alias("l"))
+    lows = lows.select(F.lower("w").alias("word"), F.lit(True).alias("pointed"), F.lit(False).alias("low"), F.lit(0).alias("n"), "l")
+    counts = words.unionByName(lows).groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("pointed"), F.col("n"))).alias("p"), F.sum("l").alias("l"), F.sum(F.when(F.col("low"), F.col("n"))).alias("c")
+    )
+    counts = written(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where((F.col("n") * SHARE >= total) & (F.length("word") <= SHARE_LENGTH)).collect()
+    enough = lambda n: n is not None and n * SHARE >= total
+    return Evidence(
+        {r["word"]: (r["l"], r["p"]) for r in rows if enough(r["p"]) and 2 * r["l"] >= r["p"]},
+        frozenset(r["word"] for r in rows if r["n"] > (r["p"] or 0)),
+        frozenset(r["word"] for r in rows if r["c"]),
+    )
+
+
+def split(df: DataFrame, key: str, text: str, evidence: Evidence | None = None) -> DataFrame:
+    """doc_id, start_char, end_char of the sentences of every text; a narrow stage over whole texts.
+
+    Without ``evidence`` of the corpus only the annotated text counts."""
+    shared = df.sparkSession.sparkContext.broadcast(evidence)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        events = model()
+        events = HiddenEventModel(evidence=shared.value)
         for batch in batches:
             owner, starts, ends = [], [], []
             for i, value in enumerate(batch.column(1)):
@@ -363,4 +486,5 @@ def split(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start_char, end_char of every sentence of every document."""
-    return split(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    documents = read_table(spark, sf_dir, "documents")
+    return split(documents, "doc_id", "text", corpus_evidence(documents, "text"))
