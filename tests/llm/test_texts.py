@@ -224,3 +224,50 @@ def test_time_grows_with_the_text():
     for text in ("a." * 200_000, "a" * 200_000 + "(" + "b" * 200_000 + ". C", "1. " * 100_000, "http://" + "a.b/" * 100_000):
         covered = sentences.sentences(text)
         assert "".join("".join(text[a:b].split()) for a, b in covered) == "".join(text.split())
+
+
+def _held_out_accuracy(without=()):
+    right = total = 0
+    for left_out in range(len(markup.LABELLED)):
+        rows, labels, test = [], [], None
+        for k, (kind, text, wanted) in enumerate(markup.LABELLED):
+            page = markup.Page()
+            features = markup.features(page, kind, list(markup._SPLITTERS[kind](page, text)))
+            features = [[0.0 if n in without else x for n, x in zip(markup.FEATURES, f)] for f in features]
+            if k == left_out:
+                test = (features, wanted)
+            else:
+                rows += features
+                labels += wanted
+        tree = decision_tree.train(rows, labels)
+        right += sum(tree.predict(f) == w for f, w in zip(*test))
+        total += len(test[1])
+    return right / total
+
+
+def test_links_and_neighbours_are_needed():
+    used, nodes = set(), [markup.classifier()]
+    while nodes:
+        node = nodes.pop()
+        if node.low is not None:
+            used.add(markup.FEATURES[node.feature])
+            nodes += [node.low, node.high]
+    neighbours = {n for n in markup.FEATURES if n.endswith(("before", "after"))}
+    assert "links" in used and "words" in used and used & neighbours
+    whole = _held_out_accuracy()
+    assert whole > _held_out_accuracy(neighbours) and whole > _held_out_accuracy({"links", "links before", "links after"}) and whole > 0.95
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ('{| class="wikitext"\n|+ Cap\n|-\n! A !! B\n|-\n| style="x" | c || [[d|e]]\n|}\nText', [("para", x) for x in ("Cap", "A", "B", "c", "e", "Text")]),
+        ("# T\n\n| a | b |\n|---|---|\n| c | `x|y` |\n\nEnd", [("heading", "T"), *(("para", x) for x in ("a", "b", "c", "x|y", "End"))]),
+        ("# T\n\nAfter\n\n    code  here\n\n    more\n\n- a\n\n    under a\n", [("heading", "T"), ("para", "After"), ("code", "code  here\n\nmore"), ("item", "a"), ("para", "under a")]),
+        ("# T\n\nsee [q][a], [b] and [c].\n\n[a]: http://x\n[b]: <u> \"t\"\n", [("heading", "T"), ("para", "see q, b and [c].")]),
+        ("\\begin{document}\n\\begin{tabular}{l|p{2cm}}\n\\hline\na & $b$ \\\\ \\hline\nc \\& e & d\n\\end{tabular}\n\\end{document}", [("para", "a"), ("formula", "b"), ("para", "c & e"), ("para", "d")]),
+        ("<body><p><a href='u'>One</a> | <a href='u'>Two</a> | <a href='u'>Three</a></p><h1>A</h1><p>Words of a page.</p></body>", [("heading", "A"), ("para", "Words of a page.")]),
+    ],
+)
+def test_tables_code_references_and_navigation(text, expected):
+    assert markup.page_blocks(text) == expected

@@ -2,7 +2,8 @@
 
 A page is cut into flat text blocks by the lines, tags and environments of its markup language. Each block is described by
 its word count, its link density, those of its neighbours, its share of formula and the mark it was opened by, and a decision
-tree trained on a small labelled table of pages (``LABELLED``) says what it is, or that it is to be left out.
+tree trained on a small labelled table of pages (``LABELLED``) says what it is, or that it is to be left out: empty blocks,
+rows of links for navigation, and the short lines that close a page behind them. The cells of tables are blocks of their own.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ class Page:
 
     def __init__(self) -> None:
         self.held: list[tuple[str, str]] = []
+        self.references: set[str] = set()  # labels of Markdown link definitions
 
     def hold(self, kind: str, text: str) -> str:
         self.held.append((kind, text))
@@ -192,6 +194,7 @@ def wiki_blocks(page: Page, text: str) -> Iterator[Block]:
     text = _balanced(text, "[[", "]]", re.compile(r"\[\[\s*(?:file|image|category|media)\s*:", re.IGNORECASE))
     text = re.sub(r"__[A-Z]+__", "", text)
     rows: list[str] = []
+    tables = 0
 
     def flush() -> Iterator[Block]:
         if rows:
@@ -203,7 +206,23 @@ def wiki_blocks(page: Page, text: str) -> Iterator[Block]:
                 yield from _alone(page, raw, "plain")
 
     for line in text.split("\n"):
-        if not line.strip():
+        start = line.lstrip(" \t:")
+        if start.startswith("{|"):
+            yield from flush()
+            tables += 1
+        elif tables and start.startswith("|}"):
+            yield from flush()
+            tables -= 1
+        elif tables and start[:1] in ("|", "!"):
+            yield from flush()
+            if start[:2] == "|-":
+                continue
+            parts = re.split(r"\|\||!!" if start[0] == "!" else r"\|\|", start[1:].removeprefix("+"))
+            for k, cell in enumerate(parts):
+                if k:
+                    yield from flush()
+                rows.append(re.sub(r"^[^\[\]{}|]*\|", "", cell))
+        elif not line.strip():
             yield from flush()
         elif m := re.match(r"(={1,6})(.+?)\1\s*$", line):
             yield from flush()
@@ -241,9 +260,49 @@ def html_blocks(page: Page, text: str) -> Iterator[Block]:
 _ITEM = re.compile(r"\s*(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)")
 
 
+_DEFINITION = re.compile(r"""^[ ]{0,3}\[([^\[\]\n]+)\]:[ \t]*\S+(?:[ \t]+(?:"[^"\n]*"|'[^'\n]*'|\([^()\n]*\)))?[ \t]*$\n?""", re.MULTILINE)
+_TABLE_LINE = re.compile(r"[ ]{0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*")
+
+
+def _indented_code(page: Page, text: str) -> str:
+    """Lines indented by four behind a blank line, but not under a list item, are code."""
+    if "\n    " not in text and "\n\t" not in text and not text.startswith(("    ", "\t")):
+        return text
+    out: list[str] = []
+    code: list[str] = []
+    blank, listed = True, False
+
+    def close() -> None:
+        while code and not code[-1].strip():
+            code.pop()
+        if code:
+            out.extend(("", page.hold("code", code_text("\n".join(code))), ""))
+            code.clear()
+
+    for line in text.split("\n"):
+        deep = line.startswith(("    ", "\t"))
+        if code and (deep or not line.strip()):
+            code.append(line[1:] if line[:1] == "\t" else line[4:])
+            continue
+        close()
+        if not line.strip():
+            blank = True
+        elif deep and blank and not listed:
+            code.append(line[1:] if line[0] == "\t" else line[4:])
+            continue
+        else:
+            listed = bool(_ITEM.match(line)) or listed and (deep or not blank or line[0] == " ")
+            blank = False
+        out.append(line)
+    close()
+    return "\n".join(out)
+
+
 def markdown_blocks(page: Page, text: str) -> Iterator[Block]:
     fence = re.compile(r"^[ ]{0,3}(?P<f>`{3,}|~{3,})[^\n`]*\n(?P<body>.*?)(?:\n?^[ ]{0,3}(?P=f)[`~]*[ \t]*$|\Z)", re.MULTILINE | re.DOTALL)
     text = fence.sub(lambda m: "\n\n" + page.hold("code", code_text(m["body"])) + "\n\n", text)
+    text = _indented_code(page, text)
+    text = _DEFINITION.sub(lambda m: page.references.add(m[1].strip().lower()) or "", text)
     text = re.sub(r"<!--.*?(?:-->|\Z)", "", text, flags=re.DOTALL)
     text = re.sub(r"(?<!`)(`+)(?!`)((?:(?!\n[ \t]*\n).)+?)(?<!`)\1(?!`)", lambda m: page.hold("literal", m[2]), text, flags=re.DOTALL)
     text = re.sub(r"\$\$(.+?)\$\$", lambda m: page.hold("math", _SPACE.sub(" ", m[1]).strip()), text, flags=re.DOTALL)
@@ -259,9 +318,18 @@ def markdown_blocks(page: Page, text: str) -> Iterator[Block]:
             yield from _alone(page, raw, mark)
         mark = "plain"
 
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    table = False
+    for i, line in enumerate(lines):
         if not line.strip():
             yield from flush()
+            table = False
+        elif table or not rows and "|" in line and i + 1 < len(lines) and "|" in lines[i + 1] and _TABLE_LINE.fullmatch(lines[i + 1]):
+            table = True
+            if not _TABLE_LINE.fullmatch(line):
+                for cell in re.split(r"(?<!\\)\|", line):
+                    if cell.strip():
+                        yield from _alone(page, cell.replace("\\|", "|"), "plain")
         elif m := re.match(r"[ ]{0,3}#{1,6}[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$", line):
             yield from flush()
             yield Block("h", m[1])
@@ -283,6 +351,7 @@ def markdown_blocks(page: Page, text: str) -> Iterator[Block]:
 
 _LATEX_HELD = re.compile(
     r"\\begin\{(?P<env>verbatim\*?|lstlisting|minted|alltt|comment)\}(?:\[[^\]]*\]|(?<=minted\})\{[^}]*\})?(?P<body>.*?)\\end\{(?P=env)\}"
+    r"|\\begin\{(?P<tabular>tabular[x*]?|longtable)\}(?:\[[^\]]*\])?(?:\{(?:[^{}]|\{[^{}]*\})*\}){1,2}(?P<cells>.*?)\\end\{(?P=tabular)\}"
     r"|\\verb\*?(?P<d>[^A-Za-z\s*])(?P<verb>.*?)(?P=d)|(?P<escaped>\\[\\%$&#_{}])|%[^\n]*(?:\n[ \t]*(?=\S)|$)?"
     r"|\\begin\{(?P<math>(?:equation|align|gather|multline|displaymath|math|eqnarray)\*?)\}(?P<formula>.*?)\\end\{(?P=math)\}"
     r"|\\\[(?P<display>.*?)\\\]|\$\$(?P<dollars>.*?)\$\$|\\\((?P<inline>.*?)\\\)|\$(?P<dollar>[^$]*?)\$",
@@ -301,6 +370,9 @@ _LATEX_SILENT = (
 def _latex_held(page: Page, m: re.Match[str]) -> str:
     if m["env"] is not None:
         return "" if m["env"] == "comment" else "\n\n" + page.hold("code", code_text(m["body"])) + "\n\n"
+    if m["cells"] is not None:
+        cells = re.sub(r"\\(?:hline|toprule|midrule|bottomrule)\b|\\cline\{[^}]*\}", "", m["cells"])
+        return "\n\n" + "\n\n".join(_LATEX_HELD.sub(lambda c: _latex_held(page, c), c.strip()) for c in re.split(r"(?<!\\)&|\\\\(?:\[[^\]]*\])?", cells)) + "\n\n"
     if m["verb"] is not None:
         return page.hold("literal", m["verb"])
     if m["escaped"] is not None:
@@ -389,6 +461,9 @@ def markdown_text(page: Page, raw: str) -> str:
     text = text.replace("\\\n", " ")
     text = re.sub(r"!\[[^\[\]]*\]\([^()]*\)", "", text)
     text = re.sub(r"""\[([^\[\]]*)\]\(\s*<?([^()\s<>]*(?:\([^()]*\)[^()\s]*)?)>?(?:\s+(?:"[^"]*"|'[^']*'))?\s*\)""", lambda m: m[1].strip() or m[2], text)
+    if page.references:
+        named = lambda m: m[1] if (m[2] or m[1]).strip().lower() in page.references else m[0]
+        text = re.sub(r"\[([^\[\]]+)\](?:[ ]?\[([^\[\]]*)\])?(?!\()", named, text)
     text = re.sub(r"<((?:https?|ftp|mailto):[^<>\s]+)>", lambda m: page.hold("literal", m[1]), text)
     before = None
     while before != text:
@@ -434,34 +509,67 @@ def latex_text(raw: str) -> str:
     return "".join(out)
 
 
+_CLEANERS = {
+    "wiki": lambda page, raw: wiki_text(raw), "html": lambda page, raw: tag_text(_html_link_labels(raw)),
+    "latex": lambda page, raw: latex_text(raw), "markdown": markdown_text,
+}
+
+
 def clean(page: Page, kind: str, raw: str) -> str:
-    text = {"wiki": wiki_text, "html": lambda r: tag_text(_html_link_labels(r)), "latex": latex_text}.get(kind, lambda r: markdown_text(page, r))(raw)
+    """The text of a block without its markup, with held pieces as references."""
+    return _CLEANERS[kind](page, raw)
+
+
+def final(page: Page, text: str) -> str:
     return _SPACE.sub(" ", page.restore(text)).strip()
 
 
 # --- classification --------------------------------------------------------------------------------------------------
 
-_MARKS = ("h", "li", "p", "code")
-_LINKS = re.compile(r"\[\[[^\]]*\]\]|\[https?:[^\]]*\]|\]\([^)]*\)|<a\b|\\href\{", re.IGNORECASE)
+_MARKS = ("h", "li", "code")
+_LINKS = re.compile(r"\[\[[^\]]*\]\]|\[https?:[^\]]*\]|\]\([^)]*\)|\]\[[^\]]*\]|<a\b|\\href\{", re.IGNORECASE)
+_WORD = re.compile(r"[^\W_]+")
+FEATURES = (*_MARKS, "formula", "words", "links", "bars", "words before", "links before", "bars before", "words after", "links after", "bars after")
 
 
-def features(page: Page, kind: str, blocks: list[Block]) -> list[list[float]]:
-    """Word count and link density of each block and its neighbours, its share of formula, and its opening mark."""
+def features(page: Page, kind: str, blocks: list[Block], texts: list[str] | None = None) -> list[list[float]]:
+    """The opening mark of each block, its share of formula, and word count, link density (links to words) and the bars
+    that part its links (words without a letter or digit, to links) of it and its neighbours. ``texts`` are the clean texts of the blocks."""
     own = []
-    for b in blocks:
-        bare = _HOLD.sub(lambda m: "" if page.held[int(m[1])][0] == "math" else page.held[int(m[1])][1], b.raw)
-        words = len(clean(page, kind, bare).split())
+    for b, text in zip(blocks, texts or [clean(page, kind, b.raw) for b in blocks]):
+        held = [page.held[int(m[1])] for m in _HOLD.finditer(text)]
+        bare = _HOLD.sub(lambda m: "" if page.held[int(m[1])][0] == "math" else page.held[int(m[1])][1], text)
+        words = len(bare.split())
         links = len(_LINKS.findall(b.raw))
-        formulas = sum(page.held[int(m[1])][0] == "math" for m in _HOLD.finditer(b.raw))
-        own.append((float(words), links / (words + 1), formulas / (words + formulas) if formulas else 0.0, [float(b.mark == m) for m in _MARKS]))
-    none = (0.0, 0.0, 0.0, [])
+        formulas = sum(piece[0] == "math" for piece in held)
+        density = links / (len(_WORD.findall(bare)) + 1) if links else 0.0
+        bars = sum(not _WORD.search(w) for w in bare.split()) / (links + 1) if links > 1 else 0.0
+        own.append((float(words), density, bars, formulas / (words + formulas) if formulas else 0.0, [float(b.mark == m) for m in _MARKS]))
+    none = (0.0, 0.0, 0.0, 0.0, [])
     rows = []
-    for i, (words, links, formula, marks) in enumerate(own):
+    for i, (words, links, bars, formula, marks) in enumerate(own):
         before, after = own[i - 1] if i else none, own[i + 1] if i + 1 < len(own) else none
-        rows.append([*marks, formula, words, links, before[0], before[1], after[0], after[1]])
+        rows.append([*marks, formula, words, links, bars, *before[:3], *after[:3]])
     return rows
 
 
+def _contrasts() -> Iterator[tuple[str, str, list[str]]]:
+    """Pages with rows of links in changing places and sizes: only rows parted by bars are for navigation, and only a short
+    last line behind one closes a page."""
+    words = "stir the warm oats with milk and honey until they are soft".split()
+    for n in (2, 3, 4, 6):
+        links = [f"[[{w}]]" for w in words[:n]]
+        bar, row = f" {'|/·•'[n % 4]} ".join(links), " ".join(links)
+        for size in (1, 2, 3, 5, 8, 12):
+            line = " ".join(words[:size])
+            short = size <= 3
+            if n > 2:
+                yield "wiki", f"{bar}\n\n{line}\n\nMore of it\n\n* {row}\n\n{line}", ["", "para", "para", "item", "para"]
+                yield "wiki", f"{line}\n\n{bar}\n\n{line}", ["para", "", "" if short else "para"]
+                yield "wiki", f"A line\n\n{line}\n\n{bar}", ["para", "para", ""]
+            yield "wiki", f"{row}\n\n{line}\n\n{' '.join(words)} {bar}\n\n{line}", ["para", "para", "para", "para"]
+
+
 _SPLITTERS = {"wiki": wiki_blocks, "html": html_blocks, "markdown": markdown_blocks, "latex": latex_blocks}
 
 #: The labelled table: flat blocks of small pages in each language with what they are ("" for blocks to leave out).
@@ -475,6 +583,17 @@ LABELLED: list[tuple[str, str, list[str]]] = [
     ("markdown", "A first line\nand its second line\n\n## Notes\n* one\n* `two`\n\n[Only](u)\n\n$$\\frac{a}{b}$$", ["para", "heading", "item", "item", "para", "formula"]),
     ("latex", "\\documentclass{article}\n\\begin{document}\n\\section{Bread}\n\nMix \\emph{well} and wait.\n\n\\begin{itemize}\n\\item flour\n\\item \\href{u}{water}\n\\end{itemize}\n\n\\begin{equation}\na = b\n\\end{equation}\n\n\\begin{verbatim}\nfold()\n\\end{verbatim}\n\n\\label{x}\n\nAdd $n$ spoons.\n\\end{document}", ["heading", "para", "item", "item", "formula", "code", "", "para"]),
     ("latex", "\\begin{document}\n\\subsection{Rest of the day}\n\\begin{enumerate}\n\\item Let it $x$ stand\n\\end{enumerate}\n\n\\[ y^2 \\]\n\n\\href{u}{Source}\n\\end{document}", ["heading", "item", "formula", "para"]),
+    ("wiki", "[[Home]] | [[Recipes]] | [[Index]]\n\n== Oats ==\n\nSoak them.\n\nThen cook them slowly in milk.\n\n[[Milk]]\n\n[[Terms]] · [[Privacy]] · [[Contact]]\n\nPage last checked", ["", "heading", "para", "para", "para", "", ""]),
+    ("wiki", "[[Soups]] / [[Stews]] / [[Roasts]] / [[Salads]]\n\nStir well.\n\n* [[Leek]]\n* [[Oil]]\n* [[Salt]]\n\nGood\n\n[[Salt]] and [[oil]] go in at the end.\n\n[[Back]] | [[Next]] | [[Up]]\n\nMade by cooks", ["", "para", "item", "item", "item", "para", "para", "", ""]),
+    ("html", "<body><div><a href='u'>Home</a> | <a href='u'>Search</a> | <a href='u'>Help</a></div><h1>Rye</h1><p>Short one.</p><p>Knead it for a while and wait.</p><p><a href='u'>Flour</a></p><div><a href='u'>Terms</a> · <a href='u'>Privacy</a> · <a href='u'>Press</a></div><div>All rights kept</div></body>", ["", "heading", "para", "para", "para", "", ""]),
+    ("wiki", "[[Mix]] [[oats]] [[with]] [[milk]]\n\nSalt | pepper | oil\n\nStir [[salt]] - or [[oil]] - in at the very end.\n\n[[Rest]] [[it]] [[well]]\n\nEat warm", ["para", "para", "para", "para", "para"]),
+    ("markdown", "Salt | pepper | oil\n\n[Mix](u) [it](u) [well](u)\n\nLet it rest\n\nUse [rye](u) | [oats](u) | [corn](u) as you please, all of them soaked well.\n\nServe it", ["para", "para", "para", "para", "para"]),
+    ("html", "<body><p><a href='u'>Peel</a> <a href='u'>all</a> <a href='u'>pears</a></p><p>Keep cool</p><p>- * - 5 - *</p><p>Done now</p></body>", ["para", "para", "para", "para"]),
+    ("latex", "\\begin{document}\n\\href{u}{Boil} \\href{u}{the} \\href{u}{eggs}\n\nThen peel\n\nOne | two | three\n\nThe end\n\\end{document}", ["para", "para", "para", "para"]),
+    ("html", "<body><p>First line.</p><p>Use <a href='u'>rye</a> or <a href='u'>wheat</a> of your choice here.</p><p>The end</p></body>", ["para", "para", "para"]),
+    ("markdown", "[Home](u) | [Search](u) | [Help](u)\n\n# Figs\n\nPeel them.\n\nHalve them with a small knife.\n\n[Honey](u)\n\n[Terms](u) | [Privacy](u) | [Press](u)\n\nBuilt by hand", ["", "heading", "para", "para", "para", "", ""]),
+    ("latex", "\\begin{document}\n\\href{u}{Home} | \\href{u}{Search} | \\href{u}{Help}\n\n\\section{Plums}\n\nStone them.\n\nSimmer them until they are soft.\n\n\\href{u}{Sugar}\n\n\\href{u}{Terms} | \\href{u}{Privacy} | \\href{u}{Press}\n\nSet by hand\n\\end{document}", ["", "heading", "para", "para", "para", "", ""]),
+    *_contrasts(),
 ]
 
 
@@ -501,11 +620,12 @@ def page_blocks(text: str | None, tree: Node | None = None) -> list[tuple[str, s
     blocks = list(_SPLITTERS[kind](page, text))
     tree = tree or classifier()
     out = []
-    for block, row in zip(blocks, features(page, kind, blocks)):
+    texts = [clean(page, kind, block.raw) for block in blocks]
+    for block, text, row in zip(blocks, texts, features(page, kind, blocks, texts)):
         label = tree.predict(row)
         if not label:
             continue
-        content = page.restore(block.raw).strip() if label == "code" else clean(page, kind, block.raw)
+        content = page.restore(block.raw).strip() if label == "code" else final(page, text)
         if content:
             out.append((label, content))
     return out
