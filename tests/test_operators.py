@@ -122,8 +122,15 @@ def test_match_longest_against_plain_python(spark):
 
 def test_line_resolver():
     keys = {("salt",): "salt", ("black", "pepper"): "pepper", ("red", "onion"): "onion", ("milk",): "milk", ("cream",): "cream"}
-    r = resolve.LineResolver(keys, frozenset(["salt"]), resolve.PLAIN_WORDS, resolve.simple_tokens, frozenset(["cup", "cups"]))
-    ids = lambda t: [(x.options, x.optional, x.read) for x in r.resolve(t)]
+    keys |= {("pepper", "sauce"): "sauce", ("clove",): "clove", ("oil", "and", "vinegar"): "dressing", ("oil",): "oil"}
+    r = resolve.LineReader(keys, frozenset(["salt"]), frozenset(["chopped", "to", "taste"]), frozenset(["cup", "cups", "clove"]))
+    ids = lambda t: [(x.options, x.optional, x.read) for x in r.read(t)]
+    assert ids("salt and pepper") == [(("salt",), False, True), (("black_pepper",), False, True)] and ids("pepper") == [((), False, False)]
+    assert ids("pepper to taste") == [(("black_pepper",), False, True)] and ids("2 cups pepper sauce") == [(("sauce",), False, True)]
+    assert ids("1 clove") == [(("clove",), False, True)] and ids("oil and vinegar") == [(("dressing",), False, True)]
+    assert ids("milk, cream, or oil") == [(("milk", "cream", "oil"), False, True)] and ids("milk/cream (cold)") == [(("milk", "cream"), False, True)]
+    assert ids("milk and quux") == [((), False, False)] and ids("milk, quux") == [(("milk",), False, True)]
+    assert ids("2 to 3 cups milk, for garnishing") == [(("milk",), True, True)] and ids("1 ½ cups cream, optional, salt") == [(("cream",), True, True), (("salt",), True, True)]
     assert ids("2 cups milk or cream") == [(("milk", "cream"), False, True)]
     assert ids("1 red onion, chopped and salt") == [(("onion",), False, True), (("salt",), False, True)]
     assert ids("salt to taste") == [(("salt",), True, True)]
