@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wicker.functions.items import clean_item
 from wicker.functions.segment import split_names
 from wicker.operators import answer, basket, ranking, resolve
-from wicker.plans.sqltext import clean, with_
+from wicker.plans.sqltext import SINGULAR, clean, plain, with_
 from wicker.session import read_table
 
 
@@ -167,9 +167,7 @@ QUERIES = {
     ),
     "answer_blockers": (
         _blocked,
-        with_("idf", "tot", more="""q1 AS (SELECT DISTINCT gold_id || '#' || draw qid, pantry[1] id FROM eval_pantries WHERE pantry[1] IS NOT NULL),
-held AS (SELECT DISTINCT qid, id FROM q1 JOIN idf USING (id) WHERE id NOT IN (SELECT id FROM ing WHERE st)),
-h AS (SELECT qid, rid, count(*) have FROM held JOIN need USING (id) GROUP BY 1, 2),
+        with_("held", "tot", more="""h AS (SELECT qid, rid, count(*) have FROM held JOIN need USING (id) GROUP BY 1, 2),
 b AS (SELECT DISTINCT qid FROM held WHERE qid NOT IN (SELECT qid FROM h JOIN tot USING (rid) WHERE total - have <= 2)),
 g AS (SELECT rid, id, count(*) gain FROM need WHERE id IS NOT NULL GROUP BY 1, 2)""")
         + """SELECT qid, rank, id, n FROM (SELECT b.qid, g.id, count(*) n, row_number() OVER (PARTITION BY b.qid ORDER BY count(*) DESC, g.id)::INT rank
@@ -220,11 +218,10 @@ h AS (SELECT q, id, min((CASE WHEN starts_with(nm, q) THEN 0 ELSE 1 END) * 10000
     ),
     "resolve_names": (
         _resolve_names,
-        with_("ing", more=f"""sg AS (SELECT DISTINCT x, list_aggregate(list_transform(string_split(x, ' '), lambda w: CASE WHEN length(w) <= 3 OR w LIKE '%ss' OR w LIKE '%sses' THEN w
- WHEN w LIKE '%ies' THEN w[:-4] || 'y' WHEN regexp_matches(w, '(ches|shes|ses|xes|zes|oes)$') THEN w[:-3] WHEN w LIKE '%s' THEN w[:-2] ELSE w END), 'string_agg', ' ') key
- FROM (SELECT nm x FROM ing UNION SELECT {clean('text')} FROM realistic_inputs) WHERE regexp_matches(x, '^[a-z ]+$')),
+        with_("ing", more=f"""fo AS (SELECT DISTINCT x, {plain("strip_accents(replace(x, '-', ' '))")} f FROM (SELECT nm x FROM ing UNION SELECT {clean('text')} FROM realistic_inputs) WHERE x <> ''),
+sg AS (SELECT x, coalesce(array_to_string(list_transform(list_filter(string_split(f, ' '), lambda w: w <> ''), lambda w: {SINGULAR}), ' '), '') AS key FROM fo),
 n AS (SELECT DISTINCT input_id qid, {clean('text')} x FROM realistic_inputs)""")
-        + "SELECT qid, n.x AS name, k.id FROM n JOIN sg USING (x) LEFT JOIN (SELECT key, id FROM ing JOIN sg ON x = nm) k USING (key)",
+        + "SELECT qid, n.x AS name, k.id FROM n JOIN sg USING (x) LEFT JOIN (SELECT key, id FROM ing JOIN sg ON x = nm WHERE key <> '') k USING (key)",
     ),
     "vocabulary": (
         _vocabulary,

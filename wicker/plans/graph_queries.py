@@ -14,8 +14,6 @@ from wicker.session import ensure_checkpoint_dir, read_table
 
 #: Least number of baskets of a vocabulary item, whatever the number of baskets.
 LEAST_BASKETS = 2
-#: The bar that the SQL below still has: one of so many of all baskets.
-VOCABULARY_DEN = 200
 
 
 def _vocabulary(spark, d):
@@ -199,7 +197,7 @@ def _imputer(spark, d):
     return model.transform(rows.where("energy is null and text is not null")).select("rid", F.round("prediction", 4).alias("energy"))
 
 
-_V = f"""v AS (SELECT item FROM it GROUP BY 1 HAVING count(*) * {VOCABULARY_DEN} >= (SELECT count(DISTINCT k) FROM it)),
+_V = f"""v AS (SELECT item FROM it GROUP BY 1 HAVING count(*) >= {LEAST_BASKETS}),
 iv AS (SELECT k, item FROM it JOIN v USING (item)),
 pr AS (SELECT a.item i, b.item j, count(*) n FROM iv a JOIN iv b ON a.k = b.k AND a.item < b.item GROUP BY 1, 2),
 mr AS (SELECT i, j, n FROM pr UNION ALL SELECT j, i, n FROM pr)"""
@@ -301,9 +299,11 @@ l AS (SELECT grp, k, list(item) s FROM it JOIN g USING (k) GROUP BY 1, 2)""")
     ),
     "jaccard_match": (
         _match_foods,
-        with_("ing", more=f"""n AS (SELECT DISTINCT {clean('text')} name FROM realistic_inputs WHERE regexp_matches({clean('text')}, '^[a-z ]+$')),
-f AS (SELECT id, nm FROM ing WHERE regexp_matches(nm, '^[a-z ]+$')),
-s AS (SELECT name, id, round(len(list_intersect(string_split(name, ' '), string_split(nm, ' '))) / len(list_distinct(string_split(name || ' ' || nm, ' ')))::DOUBLE, 9) s FROM n JOIN f ON len(list_intersect(string_split(name, ' '), string_split(nm, ' '))) > 0),
+        with_("ing", more=f"""n AS (SELECT DISTINCT {clean('text')} name FROM realistic_inputs WHERE {clean('text')} <> ''),
+tk AS (SELECT x, list_distinct(list_filter(string_split_regex(replace(x, ',', ' '), '\\s+'), lambda w: w <> '')) ws FROM (SELECT name x FROM n UNION SELECT nm FROM ing)),
+f AS (SELECT id, nm FROM ing),
+s AS (SELECT name, id, round(len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))::DOUBLE, 9) s FROM n JOIN tk a ON a.x = name
+  JOIN (SELECT id, ws FROM f JOIN tk ON x = nm) b ON len(list_intersect(a.ws, b.ws)) > 0),
 b AS (SELECT name, id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY s DESC, id) r FROM s WHERE s >= 0.34) WHERE r = 1)""")
         + """SELECT name, CASE WHEN name = 'sugar' THEN 'white_sugar' ELSE coalesce(f.id, b.id) END food_id,
         CASE WHEN name = 'sugar' THEN 'alias' WHEN f.id IS NOT NULL THEN 'exact' WHEN b.id IS NOT NULL THEN 'similar' ELSE 'none' END how FROM n LEFT JOIN f ON f.nm = name LEFT JOIN b USING (name)""",

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-W = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+from wicker.functions.quantity import GLYPHS
+
+#: White space of any kind: RE2 knows only the ASCII ones by itself.
+SPACE = "[\\s\\x0B\\x{85}\\p{Z}]"
+W = "trim(regexp_replace(lower({}), '[\\s\\x0B\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
 
 
 def clean(c: str) -> str:
     return W.format(c)
 
 
+def compose(c: str) -> str:
+    """NFKC as far as the texts need it: fraction characters, the ellipsis, wide forms of blanks; accents composed."""
+    for glyph, value in GLYPHS.items():
+        c = f"replace({c}, '{glyph}', '{value.numerator}⁄{value.denominator}')"
+    return f"nfc_normalize({c})"
+
+
+def plain(c: str) -> str:
+    """Lower case without bracketed notes, other characters than a-z 0-9 / . - and white space made blanks."""
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({c})), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9/.\\-\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
 CTE = {
     "it": f"it AS (SELECT DISTINCT k, {clean('x')} item FROM (SELECT DISTINCT recipe_id k, unnest(canonical) x FROM recipes) WHERE {clean('x')} <> '')",
     "ing": f"ing AS (SELECT DISTINCT id, {clean('name')} nm, staple = '1' st FROM ingredients)",

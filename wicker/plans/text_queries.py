@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from wicker.functions import text as X
 from wicker.functions.items import clean_item
-from wicker.plans.sqltext import SINGULAR, clean, with_
+from wicker.functions.quantity import GLYPHS
+from wicker.plans.sqltext import SINGULAR, SPACE, clean, compose, plain, with_
 from wicker.session import read_table
 from wicker.sources import readers, wiki
 
@@ -17,7 +18,7 @@ def _names(spark, d):
     return items.select(clean_item(F.col("x")).alias("name")).where("name <> ''").distinct()
 
 
-_NAMES = f"nm AS (SELECT DISTINCT {clean('x')} name FROM (SELECT unnest(ner) x FROM raw_recipes) WHERE regexp_matches({clean('x')}, '^[a-z ]+$'))"
+_NAMES = f"nm AS (SELECT DISTINCT {clean('x')} name FROM (SELECT unnest(ner) x FROM raw_recipes) WHERE {clean('x')} <> '')"
 _SING = SINGULAR.replace("\n", " ")
 
 
@@ -58,7 +59,11 @@ def _unit(spark, d):
 
 
 def _json(spark, d):
-    return readers.json_list(read_table(spark, d, "events").select("event_id", "props"), "props").select("event_id", F.size("props").cast("long").alias("n"))
+    """Lists written to a cell as JSON, read back beside cells that hold other JSON or none."""
+    lists = read_table(spark, d, "raw_recipes").select(F.concat(F.lit("r"), "raw_id").alias("key"), F.to_json("ner", {"ignoreNullFields": "false"}).alias("cell"))
+    other = read_table(spark, d, "events").select(F.concat(F.lit("e"), "event_id").alias("key"), F.col("props").alias("cell"))
+    cells = readers.json_list(lists.unionByName(other).distinct(), "cell")
+    return cells.select("key", F.size("cell").cast("long").alias("n"), F.array_join("cell", "|", "?").alias("items"))
 
 
 def _dedupe(spark, d):
@@ -91,6 +96,10 @@ def _normalize(spark, d):
     return _lines(spark, d).select("raw", X.normalize(F.col("raw")).alias("normal"))
 
 
+_ASCII = "raw"
+for _glyph, _value in GLYPHS.items():
+    _ASCII = f"replace({_ASCII}, '{_glyph}', ' {_value.numerator}/{_value.denominator} ')"
+_ASCII = f"replace({_ASCII}, '⁄', '/')"
 _NUM = r"^(?:(\d+)\s+)?(\d+)\s*/\s*(\d+)"
 
 QUERIES = {
@@ -100,13 +109,11 @@ QUERIES = {
     ),
     "normalize": (
         _normalize,
-        """SELECT DISTINCT raw, trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(raw)), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9/.\\-\\s]', ' ', 'g'), '\\s+', ' ', 'g')) normal
-        FROM parsed_ingredients WHERE regexp_matches(raw, '^[ -~]*$')""",
+        f"SELECT DISTINCT raw, {plain(compose('raw'))} normal FROM parsed_ingredients WHERE raw IS NOT NULL",
     ),
     "canonicalize": (
         _canonicalize,
-        f"""WITH t AS (SELECT DISTINCT text, trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(text, '-', ' ')), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9/.\\-\\s]', ' ', 'g'), '\\s+', ' ', 'g')) n
-        FROM realistic_inputs WHERE regexp_matches(text, '^[A-Za-z0-9 (),-]+$'))
+        f"""WITH t AS (SELECT DISTINCT text, {plain(compose("replace(text, '-', ' ')"))} n FROM realistic_inputs WHERE text IS NOT NULL)
         SELECT text, coalesce(array_to_string(list_transform(list_filter(string_split(n, ' '), lambda w: w <> ''), lambda w: {_SING}), ' '), '') canonical FROM t""",
     ),
     "fold_tokens": (
@@ -121,13 +128,14 @@ QUERIES = {
     ),
     "parse_quantity": (
         _quantity,
-        """WITH t AS (SELECT DISTINCT raw, trim(regexp_replace(raw, '\\s+', ' ', 'g')) t FROM parsed_ingredients WHERE regexp_matches(raw, '^[0-9./ ]+[a-zA-Z ]+$')),
+        f"""WITH t AS (SELECT DISTINCT raw, trim(regexp_replace(regexp_replace({_ASCII}, '[–—]', '-', 'g'), '{SPACE}+', ' ', 'g')) t FROM parsed_ingredients WHERE raw IS NOT NULL),"""
+        """
         m AS (SELECT raw, t, regexp_matches(t, '^(?:(\\d+)\\s+)?(\\d+)\\s*/\\s*(\\d+)') f FROM t)
         SELECT raw, round(CASE WHEN f THEN coalesce(try_cast(regexp_extract(t, '^(?:(\\d+)\\s+)?(\\d+)\\s*/\\s*(\\d+)', 1) AS DOUBLE), 0)
           + try_cast(regexp_extract(t, '^(?:(\\d+)\\s+)?(\\d+)\\s*/\\s*(\\d+)', 2) AS DOUBLE) / nullif(try_cast(regexp_extract(t, '^(?:(\\d+)\\s+)?(\\d+)\\s*/\\s*(\\d+)', 3) AS DOUBLE), 0)
           ELSE try_cast(regexp_extract(t, '^(\\d+(?:\\.\\d+)?|\\.\\d+)', 1) AS DOUBLE) END, 9) quantity,
         trim(regexp_replace(trim(CASE WHEN f THEN regexp_replace(t, '^(?:(\\d+)\\s+)?(\\d+)\\s*/\\s*(\\d+)', '') ELSE regexp_replace(t, '^(\\d+(?:\\.\\d+)?|\\.\\d+)', '') END, ' '),
-          '^\\s*(?:to\\b)\\s*(?:\\d+\\s+\\d+\\s*/\\s*\\d+|\\d+\\s*/\\s*\\d+|\\d+(?:\\.\\d+)?)', '')) rest FROM m""",
+          '^\\s*(?:-|to\\b)\\s*(?:\\d+\\s+\\d+\\s*/\\s*\\d+|\\d+\\s*/\\s*\\d+|\\d+(?:\\.\\d+)?)', '')) rest FROM m""",
     ),
     "parse_unit": (
         _unit,
@@ -136,7 +144,11 @@ QUERIES = {
         r AS (SELECT text, u[rtrim(regexp_extract(lower(text), '^(\\S+)', 1), '.')] unit FROM t, m)
         SELECT text, unit, CASE WHEN unit IS NULL THEN text ELSE trim(regexp_replace(text, '^\\S+\\s*', '')) END rest FROM r""",
     ),
-    "json_list": (_json, "SELECT event_id, 0::BIGINT n FROM events"),
+    "json_list": (
+        _json,
+        """SELECT DISTINCT 'r' || raw_id AS key, coalesce(len(ner), 0)::BIGINT n, coalesce(array_to_string(list_transform(ner, lambda x: coalesce(x, '?')), '|'), '') items FROM raw_recipes
+        UNION SELECT 'e' || event_id, 0, '' FROM events""",
+    ),
     "dedupe_first": (
         _dedupe,
         """SELECT title, raw_id FROM (SELECT title, raw_id, row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY raw_id) r FROM (SELECT DISTINCT title, raw_id FROM raw_recipes)
