@@ -276,3 +276,42 @@ def test_command_line(capsys):
     from wicker import cli
 
     assert cli.main(["cook", "--have", "egg", "--tables", "/no/such/folder"]) == 1
+
+
+def test_blocks_agree_with_brute_force(spark, monkeypatch):
+    import random
+
+    from wicker.operators import blocks
+
+    monkeypatch.setattr(blocks, "BASKETS", 20)
+    monkeypatch.setattr(blocks, "LEAST_QUERIES", 8)
+    rnd = random.Random(6)
+    need, lines = [], {}
+    for b in range(90):
+        per = [rnd.sample("abcdefgh", rnd.randint(0, 2)) for _ in range(rnd.randint(1, 5))]  # a line may have options, or none
+        lines[f"r{b}"] = per
+        for k, ids in enumerate(per):
+            need += [(f"r{b}", k, i, 0.5 + len(ids), len(per), 1.0 + b % 3) for i in ids or [None]]
+    held = {f"q{k}": rnd.sample("abcdefghz", rnd.randint(1, 4)) for k in range(40)}
+    n = spark.createDataFrame(need, "rid string, line_no int, id string, w double, total long, den double")
+    h = spark.createDataFrame([(q, i) for q, ids in held.items() for i in ids], "qid string, id string")
+    every = {}
+    for q, ids in held.items():
+        for b, (r, per) in enumerate(lines.items()):
+            hit = [l for l in per if set(l) & set(ids)]
+            if hit:
+                every[q, r] = (len(hit), len(per), round(sum(0.5 + len(l) for l in hit) / math.sqrt(1.0 + b % 3) + 1e-12, 6))
+    got = {(r["qid"], r["rid"]): (r["have"], r["total"], r["score"]) for r in blocks.within(h, n, 1).collect()}
+    assert got == {k: v for k, v in every.items() if v[1] - v[0] <= 1}
+    gold = {q: rnd.choice(list(lines)) for q in held}
+    ranks = {r["qid"]: (r["rank_overlap"], r["rank_idf_flat"]) for r in blocks.gold_ranks(h, n, spark.createDataFrame(list(gold.items()), "qid string, rid string")).collect()}
+    for q, g in gold.items():
+        own = every.get((q, g))
+        mine = {r: v for (x, r), v in every.items() if x == q}
+        place = lambda c: 1 + sum((-v[c], v[1], r) < (-own[c], own[1], g) for r, v in mine.items())  # noqa: E731, B023
+        assert ranks[q] == ((place(0), place(2)) if own else (None, None))
+    top = ranking.top_of_arm(blocks.best(h, n, "shipped", 3), "shipped", 3).collect()
+    for q in held:
+        mine = sorted((v[1] - v[0], -v[2], v[1], r) for (x, r), v in every.items() if x == q)[:3]
+        assert [r["rid"] for r in sorted((r for r in top if r["qid"] == q), key=lambda r: r["rank"])] == [m[3] for m in mine]
+    assert blocks.within(h.limit(0), n, 1).count() == 0 and blocks.within(h, n.limit(0), 1).count() == 0

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wicker.operators import basket
+from wicker.operators import basket, blocks
 from wicker.session import ensure_checkpoint_dir
 
 MAX_MISSING = 2
@@ -73,29 +73,9 @@ def scored(held: DataFrame, pack: Pack) -> DataFrame:
     return _scores(held.join(pack.need, "id"))
 
 
-def item_pairs(rows: DataFrame, key: str, item: str) -> DataFrame:
-    """key, i <= j: pairs of the distinct items of a record, each with itself too, made inside the row."""
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("l"))
-    return lists.select(key, "l", F.posexplode("l").alias("p", "i")).select(key, "i", F.explode(F.expr("slice(l, p + 1, size(l))")).alias("j"))
-
-
 def near(held: DataFrame, pack: Pack) -> DataFrame:
-    """The rows of ``scored`` with at most two missing lines, without touching the other baskets.
-
-    A basket of more than three lines needs two satisfied lines to get there, so it is found by a join on pairs of items, which
-    is far more selective than one on items; the shorter ones are found by a join on items. (One item may satisfy two lines.)
-    """
-    rows = pack.need.where("id is not null")
-    short = held.join(rows.where(F.col("total") <= MAX_MISSING + 1), "id").select("qid", "rid", "line_no", "w", "total", "den")
-    long = rows.where(F.col("total") > MAX_MISSING + 1)
-    lists = long.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("id", "line_no", "w"))).alias("l"), F.max("total").alias("total"), F.max("den").alias("den"))
-    first = lists.select("rid", "total", "den", "l", F.posexplode("l").alias("p", "a"))
-    pairs = first.select("rid", "total", "den", "a", F.explode(F.expr("slice(l, p + 2, size(l))")).alias("b")).where("a.line_no <> b.line_no")
-    wanted = item_pairs(held, "qid", "id")
-    met = wanted.join(pairs, (F.col("i") == F.col("a.id")) & (F.col("j") == F.col("b.id")))
-    line = lambda c: F.struct(F.col(f"{c}.line_no").alias("line_no"), F.col(f"{c}.w").alias("w"))
-    both = met.select("qid", "rid", "total", "den", F.inline(F.array(line("a"), line("b")))).select("qid", "rid", "line_no", "w", "total", "den")
-    return _scores(short.unionByName(both)).where(F.col("missing") <= MAX_MISSING)
+    """The rows of ``scored`` with at most two missing lines, found block by block, so that no other row is ever shuffled."""
+    return blocks.within(held, pack.need, MAX_MISSING)
 
 
 def items(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:

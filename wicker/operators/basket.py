@@ -61,24 +61,15 @@ def candidates(queries: DataFrame, post: DataFrame) -> DataFrame:
 def candidate_pool(queries: DataFrame, items: DataFrame, cap: int) -> DataFrame:
     """qid, rid, matched, missing, rank: per query the first ``cap`` baskets by coverage, fewest missing, id.
 
-    ``items`` holds rid, id (distinct). A cap below zero is an error, zero gives nothing. Baskets that share several items
-    with a query are found by a join on pairs of items: c shared pairs stand for m items with c = m (m - 1) / 2. Of those that
-    share a single item only the shortest ``cap`` of each item can get into the pool, since all of these come before the rest.
+    ``items`` holds rid, id (distinct). A cap below zero is an error, zero gives nothing. The baskets are searched block by
+    block, and each block gives its own first ``cap``.
     """
+    from wicker.operators import blocks
+
     if cap < 0:
         raise ValueError("cap must not be negative")
-    sizes = items.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("rid")))
-    lists = sizes.groupBy("rid").agg(F.array_sort(F.collect_list("id")).alias("l"), F.max("n").alias("n"))
-    first = lists.select("rid", "n", "l", F.posexplode("l").alias("p", "i"))
-    pairs = first.select("rid", "n", "i", F.explode(F.expr("slice(l, p + 2, size(l))")).alias("j"))
-    asked = queries.groupBy("qid").agg(F.array_sort(F.collect_set("id")).alias("l"))
-    wanted = asked.select("qid", "l", F.posexplode("l").alias("p", "i")).select("qid", "i", F.explode(F.expr("slice(l, p + 2, size(l))")).alias("j"))
-    met = wanted.join(pairs, ["i", "j"]).groupBy("qid", "rid").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
-    several = met.select("qid", "rid", F.round((1 + F.sqrt(1 + 8 * F.col("c"))) / 2).cast("long").alias("matched"), "n")
-    shortest = Window.partitionBy("id").orderBy("n", "rid")
-    heads = sizes.withColumn("r", F.row_number().over(shortest)).where(F.col("r") <= cap).select("id", "rid", "n")
-    single = queries.distinct().join(heads, "id").select("qid", "rid", F.lit(1).cast("long").alias("matched"), "n")
-    found = several.unionByName(single).groupBy("qid", "rid").agg(F.max("matched").alias("matched"), F.max("n").alias("n"))
+    sized = items.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("rid")))
+    found = blocks.pools(queries, sized, cap)
     scored = found.withColumn("missing", F.col("n") - F.col("matched"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.col("matched") / F.col("n")), "missing", "rid")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select("qid", "rid", "matched", "missing", "rank")

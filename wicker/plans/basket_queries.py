@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wicker.functions.items import clean_item
 from wicker.functions.segment import split_names
-from wicker.operators import answer, basket, ranking, resolve
+from wicker.operators import answer, basket, blocks, ranking, resolve
 from wicker.plans.sqltext import SINGULAR, clean, plain, with_
 from wicker.session import read_table
 
@@ -16,8 +16,19 @@ def _found(spark, d):
     return answer.scored(answer.held_items(basket.pantry_queries(spark, d), pack), pack)
 
 
+def _held(spark, d):
+    pack = answer.build_pack(spark, d)
+    return answer.held_items(basket.pantry_queries(spark, d), pack), pack
+
+
+def _best(spark, d, arm, k=10):
+    held, pack = _held(spark, d)
+    return blocks.best(held, pack.need, arm, k)
+
+
 def _arm(arm):
-    return lambda spark, d: ranking.top_of_arm(_found(spark, d), arm, 10)
+    found = _found if arm == "random" else lambda spark, d: _best(spark, d, arm)
+    return lambda spark, d: ranking.top_of_arm(found(spark, d), arm, 10)
 
 
 def _gold(spark, d):
@@ -26,7 +37,8 @@ def _gold(spark, d):
 
 
 def _gold_rank(spark, d):
-    return ranking.gold_ranks(_found(spark, d), _gold(spark, d))
+    held, pack = _held(spark, d)
+    return blocks.gold_ranks(held, pack.need, _gold(spark, d))
 
 
 def _visible(spark, d, limit=10):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wicker.functions.items import clean_item, record_items
 from wicker.functions.text import title_key
 from wicker.operators import answer, basket, evaluation, learning, ranking
-from wicker.plans.basket_queries import _found, _gold, _items
+from wicker.plans.basket_queries import _best, _gold, _gold_rank, _items
 from wicker.plans.sqltext import clean, with_
 from wicker.session import read_table
 
@@ -72,7 +72,7 @@ def _prf(spark, d):
 
 
 def _recall(spark, d):
-    ranks = ranking.gold_ranks(_found(spark, d), _gold(spark, d))
+    ranks = _gold_rank(spark, d)
     rows = [evaluation.recall_mrr(ranks.select("qid", F.col(f"rank_{a}").alias("rank")), 10).withColumn("arm", F.lit(a)) for a in ("overlap", "idf_flat")]
     return rows[0].unionByName(rows[1])
 
@@ -112,7 +112,7 @@ def _leaderboard(spark, d):
     rows = read_table(spark, d, "eval_pantries").select(
         basket.query_id().alias("qid"), F.coalesce("sampler", F.lit("none")).alias("sampler"), F.lower(F.trim("split")).alias("split"), F.size("distractors").alias("d")
     ).distinct()
-    ranks = ranking.gold_ranks(_found(spark, d), _gold(spark, d))
+    ranks = _gold_rank(spark, d)
     long = ranks.select("qid", F.expr("stack(2, 'overlap', rank_overlap, 'idf_flat', rank_idf_flat) as (arm, rank)"))
     hit = F.coalesce(F.col("rank") <= 10, F.lit(False))
     return rows.join(long, "qid").groupBy("sampler", "split", "d", "arm").agg(
@@ -142,7 +142,7 @@ def _judging(spark, d):
 
 
 def _bootstrap(spark, d):
-    ranks = ranking.gold_ranks(_found(spark, d), _gold(spark, d))
+    ranks = _gold_rank(spark, d)
     at = lambda c: F.when(F.col(c) <= 10, 1.0).otherwise(0.0)
     rows = read_table(spark, d, "eval_pantries").select(basket.query_id().alias("qid"), F.lower(F.trim("split")).alias("grp"), F.col("gold_id").alias("cluster")).distinct()
     return evaluation.cluster_bootstrap(rows.join(ranks, "qid").select("grp", "cluster", (at("rank_idf_flat") - at("rank_overlap")).alias("diff")))
@@ -173,7 +173,7 @@ def _ranker(kind):
 
 
 def _makeable(spark, d):
-    found = _found(spark, d)
+    found = _best(spark, d, "shipped")
     order = Window.partitionBy("qid").orderBy(*ranking.arm_order("shipped"))
     top = found.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
     per = top.groupBy("qid").agg(F.avg((F.col("missing") == 0).cast("double")).alias("m"), F.max((F.col("missing") == 0).cast("int")).alias("h"))
@@ -197,7 +197,7 @@ def _read_share(spark, d):
 def _answer_counts_by_arm(spark, d):
     """Recall by sampler and split with totals over both (grouping sets)."""
     rows = read_table(spark, d, "eval_pantries").select(basket.query_id().alias("qid"), F.coalesce("sampler", F.lit("none")).alias("sampler"), F.lower(F.trim("split")).alias("split")).distinct()
-    ranks = ranking.gold_ranks(_found(spark, d), _gold(spark, d))
+    ranks = _gold_rank(spark, d)
     hit = F.coalesce(F.col("rank_idf_flat") <= 10, F.lit(False)).cast("double")
     return rows.join(ranks, "qid").cube("sampler", "split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 6).alias("recall_at_10"))
 
