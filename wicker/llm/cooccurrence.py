@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wicker.functions.items import record_items
-from wicker.session import read_table
+from wicker.session import read_table, written
 
 #: More eligible items than this are not sent to the workers; the pairs are then counted by a plain shuffle.
 MAX_ITEMS = 200_000
@@ -137,6 +137,7 @@ def pair_counts(
     records = sources[0].select(F.lit(0).alias("src"), "key", "items")
     for i, s in enumerate(sources[1:], 1):
         records = records.unionAll(s.select(F.lit(i).alias("src"), "key", "items"))
+    records = written(records)  # read for the counts and again for the pairs
     # n_all rides along as a null item, so one aggregation gives both kinds of counts
     exploded = records.select("src", F.explode(F.concat(F.array(F.lit(None).cast("string")), "items")).alias("item"))
     counts = exploded.groupBy("src", "item").agg(F.count(F.lit(1)).alias("n"))
@@ -226,9 +227,9 @@ p AS (SELECT a.src, a.item item_a, b.item item_b, count(*) n_ab
       FROM it a JOIN it b ON a.src = b.src AND a.k = b.k AND a.item < b.item GROUP BY 1, 2, 3 HAVING count(*) >= 5)
 SELECT p.src, item_a, item_b, n_ab, ca.n n_a, cb.n n_b, n_all, round(n_ab * n_all / (ca.n * cb.n)::DOUBLE, 6) lift
 FROM p JOIN n USING (src) JOIN c ca ON ca.src = p.src AND ca.item = item_a JOIN c cb ON cb.src = p.src AND cb.item = item_b
-WHERE 400 * n_ab >= n_all"""
+"""
 
 SQL = {
     "p2_pairs": _PAIRS_SQL,
-    "p2_found": f"SELECT src, item_a, item_b FROM ({_PAIRS_SQL}) WHERE n_ab * n_all >= 4 * n_a * n_b",
+    "p2_found": f"SELECT src, item_a, item_b FROM ({_PAIRS_SQL}) WHERE 400 * n_ab >= n_all AND n_ab * n_all >= 4 * n_a * n_b",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wicker.functions.items import record_items
-from wicker.session import ensure_checkpoint_dir, read_table
+from wicker.session import read_table, written
 
 #: An item is heavy if it is more than this part of all item rows; there are then at most as many heavy items.
 HEAVY_DEN = 2_000
@@ -23,8 +23,8 @@ def weigh(spark: SparkSession, records: DataFrame) -> DataFrame:
     The frequencies are joined back to the item rows: the heavy items, at most ``HEAVY_DEN`` of them, by a broadcast, so
     that no key of the shuffled join of the rest holds more than one of ``HEAVY_DEN`` rows.
     """
-    ensure_checkpoint_dir(spark)
-    counts = document_frequency(records).checkpoint()
+    records = written(records)  # read for the counts and again for the items
+    counts = written(document_frequency(records))
     total = counts.agg(F.sum("df")).first()[0] or 0
     n_all = records.count()
     heavy = counts.where(F.col("df") * HEAVY_DEN > total)
