@@ -15,11 +15,16 @@ from wicker.operators import evaluation
 FEATURES = ["coverage", "pantry_share", "n_matched", "n_missing", "n_items", "sub_max", "sub_mean"]
 
 
+#: Records that one partition of a skip-gram model is trained on; their vectors are averaged after each step.
+VECTOR_RECORDS = 50_000
+
+
 def item_vectors(records: DataFrame, size: int = 32, seed: int = 42, steps: int = 3):
     """A skip-gram model over the shuffled items of each record; compare its rankings, not its vectors."""
+    parts = max(1, records.count() // VECTOR_RECORDS)
     shuffled = records.select(F.array_sort(F.transform("items", lambda x: F.struct(F.xxhash64("key", x).alias("h"), x.alias("x")))).alias("s"))
     texts = shuffled.select(F.transform("s", lambda r: r["x"]).alias("words"))
-    return Word2Vec(vectorSize=size, windowSize=50, maxIter=steps, minCount=1, seed=seed, inputCol="words", outputCol="v", numPartitions=1).fit(texts)
+    return Word2Vec(vectorSize=size, windowSize=50, maxIter=steps, minCount=1, seed=seed, inputCol="words", outputCol="v", numPartitions=parts).fit(texts)
 
 
 def svd_vectors(matrix: DataFrame, dims: int) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,28 +86,54 @@ def context_rerank(candidates: DataFrame, context: DataFrame, similarity: DataFr
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "item", "score")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return dot / (norm(a) * norm(b))
+#: Query vectors of a block; a block goes to every task.
+KNN_BLOCK = 2_000
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, similarity: the k nearest vectors by cosine, the query itself left out.
+    """query_id, rank, vec_id, similarity: the k nearest vectors by cosine, the query itself left out, ties to the smaller id.
 
-    ``queries`` (vec_id, embedding) is a stated set held against all rows: it is broadcast block by block of at most 2,000
-    vectors, so the vectors are read once per block and never shuffled before the top k.
+    ``queries`` (vec_id, embedding) is a stated set held against all rows: blocks of about ``KNN_BLOCK`` query vectors go to
+    all tasks, each batch of vectors is one matrix product with a block, and only what can be among the k nearest of a batch
+    (ties included) is shuffled. Null vectors and vectors of length zero are near nothing.
     """
-    blocks = -(-queries.count() // 2_000)
+    spark = queries.sparkSession
+    usable = F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)
+    queries, vectors = queries.where(usable).select("vec_id", "embedding"), vectors.where(usable).select("vec_id", "embedding")
+    blocks = max(1, -(-queries.count() // KNN_BLOCK))
+    numbered = queries.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    kind = queries.schema["vec_id"].dataType.simpleString()
+
+    def unit(table: pa.RecordBatch | pa.Table) -> np.ndarray:
+        m = np.array(table.column("embedding").to_pylist(), dtype=np.float64).reshape(table.num_rows, -1)
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def near(block: pa.Table):
+        shared = spark.sparkContext.broadcast((block.column("vec_id").to_pylist(), unit(block)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, asked = shared.value
+            own = {name: i for i, name in enumerate(names)}
+            for batch in batches:
+                if not batch.num_rows or not names:
+                    continue
+                similar = np.round(asked @ unit(batch).T, 6)
+                for j, name in enumerate(batch.column("vec_id").to_pylist()):
+                    if name in own:
+                        similar[own[name], j] = -np.inf
+                least = np.partition(similar, -k, axis=1)[:, -k] if similar.shape[1] > k else np.full(len(names), -2.0)
+                rows, columns = np.nonzero((similar >= least[:, None]) & (similar > -np.inf))
+                found = [pa.array([names[i] for i in rows], batch.schema.field("vec_id").type), batch.column("vec_id").take(pa.array(columns)), pa.array(similar[rows, columns])]
+                yield pa.RecordBatch.from_arrays(found, names=["query_id", "vec_id", "similarity"])
+
+        return vectors.mapInArrow(run, f"query_id {kind}, vec_id {kind}, similarity double")
+
     out = None
-    numbered = queries.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(max(blocks, 1))))
-    for b in range(max(blocks, 1)):
-        block = numbered.where(F.col("_b") == b).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-        pairs = vectors.join(F.broadcast(block), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-        part = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    for b in range(blocks):
+        part = near(numbered.where(F.col("_b") == b).select("vec_id", "embedding").toArrow())
         out = part if out is None else out.unionByName(part)
-    return out.select("query_id", "rank", "vec_id", "similarity")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, 0)).select("query_id", "rank", "vec_id", "similarity")
 
 
 def popular(idf: DataFrame, staples: DataFrame, n: int) -> DataFrame:

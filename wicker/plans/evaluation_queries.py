@@ -9,8 +9,9 @@ from wicker.functions.items import clean_item, record_items
 from wicker.functions.text import title_key
 from wicker.operators import answer, basket, evaluation, learning, ranking
 from wicker.plans.basket_queries import _best, _gold, _gold_rank, _items
+from wicker.plans.graph_queries import NEIGHBORS, SIMILAR, substitute_ids
 from wicker.plans.sqltext import clean, with_
-from wicker.session import read_table
+from wicker.session import read_table, written
 
 
 def _ids(spark, d):
@@ -148,26 +149,39 @@ def _bootstrap(spark, d):
     return evaluation.cluster_bootstrap(rows.join(ranks, "qid").select("grp", "cluster", (at("rank_idf_flat") - at("rank_overlap")).alias("diff")))
 
 
-def _ranker_rows(spark, d):
-    queries = basket.pantry_queries(spark, d)
-    items = _items(spark, d)
-    pool = basket.candidate_pool(queries, items, 25)
-    return learning.labelled(learning.candidate_features(queries, items, pool, None), _gold(spark, d))
+#: Candidates of a query that features are made for.
+POOL = 200
 
 
-def _features(spark, d):
+def _featured(spark, d):
+    """Features of the pooled candidates of every query, filled by substitutes; written once, since models read it often."""
     queries, items = basket.pantry_queries(spark, d), _items(spark, d)
-    f = learning.candidate_features(queries, items, basket.candidate_pool(queries, items, 25), None)
-    return f.select("qid", "rid", F.round("coverage", 6).alias("coverage"), F.round("pantry_share", 6).alias("pantry_share"), "n_matched", "n_missing", "n_items")
+    pool = written(basket.candidate_pool(queries, items, POOL))
+    return learning.candidate_features(queries, items, pool, written(substitute_ids(spark, d)))
+
+
+def _features(spark, d):
+    """The features, the mean over the missing items as their sum in millionths (a whole number: scores have six digits)."""
+    rows = _featured(spark, d)
+    micro = F.round(F.col("sub_mean") * F.col("n_missing") * 1e6).cast("long")
+    six = [F.round(c, 6).alias(c) for c in ("coverage", "pantry_share", "sub_max")]
+    return rows.select("qid", "rid", *six, "n_matched", "n_missing", "n_items", micro.alias("sub_micro"))
 
 
 def _ranker(kind):
+    """A model trained on the training queries with their gold in the pool, asked about all held-out queries."""
+
     def query(spark, d):
-        train, test = learning.split_queries(_ranker_rows(spark, d))
-        model = {"linear": learning.linear_ranker, "pairwise": learning.pairwise_ranker, "boosted": learning.boosted_ranker}[kind](train)
-        top = learning.rank_with(model, test, 10).join(_gold(spark, d), ["qid", "rid"])
-        every = test.select("qid").distinct().join(top.select("qid", "rank"), "qid", "left")
-        return evaluation.recall_mrr(every, 10).withColumn("model", F.lit(kind))
+        gold = _gold(spark, d)
+        train, test = learning.split_queries(written(_featured(spark, d)))
+        rows = written(learning.labelled(train, gold))
+        model = {"linear": learning.linear_ranker, "pairwise": learning.pairwise_ranker, "boosted": learning.boosted_ranker}[kind](rows)
+        top = learning.rank_with(model, test, 10).join(gold, ["qid", "rid"])
+        _, held_out = learning.split_queries(gold)
+        pooled = test.join(gold, ["qid", "rid"]).select("qid", F.lit(1).alias("in_pool"))
+        every = held_out.select("qid").join(top.select("qid", "rank"), "qid", "left").join(pooled, "qid", "left")
+        share = every.agg(F.round(F.avg(F.coalesce("in_pool", F.lit(0)).cast("double")), 6).alias("gold_in_pool"))
+        return evaluation.recall_mrr(every, 10).withColumn("model", F.lit(kind)).join(share)
 
     return query
 
@@ -313,8 +327,14 @@ p AS (SELECT qid, avg((missing = 0)::INT) m, max((missing = 0)::INT) h FROM t GR
     "bootstrap_ci": (_bootstrap, None),
     "candidate_features": (
         _features,
-        with_("pool", more="hn AS (SELECT qid, count(*) h FROM q GROUP BY 1)")
-        + "SELECT qid, rid, round(matched / (matched + missing)::DOUBLE, 6) coverage, round(matched / h::DOUBLE, 6) pantry_share, matched n_matched, missing n_missing, matched + missing n_items FROM pool JOIN hn USING (qid)",
+        with_("pool", "it", more=SIMILAR + """, hn AS (SELECT qid, count(*) h FROM q GROUP BY 1),
+gn AS (SELECT a, b, score FROM (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) r FROM """ + NEIGHBORS + """) WHERE r <= 10),
+si AS (SELECT x.id a, y.id b, max(score) score FROM gn JOIN ing x ON x.nm = gn.a JOIN ing y ON y.nm = gn.b GROUP BY 1, 2),
+fl AS (SELECT p.qid, p.rid, i.id, greatest(max(score), 0) s FROM pool p JOIN items i USING (rid) JOIN si ON si.a = i.id JOIN q ON q.qid = p.qid AND q.id = si.b
+  WHERE NOT EXISTS (SELECT 1 FROM q o WHERE o.qid = p.qid AND o.id = i.id) GROUP BY 1, 2, 3),
+sf AS (SELECT qid, rid, max(s) m, sum(s) t FROM fl GROUP BY 1, 2)""").replace("rank <= 25", "rank <= 200")
+        + """SELECT qid, rid, round(matched / (matched + missing)::DOUBLE, 6) coverage, round(matched / h::DOUBLE, 6) pantry_share, matched n_matched, missing n_missing, matched + missing n_items,
+        round(coalesce(m, 0), 6) sub_max, round(coalesce(t, 0) * 1e6)::BIGINT sub_micro FROM pool JOIN hn USING (qid) LEFT JOIN sf USING (qid, rid)""",
     ),
     "ranker_linear": (_ranker("linear"), None),
     "ranker_pairwise": (_ranker("pairwise"), None),

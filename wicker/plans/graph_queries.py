@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from wicker.functions.text import parse_unit
 from wicker.operators import basket, evaluation, learning, nutrition, ranking, substitution
 from wicker.operators.unit_convert import unit_rows
 from wicker.plans.sqltext import clean, with_
-from wicker.session import ensure_checkpoint_dir, read_table
+from wicker.session import ensure_checkpoint_dir, read_table, written
 
 #: Least number of baskets of a vocabulary item, whatever the number of baskets.
 LEAST_BASKETS = 2
@@ -42,15 +43,33 @@ def _graph(spark, d, k=5):
     return substitution.graph_neighbors(substitution.l2_normalized(substitution.sppmi(pairs)), pairs, k)
 
 
-def _two_lists(spark, d):
-    """Two ranked lists per item: by graph and by plain co-occurrence."""
+def _neighbors(vectors, k):
+    """qid, item, rank: the nearest items by their vectors (item, vector)."""
+    named = vectors.select(F.col("item").alias("vec_id"), F.col("vector").alias("embedding"))
+    return ranking.knn(named, named, k).select(F.col("query_id").alias("qid"), F.col("vec_id").alias("item"), "rank", "similarity")
+
+
+def _vectors(spark, d, size=100, steps=5):
+    """item, vector of the trained item vectors of the vocabulary; written once, since they are read for queries and rows."""
+    records, vocabulary = _vocabulary(spark, d)
+    vectors = learning.item_vectors(records, size=size, steps=steps).getVectors().select(F.col("word").alias("item"), vector_to_array("vector").alias("vector"))
+    return written(vectors.join(vocabulary, "item"))
+
+
+def _two_lists(spark, d, k=20):
+    """Two ranked lists per item: by graph and by trained vectors, ``k`` each."""
     pairs = _pairs(spark, d)
-    graph = substitution.graph_neighbors(substitution.l2_normalized(substitution.sppmi(pairs)), pairs, 8)
+    graph = substitution.graph_neighbors(substitution.l2_normalized(substitution.sppmi(pairs)), pairs, k)
     graph = graph.select(F.col("a").alias("qid"), F.col("b").alias("item"), "rank")
-    both = substitution.mirrored(pairs)
-    order = Window.partitionBy("i").orderBy(F.desc("n"), "j")
-    plain = both.withColumn("rank", F.row_number().over(order)).where("rank <= 8").select(F.col("i").alias("qid"), F.col("j").alias("item"), "rank")
-    return graph, plain
+    return graph, _neighbors(_vectors(spark, d), k).select("qid", "item", "rank")
+
+
+def substitute_ids(spark, d, k=10):
+    """a, b, score: for each entry of the reference table the entries that can stand for it, by the graph."""
+    ids = basket.dimension(spark, d).select("id", "name")
+    named = lambda c, as_: ids.select(F.col("id").alias(as_), F.col("name").alias(c))
+    graph = _graph(spark, d, k).select(F.col("a").alias("x"), F.col("b").alias("y"), "score")
+    return graph.join(named("x", "a"), "x").join(named("y", "b"), "y").groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
 def _plain_lists(spark, d):
@@ -129,13 +148,13 @@ def _substitutes(spark, d, diet="vegan"):
 
 def _svd(spark, d):
     vectors = learning.svd_vectors(substitution.sppmi(_pairs(spark, d)), 8)
-    named = vectors.select(F.col("item").alias("vec_id"), F.col("vector").alias("embedding"))
+    named = written(vectors.select(F.col("item").alias("vec_id"), F.col("vector").alias("embedding")))
     return ranking.knn(named, named, 3)
 
 
 def _word2vec(spark, d):
-    model = learning.item_vectors(basket.baskets(spark, d), size=16, steps=1)
-    return model.getVectors().select(F.col("word").alias("item"))
+    """The five nearest items of each vocabulary item by its trained vector."""
+    return _neighbors(_vectors(spark, d), 5).select("qid", "rank", "item", "similarity")
 
 
 # --- nutrition: parts are the foods, order lines their amounts
@@ -205,6 +224,9 @@ _S = _V + """,
 rs AS (SELECT i, sum(n) r FROM mr GROUP BY 1),
 sp AS (SELECT i, j, v FROM (SELECT mr.i, mr.j, ln(n * (SELECT sum(r) FROM rs)::DOUBLE / (a.r * b.r)) v FROM mr JOIN rs a ON a.i = mr.i JOIN rs b ON b.i = mr.j) WHERE v > 0),
 un AS (SELECT i, j, v / sqrt(sum(v * v) OVER (PARTITION BY i)) v FROM sp)"""
+SIMILAR = _S
+NEIGHBORS = """(SELECT x.i a, y.i b, round(sum(x.v * y.v) * count(*) / (count(*) + 100.0) - 0.5 * coalesce(any_value(c), 0), 6) score FROM un x JOIN un y ON x.j = y.j AND x.i <> y.i
+  LEFT JOIN (SELECT i, j, n / max(n) OVER (PARTITION BY i)::DOUBLE c FROM mr) m ON m.i = x.i AND m.j = y.i GROUP BY 1, 2)"""
 _L = _V + """,
 la AS (SELECT i qid, j item, row_number() OVER (PARTITION BY i ORDER BY n DESC, j) rank FROM mr QUALIFY rank <= 8),
 tt AS (SELECT j, sum(n) r FROM mr GROUP BY 1),
@@ -237,8 +259,7 @@ QUERIES = {
     "graph_neighbors": (
         _graph,
         with_("it", more=_S) + """SELECT a, rank, b, score FROM (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b)::INT rank FROM
-        (SELECT x.i a, y.i b, round(sum(x.v * y.v) * count(*) / (count(*) + 100.0) - 0.5 * coalesce(any_value(c), 0), 6) score FROM un x JOIN un y ON x.j = y.j AND x.i <> y.i
-        LEFT JOIN (SELECT i, j, n / max(n) OVER (PARTITION BY i)::DOUBLE c FROM mr) m ON m.i = x.i AND m.j = y.i GROUP BY 1, 2)) WHERE rank <= 5""",
+        """ + NEIGHBORS + ") WHERE rank <= 5",
     ),
     "rank_blend": (
         _blend,
