@@ -107,3 +107,12 @@ def test_result_document(spark):
     with pytest.raises(ValueError):
         sinks.validate_document({**doc, "schema_version": 2})
     assert sinks.below_floor(rows.withColumn("value", F.lit(0.3)), sinks.floors(rows)).count() == 1
+
+
+def test_gzip_is_deterministic(tmp_path):
+    import gzip
+
+    from wicker.sources import sinks
+
+    a, b = (sinks.write_gzip(str(tmp_path / n), "crème\n" * 50) for n in ("a.gz", "x/b.gz"))
+    assert a == b and gzip.decompress((tmp_path / "a.gz").read_bytes()).decode() == "crème\n" * 50

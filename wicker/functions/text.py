@@ -43,7 +43,7 @@ def singularize(w: Column) -> Column:
     return (
         F.when(F.length(w) <= 3, w)
         .when(w.rlike("(ss|sses)$"), w)
-        .when(w.rlike("ies$"), F.concat(F.expr("''"), F.regexp_replace(w, "ies$", "y")))
+        .when(w.rlike("ies$"), F.regexp_replace(w, "ies$", "y"))
         .when(w.rlike("(ches|shes|ses|xes|zes|oes)$"), F.regexp_replace(w, "es$", ""))
         .when(w.rlike("s$"), F.regexp_replace(w, "s$", ""))
         .otherwise(w)

@@ -78,8 +78,12 @@ def near(held: DataFrame, pack: Pack) -> DataFrame:
     return blocks.within(held, pack.need, MAX_MISSING)
 
 
-def items(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:
-    """qid, missing, rank, rid, have, total, score: per query and group the first ``limit`` (negative counts as 0)."""
+def items(spark: SparkSession, sf_dir: str, limit: int = 10, diet: str | None = None) -> DataFrame:
+    """qid, missing, rank, rid, have, total, score: per query and group the first ``limit`` (negative counts as 0).
+
+    Lines carry no diet, so asking for one is an error rather than an answer that ignores it."""
+    if diet is not None:
+        raise NotImplementedError("answers by diet are not supported")
     pack = build_pack(spark, sf_dir)
     close = near(held_items(basket.pantry_queries(spark, sf_dir), pack), pack)
     order = Window.partitionBy("qid", "missing").orderBy(F.desc("score"), "total", "rid")

@@ -33,6 +33,15 @@ def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(F.broadcast(ids), "name", "left").select("rid", "line_no", options.alias("options"), "optional", read.alias("read"))
 
 
+def worth_keeping(lines: DataFrame, staples: DataFrame) -> DataFrame:
+    """rid, n_needed: the baskets with at least one line that is neither optional nor covered by a staple (id).
+
+    An unread line is needed. Staples are a part of the reference table; Spark picks the join by their size."""
+    options = lines.select("rid", "line_no", "optional", F.explode_outer("options").alias("id")).join(staples.select("id", F.lit(1).alias("s")), "id", "left")
+    per = options.groupBy("rid", "line_no").agg(F.max("s").alias("s"), F.max("optional").alias("optional"))
+    return per.where("s is null and not optional").groupBy("rid").agg(F.count(F.lit(1)).alias("n_needed"))
+
+
 def postings(lines: DataFrame) -> DataFrame:
     """id, rid, line_no: one row per option of a line."""
     return lines.select(F.explode(F.array_distinct("options")).alias("id"), "rid", "line_no")

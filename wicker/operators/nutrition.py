@@ -104,3 +104,9 @@ def coverage(totals: DataFrame, least: float = 0.5) -> DataFrame:
         F.round(F.avg((massed >= least).cast("double")), 6).alias("covered_recipes"),
         F.round(F.median(1 - massed), 6).alias("median_unresolved"),
     )
+
+
+def impute_gate(report: DataFrame, least_match: float, most_unresolved: float) -> DataFrame:
+    """The coverage report with ``impute``: true where too few lines match a food, or too much mass is unresolved."""
+    tripped = (F.col("match_coverage") < least_match) | (F.col("median_unresolved") > most_unresolved)
+    return report.withColumn("impute", F.coalesce(tripped, F.lit(False)))

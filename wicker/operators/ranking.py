@@ -151,7 +151,7 @@ def suggest(keys: DataFrame, typed: DataFrame, limit: int = 8) -> DataFrame:
     """
     words = keys.select("key", "id", F.explode(F.array_distinct(F.transform(F.split("key", " "), lambda w: F.substring(w, 1, 1)))).alias("first"))
     queries = typed.where("q <> ''").select("q", F.substring("q", 1, 1).alias("first"))
-    hit = words.join(F.broadcast(queries), "first")
+    hit = words.join(queries, "first")
     kind = F.when(F.col("key").startswith(F.col("q")), 0).when(F.concat(F.lit(" "), "key").contains(F.concat(F.lit(" "), "q")), 1)
     best = hit.withColumn("kind", kind).where("kind is not null").groupBy("q", "id").agg(F.min(F.struct("kind", F.length("key").alias("len"))).alias("b"))
     order = Window.partitionBy("q").orderBy("b.kind", "b.len", "id")

@@ -115,3 +115,13 @@ def diet_allows(name: Column, diet: str | None) -> Column:
     if diet not in DIETS:
         raise ValueError(f"unknown diet {diet!r}; one of {sorted(DIETS)}")
     return F.coalesce(~F.arrays_overlap(diet_tags(name), F.array(*map(F.lit, DIETS[diet]))), F.lit(False))
+
+
+def dietary_validity(substitutes: DataFrame, name: str, diets: list[str]) -> DataFrame:
+    """diet, n, n_valid, rate: how many of the given substitutes keep each diet; a rate of one where there are none."""
+    flags = F.array(*[F.struct(F.lit(d).alias("diet"), diet_allows(F.col(name), d).alias("ok")) for d in diets])
+    counts = substitutes.select(F.inline(flags)).groupBy("diet").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("long")).alias("n_valid"))
+    asked = substitutes.sparkSession.createDataFrame([(d,) for d in diets], "diet string")
+    rate = F.coalesce(F.try_divide(F.col("n_valid").cast("double"), F.col("n")), F.lit(1.0))
+    every = asked.join(counts, "diet", "left").fillna(0, ["n", "n_valid"])
+    return every.select("diet", "n", "n_valid", F.round(rate, 6).alias("rate"))

@@ -52,6 +52,10 @@ def _visible(spark, d, limit=10):
     return hit.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("v", F.lit(0)).cast("double")), 6).alias("visible_rate"))
 
 
+def _keep(spark, d):
+    return basket.worth_keeping(basket.basket_lines(spark, d), basket.dimension(spark, d).where("staple").select("id"))
+
+
 def _items(spark, d):
     return basket.basket_lines(spark, d).select("rid", F.explode("options").alias("id")).distinct()
 
@@ -166,6 +170,7 @@ QUERIES = {
         with_("cand") + """SELECT qid, missing, rank, rid, have, total, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, missing
         ORDER BY score DESC, total, rid)::INT rank FROM cand WHERE missing <= 2) WHERE rank <= 10""",
     ),
+    "core_keep": (_keep, with_("need") + "SELECT rid, count(*) n_needed FROM need GROUP BY 1"),
     "answer_group_counts": (
         answer.group_counts,
         with_("cand") + """SELECT qid, coalesce(sum((missing = 0)::INT), 0)::BIGINT make_now, coalesce(sum((missing = 1)::INT), 0)::BIGINT one_away,

@@ -295,7 +295,15 @@ a AS (SELECT coalesce(r / nullif(np, 0)::DOUBLE, 0) pr, coalesce(t / nullif(ng,
         + 'SELECT round(pr, 6) AS "precision", round(re, 6) recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) f1 FROM a',
     ),
     "stratified_sheet": (_sheet, None),
-    "leave_one_out": (_leave_one_out, None),
+    "leave_one_out": (
+        _leave_one_out,
+        with_("it", more="""bs AS (SELECT k, item, count(*) OVER (PARTITION BY k) n FROM it),
+hd AS (SELECT k qid, item id FROM (SELECT k, item, row_number() OVER (PARTITION BY k ORDER BY sha256('42:' || k || ':' || item), item) r FROM bs WHERE n >= 3) WHERE r > 1),
+hs AS (SELECT qid, k rid, count(*) m, any_value(n) n FROM hd JOIN bs ON bs.item = hd.id GROUP BY 1, 2),
+rk AS (SELECT qid, rid, row_number() OVER (PARTITION BY qid ORDER BY m / n::DOUBLE DESC, n - m, rid) rank FROM hs),
+g AS (SELECT q.qid, rank FROM (SELECT DISTINCT qid FROM hd) q LEFT JOIN rk ON rk.qid = q.qid AND rk.rid = q.qid AND rank <= 10)""")
+        + "SELECT count(*) n, round(avg((rank IS NOT NULL)::INT), 6) recall, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) mrr FROM g",
+    ),
     "leaderboard": (
         _leaderboard,
         with_("cand", more=_R + ", m AS (SELECT DISTINCT gold_id || '#' || draw qid, coalesce(sampler, 'none') sampler, lower(trim(split)) split, len(distractors)::INT d FROM eval_pantries)")

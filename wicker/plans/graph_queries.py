@@ -138,6 +138,26 @@ def _diet_coverage(spark, d):
     return names.agg(F.round(F.coalesce(F.avg(substitution.diet_tags(F.col("name")).isNotNull().cast("double")), F.lit(0.0)), 6).alias("coverage"))
 
 
+def _validity(spark, d):
+    """How many of the five graph neighbours of each item would keep each diet, without a mask."""
+    return substitution.dietary_validity(_graph(spark, d), "b", sorted(substitution.DIETS))
+
+
+def _diet_sql() -> str:
+    """Common table expression tg (nm, tags): the categories of names, null where nothing is known."""
+    up = substitution.ancestors()
+    texts = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
+    words = ", ".join(f"('{w}', {texts(up[c])})" for c, ws in substitution.CATEGORY_WORDS.items() for w in ws.split())
+    phrases = ", ".join(f"('{p}', {texts(sorted({u for c in cs for u in up[c]}))})" for p, cs in substitution.PHRASES.items())
+    return f"""wt(w, tags) AS (VALUES {words}), ph(nm, tags) AS (VALUES {phrases}),
+sw AS (SELECT nm, list_sort(list_distinct(flatten(list(tags)))) tags FROM (SELECT DISTINCT nm, unnest(string_split(nm, ' ')) w FROM names) JOIN wt USING (w) GROUP BY 1),
+tg AS (SELECT nm, CASE WHEN ph.nm IS NOT NULL THEN ph.tags ELSE sw.tags END tags FROM names LEFT JOIN ph USING (nm) LEFT JOIN sw USING (nm))"""
+
+
+def _allows(diet: str) -> str:
+    return f"coalesce(NOT list_has_any(tags, [{', '.join(repr(x) for x in substitution.DIETS[diet])}]), false)"
+
+
 def _substitutes(spark, d, diet="vegan"):
     """Blended substitutes of every vocabulary item under a diet, the item itself left out."""
     graph, plain = _two_lists(spark, d)
@@ -208,6 +228,10 @@ def _match_foods(spark, d):
     return nutrition.match_foods(names, foods, aliases)
 
 
+def _gate(spark, d):
+    return nutrition.impute_gate(_coverage(spark, d), 0.9, 0.5)
+
+
 def _imputer(spark, d):
     rows = _totals(spark, d).select(F.concat(F.lit("r "), F.col("rid")).alias("text"), "energy")
     titles = read_table(spark, d, "recipes").select(F.col("recipe_id").alias("rid"), "title").distinct()
@@ -308,8 +332,25 @@ l AS (SELECT grp, k, list(item) s FROM it JOIN g USING (k) GROUP BY 1, 2)""")
         """WITH RECURSIVE p(c, up) AS (VALUES ('meat', 'animal_product'), ('fish', 'animal_product'), ('dairy', 'animal_product'), ('egg', 'animal_product'), ('honey', 'animal_product')),
         a AS (SELECT c category, c ancestor FROM (SELECT c FROM p UNION SELECT up FROM p UNION SELECT 'gluten') UNION SELECT category, up FROM a JOIN p ON c = ancestor) SELECT * FROM a""",
     ),
-    "diet_mask": (_diet, None),
-    "diet_coverage": (_diet_coverage, None),
+    "diet_mask": (
+        _diet,
+        with_("ing", more="names AS (SELECT DISTINCT nm FROM ing), " + _diet_sql())
+        + "SELECT id, CASE WHEN tags IS NULL THEN 'unknown' ELSE coalesce(array_to_string(tags, ','), '') END tags, "
+        + ", ".join(f"{_allows(x)} {x}" for x in sorted(substitution.DIETS)) + " FROM ing JOIN tg USING (nm)",
+    ),
+    "diet_coverage": (
+        _diet_coverage,
+        with_("ing", more="names AS (SELECT DISTINCT nm FROM ing), " + _diet_sql())
+        + "SELECT round(coalesce(avg((tags IS NOT NULL)::INT), 0), 6) coverage FROM (SELECT id, tags FROM ing JOIN tg USING (nm))",
+    ),
+    "dietary_validity": (
+        _validity,
+        with_("it", more=_S + ", gn AS (SELECT b nm FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) r FROM " + NEIGHBORS + ") WHERE r <= 5), names AS (SELECT DISTINCT nm FROM gn), " + _diet_sql())
+        + " UNION ALL ".join(
+            f"SELECT '{x}' diet, count(*) n, coalesce(sum({_allows(x)}::INT), 0)::BIGINT n_valid, round(coalesce(avg({_allows(x)}::INT), 1), 6) rate FROM gn JOIN tg USING (nm)"
+            for x in sorted(substitution.DIETS)
+        ),
+    ),
     "substitutes": (_substitutes, None),
     "svd_neighbors": (_svd, None),
     "word2vec": (_word2vec, None),
@@ -336,5 +377,7 @@ b AS (SELECT name, id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER
         with_("ing", more=_TOT) + """SELECT round(sum(n_matched) / sum(n_lines)::DOUBLE, 6) match_coverage, round(sum(n_massed) / sum(n_lines)::DOUBLE, 6) mass_coverage,
         round(avg((n_massed / n_lines::DOUBLE >= 0.5)::INT), 6) covered_recipes, round(median(1 - n_massed / n_lines::DOUBLE), 6) median_unresolved FROM tot""",
     ),
+    "impute_gate": (_gate, "SELECT *, coalesce(match_coverage < 0.9 OR median_unresolved > 0.5, false) impute FROM (" + with_("ing", more=_TOT) + """SELECT round(sum(n_matched) / sum(n_lines)::DOUBLE, 6) match_coverage, round(sum(n_massed) / sum(n_lines)::DOUBLE, 6) mass_coverage,
+        round(avg((n_massed / n_lines::DOUBLE >= 0.5)::INT), 6) covered_recipes, round(median(1 - n_massed / n_lines::DOUBLE), 6) median_unresolved FROM tot""" + ")"),
     "imputer": (_imputer, None),
 }

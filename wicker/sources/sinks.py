@@ -118,3 +118,15 @@ def markdown_table(metrics: DataFrame, names: list[str]) -> str:
 
 def interval_flag(lo: float, hi: float) -> str:
     return "HOLDS" if lo > 0 or hi < 0 else "within noise"
+
+
+def write_gzip(path: str, text: str) -> str:
+    """A small text file compressed so that equal texts give equal bytes (no time, no name); its SHA-256."""
+    import gzip
+    import hashlib
+    from pathlib import Path
+
+    data = gzip.compress(text.encode("utf-8"), compresslevel=9, mtime=0)
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_bytes(data)
+    return hashlib.sha256(data).hexdigest()
