@@ -46,7 +46,8 @@ def svd_vectors(matrix: DataFrame, dims: int) -> DataFrame:
         gram = y.agg(*[F.sum(F.col("y")[a] * F.col("y")[b]).alias(f"g{a}_{b}") for a in range(dims) for b in range(a, dims)]).first()
         g = np.array([[gram[f"g{min(a, b)}_{max(a, b)}"] for b in range(dims)] for a in range(dims)])
         values, vectors = np.linalg.eigh(g)
-        w = vectors[:, ::-1] / np.sqrt(np.maximum(values[::-1], 1e-300))
+        values = np.where(values > 1e-12 * max(values[-1], 1e-300), values, 0.0)  # directions the matrix doesn't have
+        w = vectors[:, ::-1] * np.where(values[::-1] > 0, 1 / np.sqrt(np.where(values[::-1] > 0, values[::-1], 1.0)), 0.0)
         q = y.select("item", F.array(*[sum(F.col("y")[a] * F.lit(float(w[a, d])) for a in range(dims)) for d in range(dims)]).alias("q"))
     scale = np.sqrt(np.sqrt(np.maximum(values[::-1], 0)))
     rows = q.select("item", F.array(*[F.col("q")[d] * F.lit(float(scale[d] ** 2)) for d in range(dims)]).alias("r"))

@@ -95,10 +95,10 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     ``queries`` (vec_id, embedding) is a stated set held against all rows: blocks of about ``KNN_BLOCK`` query vectors go to
     all tasks, each batch of vectors is one matrix product with a block, and only what can be among the k nearest of a batch
-    (ties included) is shuffled. Null vectors and vectors of length zero are near nothing.
+    (ties included) is shuffled. Null vectors, those of length zero and those with NaN are near nothing.
     """
     spark = queries.sparkSession
-    usable = F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)
+    usable = F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: ~F.isnan(x))
     queries, vectors = queries.where(usable).select("vec_id", "embedding"), vectors.where(usable).select("vec_id", "embedding")
     blocks = max(1, -(-queries.count() // KNN_BLOCK))
     numbered = queries.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
