@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wicker.operators import basket, blocks
-from wicker.session import ensure_checkpoint_dir
+from wicker.session import ensure_checkpoint_dir, written
 
 MAX_MISSING = 2
 
@@ -126,7 +126,6 @@ def blockers(spark: SparkSession, sf_dir: str, queries: DataFrame, top: int = 5)
     asked = held_items(queries, pack)
     reached = near(asked, pack).select("qid").distinct()
     held = asked.join(reached, "qid", "left_anti").checkpoint()  # of the blocked queries only
-    blocked = held.select("qid").distinct()
     found = scored(held, pack)
     gain = pack.need.where("id is not null").groupBy("rid", "id").agg(F.countDistinct("line_no").alias("gain"), F.first("total").alias("total"))
     alone = gain.where(F.col("total") - F.col("gain") <= MAX_MISSING)
@@ -137,11 +136,14 @@ def blockers(spark: SparkSession, sf_dir: str, queries: DataFrame, top: int = 5)
     delta = touched.select("qid", "rid").join(gain, "rid").join(held, ["qid", "id"], "left_anti").join(fresh, ["qid", "rid", "id"], "left")
     now = F.coalesce((F.col("total") - F.col("have") - F.col("g") <= MAX_MISSING).cast("long"), F.lit(0))
     was = (F.col("total") - F.col("gain") <= MAX_MISSING).cast("long")
-    deltas = delta.groupBy("qid", "id").agg(F.sum(now - was).alias("d"))
+    deltas = written(delta.groupBy("qid", "id").agg(F.sum(now - was).alias("d")).where("d <> 0"))
     base = alone.groupBy("id").agg(F.count(F.lit(1)).alias("b"))
-    ranked = base.agg(F.array_sort(F.collect_list(F.struct((-F.col("b")).alias("nb"), "id"))).alias("all"))  # one entry per item of the dimension
-    static = blocked.crossJoin(F.broadcast(ranked)).select("qid", F.explode("all").alias("e")).select("qid", F.col("e.id").alias("id"), (-F.col("e.nb")).alias("b"))
-    static = static.join(held, ["qid", "id"], "left_anti")
-    both = static.join(deltas, ["qid", "id"], "full").select("qid", "id", (F.coalesce("b", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("n")).where("n > 0")
+    # only the first items of the common order can be among the best of a query: as many as it asks for, holds or has a difference for
+    ordered = base.withColumn("place", F.row_number().over(Window.orderBy(F.desc("b"), "id")))
+    own = held.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).unionByName(deltas.groupBy("qid").agg(F.count(F.lit(1)).alias("n")))
+    places = own.groupBy("qid").agg((F.sum("n") + max(top, 0)).cast("int").alias("n")).select("qid", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("place"))
+    static = places.join(ordered, "place").select("qid", "id", "b").join(held, ["qid", "id"], "left_anti")
+    changed = deltas.join(base, "id", "left").select("qid", "id", "d", F.col("b").alias("all"))
+    both = static.join(changed, ["qid", "id"], "full").select("qid", "id", (F.coalesce("b", "all", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("n")).where("n > 0")
     order = Window.partitionBy("qid").orderBy(F.desc("n"), "id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("qid", "rank", "id", "n")
