@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Baskets and queries of a block at most, up to the evenness of the hash.
@@ -22,6 +22,22 @@ QUERIES = 16_384
 LEAST_QUERIES = 256
 
 
+class Groups:
+    """So many groups, each on a partition of its own: their keys are numbers that hash to different partitions."""
+
+    def __init__(self, spark: SparkSession, n: int):
+        tried = spark.range(max(64, 32 * n), numPartitions=1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+        kept = dict(tried.groupBy("p").agg(F.min("id")).collect())
+        free = iter(range(-1, -1 - n, -1))
+        self.n, self.keys = n, [kept[p] if p in kept else next(free) for p in range(n)]
+
+    def key(self, group: Column) -> Column:
+        return F.element_at(F.array(*map(F.lit, self.keys)), (group + 1).cast("int")).cast("long").alias("_g")
+
+    def cogroup(self, left: DataFrame, right: DataFrame):
+        return left.repartition(self.n, "_g").groupBy("_g").cogroup(right.repartition(self.n, "_g").groupBy("_g"))
+
+
 @dataclass
 class Hits:
     """The baskets of a block that share something with a query: places in the order of rid, satisfied lines, their weight,

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wicker.operators.blocks import Groups, first
+from wicker.session import ensure_checkpoint_dir, written
+
 
 def cooccurrence(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """i < j, n: baskets that hold both items, over records (key, items) and the items of ``vocabulary`` (item).
@@ -38,23 +44,108 @@ def l2_normalized(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("i"))))
 
 
+#: Rows of a matrix that one task scores, and rows they are held against, at most, up to the evenness of the hash.
+SCORED_ROWS = 32_768
+HELD_ROWS = 65_536
+
+
+def numbered(names: DataFrame) -> DataFrame:
+    """item, id: a long for each distinct item, in the order of the names; written once, so the numbers hold."""
+    ensure_checkpoint_dir(names.sparkSession)
+    ordered = names.distinct().repartitionByRange("item").sortWithinPartitions("item")
+    return ordered.select("item", F.monotonically_increasing_id().alias("id")).checkpoint()
+
+
 def graph_neighbors(unit: DataFrame, pairs: DataFrame, k: int, beta: float = 100.0, lam: float = 0.5) -> DataFrame:
     """a, rank, b, score: cosine of the rows of a normalised matrix, shrunk by overlap / (overlap + beta), minus lam times the
     share of the most frequent companion; the first k with anything in common, ties by name.
 
-    The sparse product is a join on the context column with partial sums; hot columns are split by adaptive execution.
+    The rows are cut into blocks by hash, and each pair of blocks is one group: the products of a row are added up in NumPy
+    over the columns of the other block, and only the first k of a block are shuffled, never a product.
     """
-    left, right = unit.select(F.col("i").alias("a"), "j", "v"), unit.select(F.col("i").alias("b"), "j", F.col("v").alias("w"))
-    product = left.join(right, "j").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.count(F.lit(1)).alias("o"))
+    spark, unit = unit.sparkSession, written(unit)
+    names = numbered(unit.select(F.col("i").alias("item")).unionByName(unit.select(F.col("j").alias("item"))))
+    n = names.count()
+    b_blocks = max(1, -(-n // HELD_ROWS))
+    a_blocks = max(1, -(-n // SCORED_ROWS), min(-(-2 * spark.sparkContext.defaultParallelism // b_blocks), -(-n // 64)))
+    named = lambda c: names.select(F.col("item").alias(c), F.col("id").alias(f"{c}_id"))
+    # both lists of a row are gathered at one exchange on its name: its values and its companions with their shares
     both = mirrored(pairs)
-    share = both.select(F.col("i").alias("a"), F.col("j").alias("b"), (F.col("n") / F.max("n").over(Window.partitionBy("i"))).alias("c"))
-    scored = product.join(share, ["a", "b"], "left").withColumn(
-        "score", F.round(F.col("dot") * F.col("o") / (F.col("o") + beta) - lam * F.coalesce("c", F.lit(0.0)), 6)
-    )
+    share = both.select("i", "j", F.lit(None).cast("double").alias("v"), (F.col("n") / F.max("n").over(Window.partitionBy("i"))).alias("c"))
+    entries = unit.select("i", "j", "v", F.lit(None).cast("double").alias("c")).unionByName(share).join(named("j"), "j")
+    values = F.collect_list(F.when(F.col("v").isNotNull(), F.struct("j_id", "v")))
+    shares = F.collect_list(F.when(F.col("c").isNotNull(), F.struct("j_id", "c")))
+    lists = entries.groupBy("i").agg(values.alias("l"), shares.alias("m")).join(named("i"), "i").where(F.size("l") > 0)
+    column = lambda of, part: F.transform(of, lambda x: x[part])
+    whole = written(lists.select(F.col("i").alias("name"), F.col("i_id").alias("id"), column("l", "j_id").alias("at"), column("l", "v").alias("v"), column("m", "j_id").alias("near"), column("m", "c").alias("c")))
+    groups = Groups(spark, a_blocks * b_blocks)
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    block = lambda m: F.pmod(F.xxhash64("id"), F.lit(m))
+    left = whole.withColumn("_a", block(a_blocks)).withColumn("_b", every(b_blocks)).select(groups.key(F.col("_a") * b_blocks + F.col("_b")), "name", "id", "at", "v", "near", "c")
+    right = whole.withColumn("_b", block(b_blocks)).withColumn("_a", every(a_blocks)).select(groups.key(F.col("_a") * b_blocks + F.col("_b")), "name", "id", "at", "v")
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        ids, held = _flat(rows, "id"), rows.column("name").combine_chunks()
+        sizes = pc.list_value_length(rows.column("at").combine_chunks()).to_numpy()
+        columns, at = np.unique(_flat(rows, "at"), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at[order], np.arange(len(columns) + 1))
+        row, value = np.repeat(np.arange(len(ids)), sizes)[order], _flat(rows, "v")[order]
+        out: tuple[list, ...] = [], [], []
+        if len(ids) and asked.num_rows:
+            cut = {c: _edges(asked, c) for c in ("at", "near")}
+            flat = {c: _flat(asked, c) for c in ("at", "v", "near", "c")}
+            place, known = _found(columns, flat["at"])
+            beside, real = _found(ids, flat["near"])
+            me, here = _found(ids, _flat(asked, "id"))
+            for a in range(asked.num_rows):
+                x, y = cut["at"][a], cut["at"][a + 1]
+                kept = known[x:y]
+                spans, weights = place[x:y][kept], flat["v"][x:y][kept]
+                if not len(spans):
+                    continue
+                lengths = edges[spans + 1] - edges[spans]
+                # the places of all entries of these columns
+                took = np.repeat(edges[spans] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                shared = np.bincount(row[took], minlength=len(ids))
+                dot = np.bincount(row[took], value[took] * np.repeat(weights, lengths), minlength=len(ids))
+                if here[a]:
+                    shared[me[a]] = 0
+                x, y = cut["near"][a], cut["near"][a + 1]
+                beyond = np.zeros(len(ids))
+                beyond[beside[x:y][real[x:y]]] = flat["c"][x:y][real[x:y]]
+                hit = np.flatnonzero(shared)
+                score = dot[hit] * shared[hit] / (shared[hit] + beta) - lam * beyond[hit]
+                score = np.sign(score) * np.floor(np.abs(score) * 1e6 + 0.5) / 1e6 + 0.0
+                best = first(k, -score)
+                for part, add in zip(out, (np.full(len(best), a), hit[best], score[best])):
+                    part.append(add)
+        a, b, score = (np.concatenate(part) if part else np.zeros(0, kind) for part, kind in zip(out, (np.int64, np.int64, float)))
+        own = asked.column("name").combine_chunks()
+        return pa.table({"a": own.take(pa.array(a)), "b": held.take(pa.array(b)), "score": pa.array(score)})
+
+    scored = groups.cogroup(left, right).applyInArrow(run, "a string, b string, score double")
     order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("a", "rank", "b", "score")
 
 
+def _flat(table: pa.Table, c: str) -> np.ndarray:
+    """The numbers of a column, those of lists one after the other."""
+    column = table.column(c).combine_chunks()
+    return (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
+
+
+def _edges(table: pa.Table, c: str) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(table.column(c).combine_chunks()).to_numpy())])
+
+
+def _found(sorted_: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each number asked for, and whether it is there."""
+    at = np.minimum(np.searchsorted(sorted_, asked), max(len(sorted_) - 1, 0))
+    return at, sorted_[at] == asked if len(sorted_) else np.zeros(len(asked), bool)
+
+
 def mine_pairs(records: DataFrame, least: int = 4) -> DataFrame:
     """source, target: items that alone set apart two baskets of one group with at least ``least`` shared items.
 
