@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from wicker.operators import substitution
+from wicker.plans import catalog
 
 
 def rows(df):
@@ -52,3 +53,16 @@ def test_graph_neighbors_shuffle_no_product(spark, monkeypatch, size):
     expected = {(a, r, b): s for a, r, b, s in brute_neighbors(recipes, 4)}
     assert {x[:3] for x in got} == expected.keys() and all(abs(x[3] - expected[x[:3]]) < 1.1e-6 for x in got)
     assert "FlatMapCoGroups" in plan(found)
+
+
+def test_dietary_validity_of_many_neighbours(spark, write):
+    recipes = [["hub", f"x{k:03}"] for k in range(120)] * 2 + [["beef", "milk", "x001"]] * 3 + [["tofu", "oat", "x002"]] * 3
+    d = write("recipes", [(f"r{k}", r) for k, r in enumerate(recipes)], "recipe_id string, canonical array<string>")
+    valid = catalog.queries()["dietary_validity"](spark, d)
+    got = rows(valid)
+    found = Counter(b for _, _, b, _ in brute_neighbors(recipes, 5))
+    n = sum(found.values())
+    assert [(x, m) for x, m, _, _ in got] == [(x, n) for x in ("dairy_free", "gluten_free", "vegan", "vegetarian")]
+    vegan = sum(m for b, m in found.items() if b in ("tofu", "oat"))
+    assert next(ok for x, _, ok, _ in got if x == "vegan") == vegan
+    assert "FlatMapCoGroups" in plan(valid)  # 120 rows share the column hub: 14,400 products
