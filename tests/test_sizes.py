@@ -1,5 +1,6 @@
 """Queries that once shuffled or gathered more than they keep: their plans, and their results in small blocks."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -66,3 +67,165 @@ def test_dietary_validity_of_many_neighbours(spark, write):
     vegan = sum(m for b, m in found.items() if b in ("tofu", "oat"))
     assert next(ok for x, _, ok, _ in got if x == "vegan") == vegan
     assert "FlatMapCoGroups" in plan(valid)  # 120 rows share the column hub: 14,400 products
+
+
+def tables(write, seed, n_recipes=150, n_queries=60):
+    """A folder of tables with recipes and pantries, and of each query its gold and the baskets it shares an item with, by rid."""
+    rnd = random.Random(seed)
+    names = [f"i{k}" for k in range(16)]
+    recipes = {f"r{k}": [rnd.choice([*names, "unknown"]) for _ in range(rnd.randint(1, 6))] for k in range(n_recipes)}
+    queries = {f"r{rnd.randrange(n_recipes)}": rnd.sample(names, rnd.randint(2, 6)) for _ in range(n_queries)}
+    write("ingredients", [(n, n, "1" if n == "i0" else "0") for n in names], "id string, name string, staple string")
+    write("parsed_ingredients", [(r, k, f"1 {n}", n) for r, ls in recipes.items() for k, n in enumerate(ls)], "recipe_id string, line_no int, raw string, canonical string")
+    write("recipes", [(r, ls) for r, ls in recipes.items()], "recipe_id string, canonical array<string>")
+    d = write("eval_pantries", [(q, 0, ids) for q, ids in queries.items()], "gold_id string, draw int, pantry array<string>")
+    return d, recipes, queries
+
+
+def found(recipes, queries):
+    """query -> rid -> (missing, -score, total, have, open lines), as the arms see it."""
+    need = {r: [n for n in ls if n != "i0"] for r, ls in recipes.items()}
+    need = {r: ls for r, ls in need.items() if ls}
+    df = Counter(n for r in need for n in set(recipes[r]) if n != "unknown")
+    w = {n: math.log(1 + len(need) / c) for n, c in df.items()}
+    out = {}
+    for q, ids in queries.items():
+        own = {i for i in ids if i in df} - {"i0"}
+        out[q] = {}
+        for r, ls in need.items():
+            hit = [n for n in ls if n in own]
+            if hit:
+                score = sum(w[n] for n in hit) / math.sqrt(sum(w.get(n, 0.0) for n in ls))
+                out[q][r] = (len(ls) - len(hit), -round(score, 6), len(ls), len(hit), [n for n in ls if n not in own])
+    return out
+
+
+def covered(recipes, queries):
+    """query -> baskets by coverage, fewest missing and rid, with the number shared."""
+    sets = {r: {n for n in ls if n != "unknown"} for r, ls in recipes.items()}
+    out = {}
+    for q, ids in queries.items():
+        own = set(ids)
+        out[q] = [(r, len(own & s)) for _, _, r, s in sorted((-len(own & s) / len(s), len(s - own), r, s) for r, s in sets.items() if own & s)]
+    return out
+
+
+def run(spark, d, name):
+    from wicker.plans import catalog
+
+    df = catalog.queries()[name](spark, d)
+    return df, {tuple(r) for r in df.collect()}
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    from wicker.operators import blocks
+
+    monkeypatch.setattr(blocks, "BASKETS", 40)
+    monkeypatch.setattr(blocks, "LEAST_QUERIES", 8)
+
+
+def counted_by_bits(df):
+    """Groups of Arrow tables: no row of a line is ever made a pandas row, no basket that a query doesn't keep is given."""
+    return "FlatMapCoGroupsInArrow" in plan(df)
+
+
+def test_leave_one_out_counts_places(spark, write, small_blocks):
+    d, recipes, _ = tables(write, 2)
+    df, got = run(spark, d, "leave_one_out")
+    places = []
+    for r, ls in recipes.items():
+        if len(items := set(ls)) >= 3:
+            gone = min(items, key=lambda x: hashlib.sha256(f"42:{r}:{x}".encode()).hexdigest())
+            own = items - {gone}
+            order = sorted((-len(own & set(x)) / len(set(x)), len(set(x) - own), k) for k, x in recipes.items() if own & set(x))
+            places.append([k for _, _, k in order].index(r) + 1)
+    hit = [1 / p for p in places if p <= 10]
+    assert got == {(len(places), round(len(hit) / len(places), 6), round(sum(hit) / len(places), 6))}
+    assert counted_by_bits(df)
+
+
+def test_unlocks_are_counted_in_blocks(spark, write, small_blocks):
+    d, recipes, queries = tables(write, 4)
+    df, got = run(spark, d, "answer_unlocks")
+    expected = set()
+    for q, baskets in found(recipes, queries).items():
+        n = Counter(open_[0] for m, _, _, _, open_ in baskets.values() if m == 1 and open_[0] != "unknown")
+        expected |= {(f"{q}#0", k + 1, i, c) for k, (i, c) in enumerate(sorted(n.items(), key=lambda x: (-x[1], x[0]))[:10])}
+    assert got == expected and counted_by_bits(df)
+
+
+def test_gold_places_by_bits(spark, write, small_blocks):
+    d, recipes, queries = tables(write, 9)
+    df, got = run(spark, d, "recall_mrr")
+    expected = set()
+    for arm, key in (("overlap", lambda x: (-x[3], x[2])), ("idf_flat", lambda x: (x[1], x[2]))):
+        places = [sorted(b, key=lambda r: (*key(b[r]), r)).index(q) + 1 for q, b in found(recipes, queries).items() if q in b]  # noqa: B023
+        hit = [1 / p for p in places if p <= 10]
+        expected.add((len(queries), round(len(hit) / len(queries), 6), round(sum(hit) / len(queries), 6), arm))
+    assert got == expected and counted_by_bits(df)
+
+
+def test_visible_gold_is_counted(spark, write, small_blocks):
+    d, recipes, queries = tables(write, 11)
+    df, got = run(spark, d, "visible_rate")
+    seen = 0
+    for q, b in found(recipes, queries).items():
+        if q in b and b[q][0] <= 2:
+            seen += sum((*x[1:3], r) < (*b[q][1:3], q) for r, x in b.items() if x[0] == b[q][0]) < 10
+    assert 0 < seen < len(queries)
+    assert got == {(len(queries), round(seen / len(queries), 6))} and counted_by_bits(df)
+
+
+def test_groups_are_counted(spark, write, small_blocks):
+    d, recipes, queries = tables(write, 12)
+    df, got = run(spark, d, "answer_group_counts")
+    assert got == {(f"{q}#0", *(sum(x[0] == m for x in b.values()) for m in range(3))) for q, b in found(recipes, queries).items()}
+    assert counted_by_bits(df)
+
+
+@pytest.mark.parametrize("arm,key", [("arm_shipped", lambda x: x[:3]), ("arm_overlap", lambda x: (-x[3], x[2]))])
+def test_arms_by_bits(spark, write, small_blocks, arm, key):
+    d, recipes, queries = tables(write, 13)
+    df, got = run(spark, d, arm)
+    assert got == {(f"{q}#0", k + 1, r) for q, b in found(recipes, queries).items() for k, r in enumerate(sorted(b, key=lambda r: (*key(b[r]), r))[:10])}  # noqa: B023
+    assert counted_by_bits(df)
+
+
+def test_pools_by_bits(spark, write, small_blocks):
+    d, recipes, queries = tables(write, 14)
+    df, got = run(spark, d, "candidate_pool")
+    size = {r: len({n for n in ls if n != "unknown"}) for r, ls in recipes.items()}
+    pools = covered(recipes, queries)
+    assert got == {(f"{q}#0", r, n, size[r] - n, k + 1) for q, b in pools.items() for k, (r, n) in enumerate(b[:25])}
+    assert counted_by_bits(df)
+    df, got = run(spark, d, "overlap_top_k")
+    assert {x[:3] for x in got} == {(f"{q}#0", k + 1, r) for q, b in pools.items() for k, (r, _) in enumerate(b[:5])} and counted_by_bits(df)
+
+
+def test_pool_metrics_count_places(spark, write, small_blocks):
+    d, recipes, queries = tables(write, 16)
+    df, got = run(spark, d, "pool_metrics")
+    places = [[r for r, _ in b].index(q) + 1 for q, b in covered(recipes, queries).items() if q in dict(b)]
+    inside, hit, n = [p for p in places if p <= 25], [1 / p for p in places if p <= 10], len(queries)
+    assert got == {(n, *(round(x, 6) for x in (len(inside) / n, len(hit) / n, sum(hit) / n, len(hit) / len(inside), sum(hit) / len(inside))))}
+    assert counted_by_bits(df)
+
+
+def test_answers_give_the_first_of_each_block(spark, write, small_blocks):
+    d, recipes, queries = tables(write, 19)
+    df, got = run(spark, d, "answer_items")
+    expected = set()
+    for q, b in found(recipes, queries).items():
+        for m in range(3):
+            group = sorted((x[1], x[2], r, x[3]) for r, x in b.items() if x[0] == m)[:10]
+            expected |= {(f"{q}#0", m, k + 1, r, have, total, -s) for k, (s, total, r, have) in enumerate(group)}
+    assert got == expected and counted_by_bits(df)
+
+
+def test_makeable_is_counted(spark, write, small_blocks):
+    d, recipes, queries = tables(write, 21)
+    df, got = run(spark, d, "makeable")
+    per = [(sum(x[0] == 0 for x in b.values()), len(b)) for b in found(recipes, queries).values()]
+    share = sum(min(c, 10) / min(t, 10) for c, t in per if t) / len(per)
+    assert got == {(len(queries), round(share, 6), round(sum(c > 0 for c, _ in per) / len(per), 6))} and counted_by_bits(df)

@@ -67,6 +67,11 @@ def candidates(queries: DataFrame, post: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "rid").agg(F.count(F.lit(1)).alias("have"))
 
 
+def sized(items: DataFrame) -> DataFrame:
+    """``items`` (rid, id, distinct) with n, the number of items of the basket."""
+    return items.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("rid")))
+
+
 def candidate_pool(queries: DataFrame, items: DataFrame, cap: int) -> DataFrame:
     """qid, rid, matched, missing, rank: per query the first ``cap`` baskets by coverage, fewest missing, id.
 
@@ -77,8 +82,7 @@ def candidate_pool(queries: DataFrame, items: DataFrame, cap: int) -> DataFrame:
 
     if cap < 0:
         raise ValueError("cap must not be negative")
-    sized = items.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("rid")))
-    found = blocks.pools(queries, sized, cap)
+    found = blocks.pools(queries, sized(items), cap)
     scored = found.withColumn("missing", F.col("n") - F.col("matched"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.col("matched") / F.col("n")), "missing", "rid")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select("qid", "rid", "matched", "missing", "rank")

@@ -1,23 +1,25 @@
 """A stated set of queries against all baskets, in blocks.
 
 Queries and baskets are cut into blocks of bounded size by hash, and each pair of blocks is one group: no row of a query and a
-basket is ever shuffled, only what a query keeps of a block. Inside a group the postings of the items of a query are added up
-over the baskets of the block in NumPy, so a common item costs no more than its postings.
+basket is ever shuffled, only what a query keeps of a block. Inside a group each item is a bit vector over the baskets of the
+block, the vectors of a query are added up as bits of a count, 64 baskets a word, and only baskets that a query may keep are
+looked at one by one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Baskets and queries of a block at most, up to the evenness of the hash.
-BASKETS = 8_192
-QUERIES = 16_384
+#: Baskets and queries of a block at most, up to the evenness of the hash, and rows that a block of queries gives.
+BASKETS = 262_144
+QUERIES = 262_144
+GIVEN = 2_000_000
 #: A query block is not cut smaller than this for the sake of parallel work.
 LEAST_QUERIES = 256
 
@@ -38,53 +40,240 @@ class Groups:
         return left.repartition(self.n, "_g").groupBy("_g").cogroup(right.repartition(self.n, "_g").groupBy("_g"))
 
 
-@dataclass
-class Hits:
-    """The baskets of a block that share something with a query: places in the order of rid, satisfied lines, their weight,
-    all lines, and the score (rounded half up to six digits)."""
+def numbers(table: pa.Table, c: str) -> np.ndarray:
+    """The numbers of a column, those of lists one after the other."""
+    column = table.column(c).combine_chunks()
+    return (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
+
+
+def edges(table: pa.Table, c: str) -> np.ndarray:
+    """Where the lists of a column begin in ``numbers``, and the end."""
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(table.column(c).combine_chunks()).to_numpy())]).astype(np.int64)
 
-    at: np.ndarray
-    have: np.ndarray
-    total: np.ndarray
-    score: np.ndarray
 
-    @property
-    def missing(self) -> np.ndarray:
-        return self.total - self.have
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of these spans, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 1e6 + 0.5) / 1e6
 
 
 class Block:
-    """Postings of a block of baskets. A line counts once for a query, whichever and however many of its options are held."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.rids, basket = np.unique(rows["rid"].to_numpy(dtype=object), return_inverse=True)
-        lines = pd.MultiIndex.from_arrays([basket, rows["line_no"]]).factorize()[0]
-        n = len(self.rids)
-        self.total, self.den = np.zeros(n, np.int64), np.zeros(n)
-        self.total[basket], self.den[basket] = rows["total"], rows["den"]
-        size = int(lines.max()) + 1 if len(lines) else 0
-        self.line_basket, self.line_weight = np.zeros(size, np.int64), np.zeros(size)
-        self.line_basket[lines], self.line_weight[lines] = basket, rows["w"]
-        known = rows["id"].notna().to_numpy()
-        codes, items = pd.factorize(rows["id"][known])
-        order = np.argsort(codes, kind="stable")
-        edges = np.searchsorted(codes[order], np.arange(len(items) + 1))
-        posted = lines[known][order]
-        self.postings = {item: posted[a:b] for item, a, b in zip(items, edges[:-1], edges[1:])}
-        self.several = len(posted) > len(np.unique(posted))  # a line with more than one option
-
-    def hits(self, ids) -> Hits:
-        found = [self.postings[i] for i in ids if i in self.postings]
-        lines = np.concatenate(found) if found else np.zeros(0, np.int64)
-        if self.several:
-            lines = np.unique(lines)
-        baskets = self.line_basket[lines]
-        have = np.bincount(baskets, minlength=len(self.rids))
-        weight = np.bincount(baskets, weights=self.line_weight[lines], minlength=len(self.rids))
-        at = np.flatnonzero(have)
-        den = self.den[at]
-        score = np.where(den > 0, weight[at] / np.sqrt(np.where(den > 0, den, 1.0)), 0.0)
-        return Hits(at, have[at], self.total[at], np.floor(score * 1e6 + 0.5) / 1e6)
+    """A block of baskets, in the order of their number of lines and rid. Those of each number begin at a multiple of 64.
+
+    A line counts once for a query, whichever and however many of its options are held; where a line of the block has more
+    than one option, or an item more than one weight, baskets are counted by postings and not by bits.
+    """
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by([("total", "ascending"), ("rid", "ascending")])
+        total = numbers(table, "total").astype(np.int64)
+        self.sizes, first_, count = np.unique(total, return_index=True, return_counts=True)
+        words = -(-count // 64)
+        self.words = np.concatenate([[0], np.cumsum(words)])
+        self.n = int(self.words[-1]) * 64
+        place = np.arange(len(total)) + np.repeat(self.words[:-1] * 64 - first_, count)
+        self.rids = np.full(self.n, None, dtype=object)
+        self.rids[place] = table.column("rid").to_numpy()
+        self.filled = np.stack([self.words[:-1] * 64, self.words[:-1] * 64 + count], axis=1)
+        self.rank = np.zeros(self.n, np.int64)
+        self.rank[place[pc.sort_indices(table.column("rid")).to_numpy()]] = np.arange(len(total))
+        self.total, self.root = np.zeros(self.n, np.int64), np.zeros(self.n)
+        self.total[place], self.root[place] = total, np.sqrt(np.maximum(numbers(table, "den"), 0.0))
+        sizes = np.diff(edges(table, "line"))
+        self.size, self.start = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        self.size[place], self.start[place] = sizes, np.cumsum(sizes) - sizes
+        owner = np.repeat(place, sizes)
+        ids = table.column("id").combine_chunks().flatten().dictionary_encode()
+        self.items = ids.dictionary
+        self.code = pc.fill_null(ids.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        weight, self.line_weight = numbers(table, "w"), None
+        known = self.code >= 0
+        self.weight = np.zeros(len(self.items) + 1)
+        self.weight[self.code[known]] = weight[known]
+        self.plain = bool(pc.all(table.column("plain")).as_py()) and bool((self.weight[self.code[known]] == weight[known]).all())
+        order = np.flatnonzero(known)[np.argsort(self.code[known], kind="stable")]
+        self.posted = owner[order]
+        self.cut = np.searchsorted(self.code[order], np.arange(len(self.items) + 1))
+        self.kept: dict[int, list[np.ndarray]] = {}
+        self.orders: dict[int, list] = {}
+        self.has = np.zeros(len(self.items) + 1, bool)
+        if not self.plain:
+            key = np.stack([owner, numbers(table, "line").astype(np.int64)])
+            _, line = np.unique(key, axis=1, return_inverse=True)
+            self.line = line.reshape(-1)  # of each row
+            self.line_place, self.line_weight = np.zeros(self.line.max(initial=-1) + 1, np.int64), np.zeros(self.line.max(initial=-1) + 1)
+            self.line_place[self.line], self.line_weight[self.line] = owner, weight
+            self.line_of = self.line[order]
+
+    def layers(self, code: int) -> list[np.ndarray]:
+        """Bit vectors that add up to the lines of each basket that name this item; those of common items are kept."""
+        if code in self.kept:
+            return self.kept[code]
+        at, out = self.posted[self.cut[code] : self.cut[code + 1]], []
+        while len(at):
+            again = np.concatenate([[False], at[1:] == at[:-1]])
+            one = at[~again]
+            bits = np.zeros(self.n // 64, np.uint64)
+            if len(one) * 16 > self.n:
+                flags = np.zeros(self.n, np.uint8)
+                flags[one] = 1
+                bits = np.packbits(flags, bitorder="little").view(np.uint64)
+            else:
+                np.bitwise_or.at(bits, one >> 6, np.uint64(1) << (one & 63).astype(np.uint64))
+            out.append(bits)
+            at = at[again]
+        if (self.cut[code + 1] - self.cut[code]) * 512 > self.n:
+            self.kept[code] = out
+        return out
+
+    def covering(self, most: int) -> list[tuple[int, int, int]]:
+        """Index of a size, its number of lines and how many (not all) are satisfied, the best covered first, then the fewest
+        missing."""
+        if most not in self.orders:
+            every = [(s, int(t), h) for s, t in enumerate(self.sizes) for h in range(1, min(int(t) - 1, most) + 1)]
+            self.orders[most] = sorted(every, key=lambda x: (-(x[2] / x[1]), x[1] - x[2]))
+        return self.orders[most]
+
+    def before(self, total: int, rid: str) -> int:
+        """The place where a basket of so many lines and this rid stands or would stand."""
+        s = int(np.searchsorted(self.sizes, total))
+        if s == len(self.sizes) or self.sizes[s] != total:
+            return int(self.words[s]) * 64
+        a, b = self.filled[s]
+        return int(a + np.searchsorted(self.rids[a:b], rid))
+
+
+class Hits:
+    """The baskets of a block by how many of their lines a query satisfies."""
+
+    def __init__(self, block: Block, held: list[int]):
+        self.block, self.held = block, held
+        self.bits: list[np.ndarray] = []
+        self.have, self.most = None, 0
+        if not block.plain:
+            lines = np.unique(np.concatenate([np.zeros(0, np.int64), *(block.line_of[block.cut[c] : block.cut[c + 1]] for c in self.held)]))
+            at = block.line_place[lines]
+            self.lines = lines
+            self.have = np.bincount(at, minlength=block.n)
+            self.sum = np.bincount(at, weights=block.line_weight[lines], minlength=block.n)
+            self.most = int(self.have.max(initial=0))
+            return
+        level = [bits for c in self.held for bits in block.layers(c)]
+        self.most = len(level)
+        while level:
+            carry = []
+            while len(level) > 2:
+                x, y, z = level.pop(), level.pop(), level.pop()
+                half = x ^ y
+                carry.append((x & y) | (half & z))
+                level.append(half ^ z)
+            if len(level) == 2:
+                x, y = level
+                carry.append(x & y)
+                level = [x ^ y]
+            self.bits.append(level[0])
+            level = carry
+        self.unset = [~b for b in self.bits]
+
+    def _equal(self, have: int, a: int, b: int) -> np.ndarray:
+        out = None
+        for k, (on, off) in enumerate(zip(self.bits, self.unset)):
+            part = (on if have >> k & 1 else off)[a:b]
+            out = part if out is None else out & part
+        return out
+
+    def _possible(self, have: int) -> bool:
+        return 0 < have <= self.most and (self.have is not None or have >> len(self.bits) == 0)
+
+    def places(self, have: int, size: int | None = None, limit: int | None = None) -> np.ndarray:
+        """Baskets with so many satisfied lines, of ``size`` (an index of the block's sizes) or all, in order; the first ``limit``."""
+        a, b = (0, self.block.n // 64) if size is None else self.block.words[size : size + 2].tolist()
+        if not self._possible(have) or a == b:
+            return np.zeros(0, np.int64)
+        if self.have is not None:
+            return (np.flatnonzero(self.have[a * 64 : b * 64] == have) + a * 64)[:limit]
+        words = self._equal(have, a, b)
+        some = np.flatnonzero(words)[:limit]
+        row, bit = np.nonzero(np.unpackbits(words[some].view(np.uint8), bitorder="little").reshape(-1, 64))
+        return ((some[row] + a) * 64 + bit)[:limit]
+
+    def number(self, have: int, size: int | None = None, end: int | None = None) -> int:
+        """How many baskets ``places`` has, those before the place ``end`` if given."""
+        if end is not None or self.have is not None:
+            if self.have is not None or not self._possible(have):
+                at = self.places(have, size)
+                return len(at) if end is None else int((at < end).sum())
+            a, b = (0, self.block.n // 64) if size is None else self.block.words[size : size + 2].tolist()
+            whole = min(max(end // 64, a), b)
+            words = self._equal(have, a, min(whole + 1, b))
+            n = int(np.bitwise_count(words[: whole - a]).sum())
+            if whole < b and end % 64:
+                n += (int(words[whole - a]) & ((1 << end % 64) - 1)).bit_count()
+            return n
+        if not self._possible(have):
+            return 0
+        a, b = (0, self.block.n // 64) if size is None else self.block.words[size : size + 2].tolist()
+        return int(np.bitwise_count(self._equal(have, a, b)).sum())
+
+    def lacking(self, missing: int) -> np.ndarray:
+        """Baskets with something satisfied that lack so many lines, in order."""
+        found = [self.places(int(t) - missing, s) for s, t in enumerate(self.block.sizes) if 0 < t - missing <= self.most]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def number_lacking(self, missing: int) -> int:
+        return sum(self.number(int(t) - missing, s) for s, t in enumerate(self.block.sizes) if 0 < t - missing <= self.most)
+
+    def _open(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of these baskets, and which of them are held."""
+        b = self.block
+        rows = spans(b.start[at], b.size[at])
+        b.has[self.held] = True
+        held = b.has[b.code[rows]]
+        b.has[self.held] = False
+        return rows, held
+
+    def scores(self, at: np.ndarray) -> np.ndarray:
+        b = self.block
+        if self.have is not None:
+            num = self.sum[at]
+        elif len(at):
+            rows, held = self._open(at)
+            num = np.add.reduceat(np.where(held, b.weight[b.code[rows]], 0.0), np.cumsum(b.size[at]) - b.size[at])
+        else:
+            num = np.zeros(0)
+        root = b.root[at]
+        return rounded(np.where(root > 0, num / np.where(root > 0, root, 1.0), 0.0))
+
+    def touched(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every basket with something satisfied, and the scores."""
+        b = self.block
+        if self.have is not None:
+            at = np.flatnonzero(self.have)
+            return at, self.scores(at)
+        posts = [b.posted[b.cut[c] : b.cut[c + 1]] for c in self.held]
+        if not posts:
+            return np.zeros(0, np.int64), np.zeros(0)
+        num = np.bincount(np.concatenate(posts), weights=np.repeat(b.weight[self.held], [len(x) for x in posts]), minlength=b.n)
+        any_ = self.bits[0].copy()
+        for bits in self.bits[1:]:
+            any_ |= bits
+        at = np.flatnonzero(np.unpackbits(any_.view(np.uint8), bitorder="little"))
+        root = b.root[at]
+        return at, rounded(np.where(root > 0, num[at] / np.where(root > 0, root, 1.0), 0.0))
+
+    def open_items(self, at: np.ndarray) -> np.ndarray:
+        """Codes of the options of unsatisfied lines of these baskets, once for each line."""
+        b = self.block
+        if self.have is None:
+            rows, held = self._open(at)
+            codes = b.code[rows[~held]]
+        else:
+            rows = spans(b.start[at], b.size[at])
+            codes = b.code[rows[~np.isin(b.line[rows], self.lines)]]
+        return codes[codes >= 0]
 
 
 def first(k: int, *keys: np.ndarray) -> np.ndarray:
@@ -97,38 +286,65 @@ def first(k: int, *keys: np.ndarray) -> np.ndarray:
     return near[np.lexsort([key[near] for key in reversed(keys)])][: max(k, 0)]
 
 
-def search(queries: DataFrame, rows: DataFrame, pick: Callable[[Block, Hits, tuple], list[tuple]], schema: str) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, pick: Callable[[Block, Hits, tuple], tuple], schema: str, given: int = 30) -> DataFrame:
     """What ``pick`` gives for each query and block, as rows of ``schema`` with ``qid`` before them.
 
     ``queries`` holds qid, ids (an array) and further columns, given to ``pick`` as a tuple; ``rows`` holds rid, line_no, id,
-    w, total, den, all rows of a basket. Queries without items and empty tables give no rows.
+    w, total, den, all rows of a basket. ``pick`` gives an array for each column of the schema, a rid as its place and an id
+    as its code, about ``given`` rows a query. Queries without items and empty tables give no rows.
     """
     spark = queries.sparkSession
+    line = F.collect_list(F.struct("line_no", "id", "w"))
+    packed = rows.groupBy("rid").agg(F.first("total").alias("total"), F.first("den").alias("den"), line.alias("l"))
+    part = lambda c: F.transform("l", lambda x: x[c])
+    packed = packed.select("rid", "total", "den", part("line_no").alias("line"), part("id").alias("id"), part("w").alias("w"), (F.size(F.array_distinct(part("line_no"))) == F.size("l")).alias("plain"))
     n_queries, n_baskets = queries.count(), rows.select("rid").distinct().count()
     basket_blocks = max(1, -(-n_baskets // BASKETS))
-    wanted = -(-2 * spark.sparkContext.defaultParallelism // basket_blocks)
-    query_blocks = max(1, -(-n_queries // QUERIES), min(wanted, -(-n_queries // LEAST_QUERIES)))
-    groups = basket_blocks * query_blocks
+    wanted = -(-spark.sparkContext.defaultParallelism // basket_blocks)
+    query_blocks = max(1, -(-n_queries // QUERIES), -(-n_queries * given // GIVEN), min(wanted, -(-n_queries // LEAST_QUERIES)))
+    groups = Groups(spark, basket_blocks * query_blocks)
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     right = queries.withColumn("_q", block("qid", query_blocks)).withColumn("_b", every(basket_blocks))
-    left = rows.select("rid", "line_no", "id", "w", "total", "den").withColumn("_b", block("rid", basket_blocks)).withColumn("_q", every(query_blocks))
-    group = (F.col("_q") * basket_blocks + F.col("_b")).alias("_g")
-    right = right.select(group, *queries.columns).repartition(groups, "_g")
-    left = left.select(group, "rid", "line_no", "id", "w", "total", "den").repartition(groups, "_g")
-    names = ["qid", *(part.split()[0] for part in schema.split(", "))]
-
-    def run(baskets: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(baskets) and len(asked):
+    left = packed.withColumn("_b", block("rid", basket_blocks)).withColumn("_q", every(query_blocks))
+    group = F.col("_q") * basket_blocks + F.col("_b")
+    right = right.select(groups.key(group), *queries.columns)
+    left = left.select(groups.key(group), *packed.columns)
+    names = [part.split()[0] for part in schema.split(", ")]
+    rest_columns = [c for c in queries.columns if c not in ("qid", "ids")]
+
+    def run(baskets: pa.Table, asked: pa.Table) -> pa.Table:
+        who: list[np.ndarray] = []
+        out: list[list[np.ndarray]] = [[] for _ in names]
+        made = None
+        if baskets.num_rows and asked.num_rows:
             made = Block(baskets)
-            more = [asked[c] for c in asked.columns if c not in ("_g", "qid", "ids")]
-            for qid, ids, *rest in zip(asked["qid"], asked["ids"], *more):
-                out.extend((qid, *row) for row in pick(made, made.hits(ids), tuple(rest)))
-        return pd.DataFrame(out, columns=names)
+            more = [asked.column(c).to_pylist() for c in rest_columns]
+            begin, codes = edges(asked, "ids"), pc.index_in(asked.column("ids").combine_chunks().flatten(), made.items)
+            codes = pc.fill_null(codes, -1).to_numpy(zero_copy_only=False)
+            for q in range(asked.num_rows):
+                held = codes[begin[q] : begin[q + 1]]
+                held = held[held >= 0].tolist()
+                if not held:
+                    continue
+                hits = Hits(made, held)
+                found = pick(made, hits, tuple(c[q] for c in more))
+                who.append(np.full(len(found[0]), q))
+                for kept, column in zip(out, found):
+                    kept.append(column)
+        columns = {"qid": asked.column("qid").combine_chunks().take(pa.array(np.concatenate(who) if who else np.zeros(0, np.int64)))}
+        for name, kept in zip(names, out):
+            values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+            if name == "rid":
+                columns[name] = pa.array(made.rids[values] if made else [], pa.string())
+            elif name == "id":
+                columns[name] = made.items.take(pa.array(values)) if made else pa.array([], pa.string())
+            else:
+                columns[name] = pa.array(values, pa.float64() if name == "score" else pa.int64())
+        return pa.table(columns)
 
     kind = queries.schema["qid"].dataType.simpleString()
-    return left.groupBy("_g").cogroup(right.groupBy("_g")).applyInPandas(run, f"qid {kind}, {schema}")
+    return groups.cogroup(left, right).applyInArrow(run, f"qid {kind}, {schema}")
 
 
 def as_queries(held: DataFrame) -> DataFrame:
@@ -139,45 +355,170 @@ def as_queries(held: DataFrame) -> DataFrame:
 _SCORED = "rid string, have long, total long, missing long, score double"
 
 
-def _rows(block: Block, hits: Hits, at: np.ndarray) -> list[tuple]:
-    columns = (hits.have[at], hits.total[at], hits.missing[at], hits.score[at])
-    return list(zip(block.rids[hits.at[at]], *(c.tolist() for c in columns)))
+def _scored(hits: Hits, at: np.ndarray, have: np.ndarray, score: np.ndarray | None = None) -> tuple:
+    total = hits.block.total[at]
+    return at, have, total, total - have, hits.scores(at) if score is None else score
+
 
+def _joined(parts: list[tuple], columns: int) -> tuple:
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * columns
 
-def within(held: DataFrame, need: DataFrame, missing: int) -> DataFrame:
-    """qid, rid, have, total, missing, score of every basket that lacks at most so many lines."""
 
-    def pick(block: Block, hits: Hits, _: tuple) -> list[tuple]:
-        return _rows(block, hits, np.flatnonzero(hits.missing <= missing))
+def within(held: DataFrame, need: DataFrame, missing: int, k: int | None = None) -> DataFrame:
+    """qid, rid, have, total, missing, score of every basket that lacks at most so many lines; with ``k``, a superset of the
+    first k by score, fewest lines and rid of each number of missing lines, those of each block."""
 
-    return search(as_queries(held), need, pick, _SCORED)
+    def pick(block: Block, hits: Hits, _: tuple) -> tuple:
+        parts = []
+        for m in range(missing + 1):
+            at = hits.lacking(m)
+            score = hits.scores(at)
+            if k is not None:
+                best_ = first(k, -score)
+                at, score = at[best_], score[best_]
+            parts.append(_scored(hits, at, block.total[at] - m, score))
+        return _joined(parts, 5)
+
+    return search(as_queries(held), need, pick, _SCORED, 2_000 if k is None else (missing + 1) * k)
+
+
+def counts_within(held: DataFrame, need: DataFrame, missing: int) -> DataFrame:
+    """qid, missing, n: how many baskets of each block lack so many lines, up to ``missing``; none where there are none."""
+
+    def pick(block: Block, hits: Hits, _: tuple) -> tuple:
+        n = np.array([hits.number_lacking(m) for m in range(missing + 1)])
+        some = np.flatnonzero(n)
+        return some, n[some]
+
+    return search(as_queries(held), need, pick, "missing long, n long")
+
+
+def open_counts(held: DataFrame, need: DataFrame, missing: int) -> DataFrame:
+    """qid, id, n: the options of unsatisfied lines of the baskets that lack exactly so many lines, counted by block."""
+
+    def pick(block: Block, hits: Hits, _: tuple) -> tuple:
+        n = np.bincount(hits.open_items(hits.lacking(missing)), minlength=len(block.items))
+        some = np.flatnonzero(n)
+        return some, n[some]
+
+    return search(as_queries(held), need, pick, "id string, n long", 200)
 
 
 def best(held: DataFrame, need: DataFrame, arm: str, k: int) -> DataFrame:
     """qid, rid, have, total, missing, score: a superset of the first k of an arm, the first k of each block."""
-    keys = {
-        "overlap": lambda h: (-h.have, h.total),
-        "idf_flat": lambda h: (-h.score, h.total),
-        "shipped": lambda h: (h.missing, -h.score, h.total),
-    }[arm]
 
-    def pick(block: Block, hits: Hits, _: tuple) -> list[tuple]:
-        return _rows(block, hits, first(k, *keys(hits)))
-
-    return search(as_queries(held), need, pick, _SCORED)
+    def overlap(block: Block, hits: Hits, _: tuple) -> tuple:
+        parts, left = [], k
+        for have in range(hits.most, 0, -1):
+            if left <= 0:
+                break
+            at = hits.places(have, limit=left)
+            if len(at):
+                parts.append((at, np.full(len(at), have)))
+                left -= len(at)
+        return _scored(hits, *_joined(parts, 2))
+
+    def idf_flat(block: Block, hits: Hits, _: tuple) -> tuple:
+        at, score = hits.touched()
+        best_ = first(k, -score)
+        at = at[best_]
+        rows, held_ = hits._open(at)
+        have = np.add.reduceat(held_.astype(np.int64), np.cumsum(block.size[at]) - block.size[at]) if hits.have is None and len(at) else (np.zeros(0, np.int64) if hits.have is None else hits.have[at])
+        return _scored(hits, at, have, score[best_])
+
+    def shipped(block: Block, hits: Hits, _: tuple) -> tuple:
+        parts, left = [], k
+        for m in range(int(block.sizes[-1])):
+            if left <= 0:
+                break
+            at = hits.lacking(m)
+            if len(at):
+                score = hits.scores(at)
+                best_ = first(left, -score)
+                at, score, left = at[best_], score[best_], left - len(best_)
+                parts.append(_scored(hits, at, block.total[at] - m, score))
+        return _joined(parts, 5)
+
+    return search(as_queries(held), need, {"overlap": overlap, "idf_flat": idf_flat, "shipped": shipped}[arm], _SCORED, k)
+
+
+def _item_rows(items: DataFrame) -> DataFrame:
+    return items.select("rid", F.xxhash64("id").alias("line_no"), "id", F.lit(0.0).alias("w"), F.col("n").alias("total"), F.lit(0.0).alias("den"))
 
 
 def pools(queries: DataFrame, items: DataFrame, cap: int) -> DataFrame:
     """qid, rid, matched, n: a superset of the first ``cap`` baskets by coverage and fewest missing, those of each block.
 
     ``items`` holds rid, id (distinct) and n, the number of items of the basket."""
-    rows = items.select("rid", F.xxhash64("id").alias("line_no"), "id", F.lit(0.0).alias("w"), F.col("n").alias("total"), F.lit(0.0).alias("den"))
+    def pick(block: Block, hits: Hits, _: tuple) -> tuple:
+        at = hits.lacking(0)  # those of all sizes are equal but for the rid
+        at = at[first(cap, block.rank[at])]
+        parts, left = [(at, block.total[at], block.total[at])], cap - len(at)
+        for s, t, have in block.covering(hits.most):
+            if left <= 0:
+                break
+            at = hits.places(have, s, left)
+            if len(at):
+                parts.append((at, np.full(len(at), have), np.full(len(at), t)))
+                left -= len(at)
+        return _joined(parts, 3)
+
+    return search(as_queries(queries), _item_rows(items), pick, "rid string, matched long, n long", cap)
 
-    def pick(block: Block, hits: Hits, _: tuple) -> list[tuple]:
-        at = first(cap, -(hits.have / hits.total), hits.missing)
-        return list(zip(block.rids[hits.at[at]], hits.have[at].tolist(), hits.total[at].tolist()))
 
-    return search(as_queries(queries), rows, pick, "rid string, matched long, n long")
+def pool_ranks(queries: DataFrame, items: DataFrame, own: DataFrame) -> DataFrame:
+    """qid, rank: the place of the gold basket of each query in an unbounded pool; each block counts the baskets before it.
+
+    ``items`` as for ``pools``; ``own`` holds qid, g_rid, g_matched (at least one) and g_n, one basket a query."""
+
+    def pick(block: Block, hits: Hits, asked: tuple) -> tuple:
+        rid, matched, n = asked
+        if matched == n:
+            return (np.array([sum(hits.number(int(t), s, block.before(int(t), rid)) for s, t in enumerate(block.sizes) if t <= hits.most)]),)
+        before = hits.number_lacking(0)
+        for s, t, have in block.covering(hits.most):
+            if (-(have / t), t - have) >= (-(matched / n), n - matched):
+                break
+            before += hits.number(have, s)
+        s = int(np.searchsorted(block.sizes, n))
+        if s < len(block.sizes) and block.sizes[s] == n:
+            before += hits.number(matched, s, block.before(n, rid))
+        return (np.array([before]),)
+
+    asked = as_queries(queries).join(own.select("qid", "g_rid", "g_matched", "g_n"), "qid")
+    return search(asked, _item_rows(items), pick, "before long").groupBy("qid").agg((F.sum("before") + 1).alias("rank"))
+
+
+def makeable(held: DataFrame, need: DataFrame) -> DataFrame:
+    """qid, complete, touched: baskets that lack nothing, and all that share something with the query, counted by block."""
+
+    def pick(block: Block, hits: Hits, _: tuple) -> tuple:
+        return np.array([hits.number_lacking(0)]), np.array([sum(hits.number(h) for h in range(1, hits.most + 1))])
+
+    return search(as_queries(held), need, pick, "complete long, touched long").groupBy("qid").agg(F.sum("complete").alias("complete"), F.sum("touched").alias("touched"))
+
+
+def _own(held: DataFrame, need: DataFrame, gold: DataFrame) -> DataFrame:
+    """qid, g_rid, g_have, g_total, g_score of the gold basket of each query that shares something with it."""
+    own = gold.join(need, "rid").join(held, ["qid", "id"]).select("qid", "rid", "line_no", "w", "total", "den").distinct()
+    own = own.groupBy("qid", "rid", "line_no").agg(F.max("w").alias("w"), F.max("total").alias("total"), F.max("den").alias("den"))
+    own = own.groupBy("qid", "rid").agg(F.count(F.lit(1)).alias("g_have"), F.sum("w").alias("num"), F.max("total").alias("g_total"), F.max("den").alias("den"))
+    score = F.when(F.col("den") > 0, F.col("num") / F.sqrt("den")).otherwise(0.0)
+    return own.select("qid", F.col("rid").alias("g_rid"), "g_have", "g_total", F.round(score, 6).alias("g_score"))
+
+
+def shown_before(held: DataFrame, need: DataFrame, gold: DataFrame, missing: int) -> DataFrame:
+    """qid, before: for gold baskets that lack at most so many lines, the baskets before them among those that lack as many, by
+    score, fewest lines and rid, counted by block."""
+    own = _own(held, need, gold).where(F.col("g_total") - F.col("g_have") <= missing)
+
+    def pick(block: Block, hits: Hits, asked: tuple) -> tuple:
+        rid, have, total, score = asked
+        at = hits.lacking(total - have)
+        value = hits.scores(at)
+        return (np.array([int(((value > score) | ((value == score) & (at < block.before(total, rid)))).sum())]),)
+
+    return search(as_queries(held).join(own, "qid"), need, pick, "before long").groupBy("qid").agg(F.sum("before").alias("before"))
 
 
 def gold_ranks(held: DataFrame, need: DataFrame, gold: DataFrame) -> DataFrame:
@@ -186,19 +527,16 @@ def gold_ranks(held: DataFrame, need: DataFrame, gold: DataFrame) -> DataFrame:
 
     The gold is scored first, by a join on query and basket; then each block counts the baskets before it.
     """
-    own = gold.join(need, "rid").join(held, ["qid", "id"]).select("qid", "rid", "line_no", "w", "total", "den").distinct()
-    own = own.groupBy("qid", "rid", "line_no").agg(F.max("w").alias("w"), F.max("total").alias("total"), F.max("den").alias("den"))
-    own = own.groupBy("qid", "rid").agg(F.count(F.lit(1)).alias("g_have"), F.sum("w").alias("num"), F.max("total").alias("g_total"), F.max("den").alias("den"))
-    score = F.when(F.col("den") > 0, F.col("num") / F.sqrt("den")).otherwise(0.0)
-    own = own.select("qid", F.col("rid").alias("g_rid"), "g_have", "g_total", F.round(score, 6).alias("g_score"))
 
-    def pick(block: Block, hits: Hits, asked: tuple) -> list[tuple]:
+    def pick(block: Block, hits: Hits, asked: tuple) -> tuple:
         rid, have, total, score = asked
-        tie = (hits.total < total) | ((hits.total == total) & (hits.at < np.searchsorted(block.rids, rid)))
-        before = [int(((value > own_value) | ((value == own_value) & tie)).sum()) for value, own_value in ((hits.have, have), (hits.score, score))]
-        return [tuple(before)]
+        place = block.before(total, rid)
+        more = sum(hits.number(h) for h in range(have + 1, hits.most + 1)) + hits.number(have, end=place)
+        at, value = hits.touched()
+        higher = int(((value > score) | ((value == score) & (at < place))).sum())
+        return np.array([more]), np.array([higher])
 
-    counted = search(as_queries(held).join(own, "qid"), need, pick, "overlap long, idf_flat long").groupBy("qid").agg(
+    counted = search(as_queries(held).join(_own(held, need, gold), "qid"), need, pick, "overlap long, idf_flat long").groupBy("qid").agg(
         (F.sum("overlap") + 1).alias("rank_overlap"), (F.sum("idf_flat") + 1).alias("rank_idf_flat")
     )
     return gold.select("qid").join(counted, "qid", "left")

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicker.operators.blocks import Groups, first
+from wicker.operators.blocks import Groups, edges, first, numbers, spans
 from wicker.session import ensure_checkpoint_dir, written
 
 
@@ -86,28 +86,27 @@ def graph_neighbors(unit: DataFrame, pairs: DataFrame, k: int, beta: float = 100
 
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("id")
-        ids, held = _flat(rows, "id"), rows.column("name").combine_chunks()
+        ids, held = numbers(rows, "id"), rows.column("name").combine_chunks()
         sizes = pc.list_value_length(rows.column("at").combine_chunks()).to_numpy()
-        columns, at = np.unique(_flat(rows, "at"), return_inverse=True)
+        columns, at = np.unique(numbers(rows, "at"), return_inverse=True)
         order = np.argsort(at, kind="stable")
-        edges = np.searchsorted(at[order], np.arange(len(columns) + 1))
-        row, value = np.repeat(np.arange(len(ids)), sizes)[order], _flat(rows, "v")[order]
+        cuts = np.searchsorted(at[order], np.arange(len(columns) + 1))
+        row, value = np.repeat(np.arange(len(ids)), sizes)[order], numbers(rows, "v")[order]
         out: tuple[list, ...] = [], [], []
         if len(ids) and asked.num_rows:
-            cut = {c: _edges(asked, c) for c in ("at", "near")}
-            flat = {c: _flat(asked, c) for c in ("at", "v", "near", "c")}
+            cut = {c: edges(asked, c) for c in ("at", "near")}
+            flat = {c: numbers(asked, c) for c in ("at", "v", "near", "c")}
             place, known = _found(columns, flat["at"])
             beside, real = _found(ids, flat["near"])
-            me, here = _found(ids, _flat(asked, "id"))
+            me, here = _found(ids, numbers(asked, "id"))
             for a in range(asked.num_rows):
                 x, y = cut["at"][a], cut["at"][a + 1]
                 kept = known[x:y]
-                spans, weights = place[x:y][kept], flat["v"][x:y][kept]
-                if not len(spans):
+                mine, weights = place[x:y][kept], flat["v"][x:y][kept]
+                if not len(mine):
                     continue
-                lengths = edges[spans + 1] - edges[spans]
-                # the places of all entries of these columns
-                took = np.repeat(edges[spans] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                lengths = cuts[mine + 1] - cuts[mine]
+                took = spans(cuts[mine], lengths)  # all entries of these columns
                 shared = np.bincount(row[took], minlength=len(ids))
                 dot = np.bincount(row[took], value[took] * np.repeat(weights, lengths), minlength=len(ids))
                 if here[a]:
@@ -130,16 +129,6 @@ def graph_neighbors(unit: DataFrame, pairs: DataFrame, k: int, beta: float = 100
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("a", "rank", "b", "score")
 
 
-def _flat(table: pa.Table, c: str) -> np.ndarray:
-    """The numbers of a column, those of lists one after the other."""
-    column = table.column(c).combine_chunks()
-    return (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
-
-
-def _edges(table: pa.Table, c: str) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(pc.list_value_length(table.column(c).combine_chunks()).to_numpy())])
-
-
 def _found(sorted_: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of each number asked for, and whether it is there."""
     at = np.minimum(np.searchsorted(sorted_, asked), max(len(sorted_) - 1, 0))
