@@ -229,3 +229,11 @@ def test_makeable_is_counted(spark, write, small_blocks):
     per = [(sum(x[0] == 0 for x in b.values()), len(b)) for b in found(recipes, queries).values()]
     share = sum(min(c, 10) / min(t, 10) for c, t in per if t) / len(per)
     assert got == {(len(queries), round(share, 6), round(sum(c > 0 for c, _ in per) / len(per), 6))} and counted_by_bits(df)
+
+
+def test_random_arm_draws_inside_blocks(spark, write, small_blocks):
+    d, recipes, queries = tables(write, 5)
+    df, got = run(spark, d, "arm_random_hash")
+    draw = lambda q, r: hashlib.sha256(f"42:{q}#0:{r}".encode()).hexdigest()
+    assert got == {(f"{q}#0", k + 1, r) for q, b in found(recipes, queries).items() for k, r in enumerate(sorted(b, key=lambda r: draw(q, r))[:10])}  # noqa: B023
+    assert counted_by_bits(df)
