@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from wicker.operators import substitution
 from wicker.plans import catalog
 
@@ -237,3 +238,20 @@ def test_random_arm_draws_inside_blocks(spark, write, small_blocks):
     draw = lambda q, r: hashlib.sha256(f"42:{q}#0:{r}".encode()).hexdigest()
     assert got == {(f"{q}#0", k + 1, r) for q, b in found(recipes, queries).items() for k, r in enumerate(sorted(b, key=lambda r: draw(q, r))[:10])}  # noqa: B023
     assert counted_by_bits(df)
+
+
+def test_sessions_are_written_not_gathered(spark, write):
+    rows_ = [(k, f"2024-01-0{1 + k % 3} 0{k % 7}:{10 * (k % 6):02}:00", k % 5, "click", 1.0) for k in range(60)]
+    df = spark.createDataFrame(rows_, "event_id long, t string, user_id long, event_type string, value double")
+    d = write("events", [tuple(r) for r in df.select("event_id", F.to_timestamp("t").alias("ts"), "user_id", "event_type", "value").collect()], "event_id long, ts timestamp, user_id long, event_type string, value double")
+    out, got = run(spark, d, "stream_sessions")
+    expected = {}
+    for user in range(5):
+        times = sorted(r[1] for r in rows_ if r[2] == user)
+        minutes = [int(t[8:10]) * 1440 + int(t[11:13]) * 60 + int(t[14:16]) for t in times]
+        lengths = [1]
+        for a, b in itertools.pairwise(minutes):
+            lengths = [*lengths, 1] if b - a >= 30 else [*lengths[:-1], lengths[-1] + 1]
+        expected[user] = (len(lengths), len(times), max(lengths))
+    assert got == {(u, *x) for u, x in expected.items()}
+    assert "MemoryPlan" not in plan(out) and "parquet" in plan(out)

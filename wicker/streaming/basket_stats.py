@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wicker.functions.items import clean_items
+from wicker.session import ensure_checkpoint_dir
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -18,9 +20,11 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """user_id, start, end, n of sessions that end after a gap without events."""
-    grouped = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("s"))
-    return grouped.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+    """user_id, start, end, n of sessions that end after a gap without events; an event exactly a gap later begins another.
+
+    Spark joins sessions that only touch, so the gap is a microsecond shorter there."""
+    grouped = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", f"{gap} -1 microseconds").alias("s"))
+    return grouped.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").alias("start"), (F.col("s.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("end"), "n")
 
 
 def document_frequencies(records: DataFrame) -> DataFrame:
@@ -49,8 +53,20 @@ def current(spark: SparkSession, table: str) -> DataFrame:
     return every.where(F.col("version") == last).drop("version")
 
 
-def run_to_end(spark: SparkSession, source: Callable[[SparkSession], DataFrame], name: str, mode: str = "complete") -> DataFrame:
-    """Process all that is there into a table of the session, for tests and reports of bounded size."""
-    query = source(spark).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def run_to_end(spark: SparkSession, source: Callable[[SparkSession], DataFrame], name: str) -> DataFrame:
+    """Process all that is there into a table in the shared checkpoint folder; no row goes to the driver.
+
+    Each batch writes a whole new version beside the last, as complete output is; the last one is returned."""
+    stream = source(spark)
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    last = [None]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        last[0] = number
+
+    started = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}-progress")
+    started.trigger(availableNow=True).start().awaitTermination()
+    if last[0] is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/version={last[0]}")
