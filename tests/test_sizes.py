@@ -255,3 +255,18 @@ def test_sessions_are_written_not_gathered(spark, write):
         expected[user] = (len(lengths), len(times), max(lengths))
     assert got == {(u, *x) for u, x in expected.items()}
     assert "MemoryPlan" not in plan(out) and "parquet" in plan(out)
+
+
+def test_blocked_queries_are_told_by_counts(spark, monkeypatch, small_blocks):
+    from wicker.operators import blocks
+
+    rnd = random.Random(3)
+    lines = {f"r{k}": rnd.sample("abcdefghij", rnd.randint(2, 7)) for k in range(90)}
+    held = {f"q{k}": rnd.sample("abcdefghij", rnd.randint(1, 3)) for k in range(40)}
+    need = [(r, k, i, 1.0, len(ls), float(len(ls))) for r, ls in lines.items() for k, i in enumerate(ls)]
+    n = spark.createDataFrame(need, "rid string, line_no int, id string, w double, total long, den double")
+    h = spark.createDataFrame([(q, i) for q, ids in held.items() for i in ids], "qid string, id string")
+    got = Counter()
+    for r in blocks.counts_within(h, n, 2).collect():
+        got[r["qid"], r["missing"]] += r["n"]
+    assert got == Counter((q, len(set(ls) - set(ids))) for q, ids in held.items() for ls in lines.values() if set(ls) & set(ids) and len(set(ls) - set(ids)) <= 2)
