@@ -270,3 +270,55 @@ def test_blocked_queries_are_told_by_counts(spark, monkeypatch, small_blocks):
     for r in blocks.counts_within(h, n, 2).collect():
         got[r["qid"], r["missing"]] += r["n"]
     assert got == Counter((q, len(set(ls) - set(ids))) for q, ids in held.items() for ls in lines.values() if set(ls) & set(ids) and len(set(ls) - set(ids)) <= 2)
+
+
+def ranked_pools(recipes, queries, subs, cap):
+    """(query, basket) -> shared items, items, best fill, sum of fills and place in the pool."""
+    out = {}
+    for q, b in covered(recipes, queries).items():
+        for place, (r, n) in enumerate(b[:cap]):
+            lacking = {i for i in recipes[r] if i != "unknown"} - set(queries[q])
+            fill = [max([0.0, *(s for (a, with_), s in subs.items() if a == i and with_ in queries[q])]) for i in lacking]
+            out[q, r] = n, n + len(lacking), max(fill, default=0.0), sum(fill), place
+    return out
+
+
+@pytest.mark.parametrize("baskets", [40, 1000])
+def test_features_are_made_in_blocks(spark, write, monkeypatch, baskets):
+    from wicker.operators import blocks
+    from wicker.plans import evaluation_queries
+
+    monkeypatch.setattr(blocks, "BASKETS", baskets)
+    monkeypatch.setattr(blocks, "LEAST_QUERIES", 8)
+    monkeypatch.setattr(evaluation_queries, "POOL", 23)
+    d, recipes, queries = tables(write, 6)
+    rnd = random.Random(6)
+    subs = {(f"i{a}", f"i{b}"): round(rnd.uniform(-0.3, 0.9), 6) for a in range(16) for b in rnd.sample(range(16), 4) if a != b}
+    monkeypatch.setattr(evaluation_queries, "substitute_ids", lambda s, _: s.createDataFrame([(*k, v) for k, v in subs.items()], "a string, b string, score double"))
+    df, got = run(spark, d, "candidate_features")
+    expected = ranked_pools(recipes, queries, subs, 23)
+    got = {(r[0], r[1]): r[2:] for r in got}
+    assert got.keys() == {(f"{q}#0", r) for q, r in expected}
+    for (q, r), (n, size, most, total, _) in expected.items():
+        assert got[f"{q}#0", r] == pytest.approx((n / size, n / len(queries[q]), most, n, size - n, size, total * 1e6), abs=1.1e-6)
+    assert counted_by_bits(df) and "Join" not in plan(df).split("FlatMapCoGroupsInArrow")[0]
+
+
+@pytest.mark.parametrize("kind", ["linear", "pairwise", "boosted"])
+def test_rankers_over_pools_in_blocks(spark, write, small_blocks, monkeypatch, kind):
+    from wicker.operators import evaluation
+    from wicker.plans import evaluation_queries
+
+    monkeypatch.setattr(evaluation_queries, "POOL", 40)
+    d, recipes, queries = tables(write, 8)
+    seen = []
+    made = evaluation_queries._featured
+    monkeypatch.setattr(evaluation_queries, "_featured", lambda *x: seen.append(made(*x)) or seen[0])
+    _, got = run(spark, d, f"ranker_{kind}")
+    train = {r["qid"] for r in spark.createDataFrame([(f"{q}#0",) for q in queries], "qid string").where(evaluation.is_train(F.col("qid"))).collect()}
+    inside = {f"{q}#0" for q, r in ranked_pools(recipes, queries, {}, 40) if q == r}
+    rows_ = seen[0].collect()
+    assert {r["qid"] for r in rows_} == inside == {r["qid"] for r in rows_ if r["label"] == 1 and r["rid"] == r["qid"][:-2]}
+    assert len(rows_) == sum(f"{q}#0" in inside for q, _ in ranked_pools(recipes, queries, {}, 40))
+    (n, recall, mrr, model, share), = got
+    assert n == len(queries) - len(train) and model == kind and 0 <= mrr <= recall <= share == round(len(inside - train) / n, 6)

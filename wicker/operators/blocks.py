@@ -15,9 +15,11 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wicker.session import written
+
 #: Baskets and queries of a block at most, up to the evenness of the hash, and rows that a block of queries gives.
 BASKETS = 262_144
 QUERIES = 262_144
@@ -100,6 +102,8 @@ class Block:
         self.posted = owner[order]
         self.cut = np.searchsorted(self.code[order], np.arange(len(self.items) + 1))
         self.kept: dict[int, list[np.ndarray]] = {}
+        self.number = 0  # of the block
+        self.fills: dict[str, tuple[np.ndarray, np.ndarray]] | None = None
         self.item_rank = np.argsort(pc.sort_indices(self.items).to_numpy())
         self.whole = False  # whether it has all baskets
         self.orders: dict[int, list] = {}
@@ -298,20 +302,47 @@ def first(k: int, *keys: np.ndarray) -> np.ndarray:
     return near[np.lexsort([key[near] for key in reversed(keys)])][: max(k, 0)]
 
 
-def search(queries: DataFrame, rows: DataFrame, pick: Callable[[Block, Hits, tuple], tuple], schema: str, given: int = 30, given_in_parts: int = 0) -> DataFrame:
+def _packed(rows: DataFrame) -> DataFrame:
+    """One row a basket of ``rows`` (rid, line_no, id, w, total, den); without line_no, each row is a line of its own."""
+    lines = "line_no" in rows.columns
+    line = F.collect_list(F.struct(*(["line_no"] if lines else []), "id", "w"))
+    packed = rows.groupBy("rid").agg(F.first("total").alias("total"), F.first("den").alias("den"), line.alias("l"))
+    part = lambda c: F.transform("l", lambda x: x[c])
+    number = part("line_no") if lines else F.transform("l", lambda _, i: i)
+    plain = F.size(F.array_distinct(number)) == F.size("l") if lines else F.lit(True)
+    return packed.select("rid", "total", "den", number.alias("line"), part("id").alias("id"), part("w").alias("w"), plain.alias("plain"))
+
+
+class Packed:
+    """Baskets packed and written once, for several searches. Their blocks are ranges of rid, so that ties by rid go to the
+    first blocks."""
+
+    def __init__(self, rows: DataFrame):
+        self.table = written(_packed(rows))
+        self.n = self.table.count()
+        self.begin: list[str] = []
+        if (blocks := -(-self.n // BASKETS)) > 1:
+            placed = self.table.select("rid").repartitionByRange(blocks, "rid").withColumn("p", F.spark_partition_id())
+            self.begin = sorted(r["rid"] for r in placed.groupBy("p").agg(F.min("rid").alias("rid")).collect())[1:]
+        self.blocks = len(self.begin) + 1
+
+    def block(self) -> Column:
+        return sum(((F.col("rid") >= F.lit(x)).cast("int") for x in self.begin), F.lit(0))
+
+
+def search(queries: DataFrame, rows: DataFrame | Packed, pick: Callable[[Block, Hits, tuple], tuple], schema: str, given: int = 30, given_in_parts: int = 0) -> DataFrame:
     """What ``pick`` gives for each query and block, as rows of ``schema`` with ``qid`` before them.
 
     ``queries`` holds qid, ids (an array) and further columns, given to ``pick`` as a tuple; ``rows`` holds rid, line_no, id,
-    w, total, den, all rows of a basket. ``pick`` gives an array for each column of the schema, a rid as its place and an id
+    w, total, den, all rows of a basket (or has them packed). ``pick`` gives an array for each column of the schema, a rid as its place and an id
     as its code, about ``given`` rows a query. Queries without items and empty tables give no rows.
     """
     spark = queries.sparkSession
-    line = F.collect_list(F.struct("line_no", "id", "w"))
-    packed = rows.groupBy("rid").agg(F.first("total").alias("total"), F.first("den").alias("den"), line.alias("l"))
-    part = lambda c: F.transform("l", lambda x: x[c])
-    packed = packed.select("rid", "total", "den", part("line_no").alias("line"), part("id").alias("id"), part("w").alias("w"), (F.size(F.array_distinct(part("line_no"))) == F.size("l")).alias("plain"))
-    n_queries, n_baskets = queries.count(), rows.select("rid").distinct().count()
-    basket_blocks = max(1, -(-n_baskets // BASKETS))
+    n_queries = queries.count()
+    if isinstance(rows, Packed):
+        packed, basket_blocks = rows.table, rows.blocks
+    else:
+        packed, basket_blocks = _packed(rows), max(1, -(-rows.select("rid").distinct().count() // BASKETS))
     wanted = -(-spark.sparkContext.defaultParallelism // basket_blocks)
     given = max(given, given_in_parts) if basket_blocks > 1 else given
     query_blocks = max(1, -(-n_queries // QUERIES), -(-n_queries * given // GIVEN), min(wanted, -(-n_queries // LEAST_QUERIES)))
@@ -319,11 +350,11 @@ def search(queries: DataFrame, rows: DataFrame, pick: Callable[[Block, Hits, tup
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     right = queries.withColumn("_q", block("qid", query_blocks)).withColumn("_b", every(basket_blocks))
-    left = packed.withColumn("_b", block("rid", basket_blocks)).withColumn("_q", every(query_blocks))
+    left = packed.withColumn("_b", rows.block() if isinstance(rows, Packed) else block("rid", basket_blocks)).withColumn("_q", every(query_blocks))
     group = F.col("_q") * basket_blocks + F.col("_b")
     right = right.select(groups.key(group), *queries.columns)
-    left = left.select(groups.key(group), *packed.columns)
-    names = [part.split()[0] for part in schema.split(", ")]
+    left = left.select(groups.key(group), "_b", *packed.columns)
+    names, kinds = zip(*(part.split() for part in schema.split(", ")))
     rest_columns = [c for c in queries.columns if c not in ("qid", "ids")]
 
     def run(baskets: pa.Table, asked: pa.Table) -> pa.Table:
@@ -332,7 +363,8 @@ def search(queries: DataFrame, rows: DataFrame, pick: Callable[[Block, Hits, tup
         made = None
         if baskets.num_rows and asked.num_rows:
             made = Block(baskets)
-            made.whole = basket_blocks == 1
+            made.whole, made.number = basket_blocks == 1, int(baskets.column("_b")[0].as_py())
+            named = pa.array(made.rids, pa.string())
             more = [asked.column(c).to_pylist() for c in rest_columns]
             begin, codes = edges(asked, "ids"), pc.index_in(asked.column("ids").combine_chunks().flatten(), made.items)
             codes = pc.fill_null(codes, -1).to_numpy(zero_copy_only=False)
@@ -347,14 +379,14 @@ def search(queries: DataFrame, rows: DataFrame, pick: Callable[[Block, Hits, tup
                 for kept, column in zip(out, found):
                     kept.append(column)
         columns = {"qid": asked.column("qid").combine_chunks().take(pa.array(np.concatenate(who) if who else np.zeros(0, np.int64)))}
-        for name, kept in zip(names, out):
+        for name, type_, kept in zip(names, kinds, out):
             values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
             if name == "rid":
-                columns[name] = pa.array(made.rids[values] if made else [], pa.string())
+                columns[name] = named.take(pa.array(values)) if made else pa.array([], pa.string())
             elif name == "id":
                 columns[name] = made.items.take(pa.array(values)) if made else pa.array([], pa.string())
             else:
-                columns[name] = pa.array(values, pa.float64() if name == "score" else pa.int64())
+                columns[name] = pa.array(values, pa.float64() if type_ == "double" else pa.int64())
         return pa.table(columns)
 
     kind = queries.schema["qid"].dataType.simpleString()
@@ -468,30 +500,127 @@ def best(held: DataFrame, need: DataFrame, arm: str, k: int) -> DataFrame:
 
 
 def _item_rows(items: DataFrame) -> DataFrame:
-    return items.select("rid", F.xxhash64("id").alias("line_no"), "id", F.lit(0.0).alias("w"), F.col("n").alias("total"), F.lit(0.0).alias("den"))
+    return items.select("rid", "id", F.lit(0.0).alias("w"), F.col("n").alias("total"), F.lit(0.0).alias("den"))
+
+
+def packed_items(items: DataFrame) -> Packed:
+    """``items`` as for ``pools``, for several searches."""
+    return Packed(_item_rows(items))
+
+
+def _first_pooled(block: Block, hits: Hits, cap: int, cut: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, shared items and sizes of the first ``cap`` baskets of a pool; with ``cut``, of all baskets before the class of
+    so many shared items and so many items (0 and 0 for the complete ones), and so many of that class."""
+    at = hits.lacking(0)  # those of all sizes are equal but for the rid
+    here = cap
+    if cut is not None:
+        here = len(at) if cut[1] else cut[2]
+    at = at[first(here, block.rank[at])]
+    parts, left = [(at, block.total[at], block.total[at])], cap - len(at)
+    if cut is not None and not cut[1]:
+        return parts[0]
+    last = cut and (-(cut[0] / cut[1]), cut[1] - cut[0])
+    for s, t, have in block.covering(hits.most):
+        if left <= 0 or (last and (-(have / t), t - have) > last):
+            break
+        at = hits.places(have, s, cut[2] if last and (have, t) == cut[:2] else left)
+        if len(at):
+            parts.append((at, np.full(len(at), have), np.full(len(at), t)))
+            left -= len(at)
+    return _joined(parts, 3)
 
 
 def pools(queries: DataFrame, items: DataFrame, cap: int) -> DataFrame:
     """qid, rid, matched, n: a superset of the first ``cap`` baskets by coverage and fewest missing, those of each block.
 
     ``items`` holds rid, id (distinct) and n, the number of items of the basket."""
+
     def pick(block: Block, hits: Hits, _: tuple) -> tuple:
-        at = hits.lacking(0)  # those of all sizes are equal but for the rid
-        at = at[first(cap, block.rank[at])]
-        parts, left = [(at, block.total[at], block.total[at])], cap - len(at)
+        return _first_pooled(block, hits, cap)
+
+    return search(as_queries(queries), _item_rows(items), pick, "rid string, matched long, n long", cap)
+
+
+def _cuts(asked: DataFrame, baskets: Packed, cap: int) -> DataFrame:
+    """qid, n_pool and, for queries with more than ``cap`` baskets, the class that fills the pool: c_matched, c_total (0 for the
+    complete ones), c_left (how many of it), c_blocks and c_counts (where they are)."""
+
+    def pick(block: Block, hits: Hits, _: tuple) -> tuple:
+        rows, left = [(0, 0, hits.number_lacking(0))], cap
+        left -= rows[0][2]
         for s, t, have in block.covering(hits.most):
             if left <= 0:
                 break
-            at = hits.places(have, s, left)
-            if len(at):
-                parts.append((at, np.full(len(at), have), np.full(len(at), t)))
-                left -= len(at)
-        return _joined(parts, 3)
+            rows.append((have, t, hits.number(have, s)))
+            left -= rows[-1][2]
+        matched, total, n = np.array(rows, np.int64).T
+        some = np.flatnonzero(n)
+        return np.full(len(some), block.number), matched[some], total[some], n[some]
+
+    found = search(asked.select("qid", "ids"), baskets, pick, "block long, matched long, total long, n long", 20)
+    classes = found.repartition("qid").groupBy("qid", "matched", "total").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("block", "n"))).alias("l"))
+    coverage = F.when(F.col("total") == 0, 1.0).otherwise(F.col("matched") / F.col("total"))
+    order = Window.partitionBy("qid").orderBy(F.desc("coverage"), F.col("total") - F.col("matched"))
+    upto = classes.withColumn("coverage", coverage).withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.col("upto") - F.col("n")
+    cut = F.when((before < cap) & (F.col("upto") >= cap), F.struct("matched", "total", (cap - before).alias("left"), "l"))
+    per = upto.groupBy("qid").agg(F.least(F.max("upto"), F.lit(cap)).alias("n_pool"), F.max(cut).alias("c"))
+    part = lambda c: F.transform("c.l", lambda x: x[c])
+    return per.select("qid", "n_pool", F.col("c.matched").alias("c_matched"), F.col("c.total").alias("c_total"), F.col("c.left").alias("c_left"), part("block").alias("c_blocks"), part("n").alias("c_counts"))
+
+
+def _fills(block: Block, subs: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Each item with the codes of the block's items that it stands for, and the scores."""
+    if block.fills is None:
+        subs = subs.append_column("code", pc.index_in(subs.column("a").combine_chunks(), block.items))
+        subs = subs.filter(pc.is_valid(subs.column("code"))).sort_by("b")
+        names, code, score = subs.column("b").to_pylist(), numbers(subs, "code"), numbers(subs, "score")
+        cuts = [k for k in range(len(names)) if not k or names[k] != names[k - 1]]
+        block.fills = {names[x]: (code[x:y], score[x:y]) for x, y in zip(cuts, [*cuts[1:], len(names)])}
+    return block.fills
+
+
+def featured_pools(queries: DataFrame, baskets: Packed, cap: int, subs: DataFrame, gold: DataFrame | None = None) -> DataFrame:
+    """qid, rid, n_matched, n_items, n_held, sub_max, sub_sum, label, n_pool of exactly the first ``cap`` baskets of each query.
+
+    A missing item is filled by its best held substitute, floor 0: sub_max and sub_sum are over the missing items of a basket.
+    ``subs`` holds a, b, score (b stands for a) over the reference table, and goes to every task. The label is 1 for the
+    basket that ``gold`` (qid, rid) has. With several blocks a first search counts the classes of equal coverage, so that no
+    candidate beyond the pool is ever given, and none is shuffled.
+    """
+    asked = as_queries(queries).withColumn("own", F.col("ids"))
+    golds = queries.select("qid").distinct().withColumn("gold", F.lit(None).cast("string")) if gold is None else gold.groupBy("qid").agg(F.first("rid").alias("gold"))
+    asked = asked.join(golds, "qid", "left")
+    if baskets.blocks > 1:
+        asked = asked.join(_cuts(asked, baskets, cap), "qid", "left")
+    shared = asked.sparkSession.sparkContext.broadcast(subs.select("a", "b", "score").toArrow())
+    columns = asked.columns[2:]
+
+    def pick(block: Block, hits: Hits, more: tuple) -> tuple:
+        row, cut = dict(zip(columns, more)), None
+        if row.get("c_left") is not None:
+            earlier = sum(n for k, n in zip(row["c_blocks"], row["c_counts"]) if k < block.number)
+            cut = row["c_matched"], row["c_total"], max(row["c_left"] - earlier, 0)
+        at, matched, n = _first_pooled(block, hits, cap, cut)
+        fill, by = np.zeros(len(block.items) + 1), _fills(block, shared.value)
+        for item in row["own"]:
+            if item in by:
+                codes, scores = by[item]
+                fill[codes] = np.maximum(fill[codes], scores)  # an item stands for another once
+        if len(at):
+            rows, held = hits._open(at)
+            value, starts = np.where(held, 0.0, fill[block.code[rows]]), np.cumsum(block.size[at]) - block.size[at]
+            most, total = np.maximum.reduceat(value, starts), np.add.reduceat(value, starts)
+        else:
+            most = total = np.zeros(0)
+        label = block.rids[at] == row["gold"] if row["gold"] is not None else np.zeros(len(at))
+        return at, matched, n, np.full(len(at), len(row["own"])), most, total, np.asarray(label, np.int64), np.full(len(at), row.get("n_pool") or len(at))
 
-    return search(as_queries(queries), _item_rows(items), pick, "rid string, matched long, n long", cap)
+    schema = "rid string, n_matched long, n_items long, n_held long, sub_max double, sub_sum double, label long, n_pool long"
+    return search(asked, baskets, pick, schema, 2 * cap)
 
 
-def pool_ranks(queries: DataFrame, items: DataFrame, own: DataFrame) -> DataFrame:
+def pool_ranks(queries: DataFrame, items: DataFrame | Packed, own: DataFrame) -> DataFrame:
     """qid, rank: the place of the gold basket of each query in an unbounded pool; each block counts the baskets before it.
 
     ``items`` as for ``pools``; ``own`` holds qid, g_rid, g_matched (at least one) and g_n, one basket a query."""
@@ -511,7 +640,7 @@ def pool_ranks(queries: DataFrame, items: DataFrame, own: DataFrame) -> DataFram
         return (np.array([before]),)
 
     asked = as_queries(queries).join(own.select("qid", "g_rid", "g_matched", "g_n"), "qid")
-    return search(asked, _item_rows(items), pick, "before long").groupBy("qid").agg((F.sum("before") + 1).alias("rank"))
+    return search(asked, items if isinstance(items, Packed) else _item_rows(items), pick, "before long").groupBy("qid").agg((F.sum("before") + 1).alias("rank"))
 
 
 def makeable(held: DataFrame, need: DataFrame) -> DataFrame:

@@ -55,27 +55,14 @@ def svd_vectors(matrix: DataFrame, dims: int) -> DataFrame:
     return rows.select("item", F.transform("r", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("vector"))
 
 
-def candidate_features(queries: DataFrame, items: DataFrame, pool: DataFrame, subs: DataFrame | None) -> DataFrame:
-    """qid, rid and ``FEATURES`` of pooled candidates; a missing item is filled by its best held substitute, floor 0."""
-    sizes = items.groupBy("rid").agg(F.count(F.lit(1)).alias("n_items"))
-    held = queries.groupBy("qid").agg(F.count(F.lit(1)).alias("n_held"))
-    base = pool.select("qid", "rid", F.col("matched").alias("n_matched"), F.col("missing").alias("n_missing")).join(sizes, "rid").join(held, "qid")
-    base = base.withColumn("coverage", F.col("n_matched") / F.col("n_items")).withColumn("pantry_share", F.col("n_matched") / F.col("n_held"))
-    if subs is None:
-        return base.withColumn("sub_max", F.lit(0.0)).withColumn("sub_mean", F.lit(0.0)).select("qid", "rid", *FEATURES)
-    missing = pool.select("qid", "rid").join(items, "rid").join(queries, ["qid", "id"], "left_anti")
-    fills = missing.join(subs.select(F.col("a").alias("id"), F.col("b").alias("with"), "score"), "id").join(queries.withColumnRenamed("id", "with"), ["qid", "with"])
-    best = fills.groupBy("qid", "rid", "id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("s"))
-    filled = best.groupBy("qid", "rid").agg(F.max("s").alias("sub_max"), F.sum("s").alias("sub_sum"))
-    joined = base.join(filled, ["qid", "rid"], "left")
-    mean = F.coalesce(F.try_divide("sub_sum", "n_missing"), F.lit(0.0))
-    return joined.withColumn("sub_max", F.coalesce("sub_max", F.lit(0.0))).withColumn("sub_mean", mean).select("qid", "rid", *FEATURES)
-
-
-def labelled(features: DataFrame, gold: DataFrame) -> DataFrame:
-    """features with label (1 for the gold basket of the query); queries without their gold in the pool are dropped."""
-    marked = features.join(gold.select("qid", "rid", F.lit(1.0).alias("label")), ["qid", "rid"], "left").fillna(0.0, ["label"])
-    return marked.withColumn("any", F.max("label").over(Window.partitionBy("qid"))).where(F.col("any") > 0).drop("any")
+def candidate_features(pooled: DataFrame) -> DataFrame:
+    """``pooled`` (as of ``blocks.featured_pools``) with ``FEATURES``, its label and the weight that makes queries count the same."""
+    missing = F.col("n_items") - F.col("n_matched")
+    return pooled.select(
+        "qid", "rid", (F.col("n_matched") / F.col("n_items")).alias("coverage"), (F.col("n_matched") / F.col("n_held")).alias("pantry_share"), "n_matched",
+        missing.alias("n_missing"), "n_items", "sub_max", F.coalesce(F.try_divide("sub_sum", missing), F.lit(0.0)).alias("sub_mean"),
+        F.col("label").cast("double").alias("label"), (1.0 / F.col("n_pool")).alias("weight"),
+    )
 
 
 def linear_ranker(rows: DataFrame, columns: list[str] = FEATURES) -> Pipeline:
@@ -96,8 +83,9 @@ def pairwise_ranker(rows: DataFrame, columns: list[str] = FEATURES):
 
 def boosted_ranker(rows: DataFrame, columns: list[str] = FEATURES, trees: int = 20):
     """Gradient boosted trees on the labels, weighted so that each query counts the same."""
-    weight = 1.0 / F.count(F.lit(1)).over(Window.partitionBy("qid"))
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), GBTRegressor(maxIter=trees, maxDepth=4, weightCol="weight", seed=42)]).fit(rows.withColumn("weight", weight))
+    if "weight" not in rows.columns:
+        rows = rows.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("qid")))
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), GBTRegressor(maxIter=trees, maxDepth=4, weightCol="weight", seed=42)]).fit(rows)
 
 
 def rank_with(model, rows: DataFrame, k: int) -> DataFrame:
@@ -105,7 +93,7 @@ def rank_with(model, rows: DataFrame, k: int) -> DataFrame:
     out = model.transform(rows)
     score = vector_to_array("rawPrediction")[1] if "rawPrediction" in out.columns else F.col("prediction")
     order = Window.partitionBy("qid").orderBy(F.desc("s"), "rid")
-    return out.withColumn("s", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, 0)).select("qid", "rank", "rid")
+    return out.select("qid", "rid", score.alias("s")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, 0)).select("qid", "rank", "rid")
 
 
 def split_queries(queries: DataFrame, share: int = 80) -> tuple[DataFrame, DataFrame]:
