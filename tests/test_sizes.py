@@ -322,3 +322,28 @@ def test_rankers_over_pools_in_blocks(spark, write, small_blocks, monkeypatch, k
     assert len(rows_) == sum(f"{q}#0" in inside for q, _ in ranked_pools(recipes, queries, {}, 40))
     (n, recall, mrr, model, share), = got
     assert n == len(queries) - len(train) and model == kind and 0 <= mrr <= recall <= share == round(len(inside - train) / n, 6)
+
+
+def test_scores_are_bounded_by_bits(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from wicker.operators import blocks
+
+    rnd = random.Random(9)
+    w = {f"i{k}": rnd.uniform(0.1, 8) for k in range(40)}
+    baskets = [[rnd.choice([*w, None, None]) for _ in range(rnd.randint(1, 9))] for _ in range(700)]
+    weights = [[w.get(i, 0.0) for i in ls] for ls in baskets]
+    block = blocks.Block(pa.table({
+        "rid": [f"r{k}" for k in range(700)], "total": [len(ls) for ls in baskets], "den": [sum(x) for x in weights],
+        "line": pa.array([list(range(len(ls))) for ls in baskets], pa.list_(pa.int32())), "id": pa.array(baskets, pa.list_(pa.string())), "w": weights, "plain": [True] * 700,
+    }))
+    names, looked = block.items.to_pylist(), 0
+    for _ in range(60):
+        hits = blocks.Hits(block, [names.index(i) for i in rnd.sample(names, rnd.randint(1, 12))])
+        every = dict(zip(*map(list, hits.touched())))
+        for least in [0.0, *rnd.sample(sorted(every.values()), 3), max(every.values()), 99.0]:
+            at, value = hits.reaching(least)
+            got = dict(zip(at.tolist(), value.tolist()))
+            assert {p for p, x in every.items() if x >= least} <= got.keys() and all(abs(every[p] - x) < 1.1e-6 for p, x in got.items())
+            looked += len(got) / len(every)
+    assert np.isfinite(looked) and looked < 0.7 * 360

@@ -26,6 +26,8 @@ QUERIES = 262_144
 GIVEN = 2_000_000
 #: A query block is not cut smaller than this for the sake of parallel work.
 LEAST_QUERIES = 256
+#: Parts, a power of two, in which the weight that a score needs is counted.
+PARTS = 16
 
 
 class Groups:
@@ -64,6 +66,26 @@ def rounded(x: np.ndarray) -> np.ndarray:
     return np.floor(x * 1e6 + 0.5) / 1e6
 
 
+def added(levels: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The bits of the sums, place by place, of bit vectors of which those of ``levels[k]`` count 2 ** k."""
+    out, k, carry = [], 0, []
+    while carry or k < len(levels):
+        level, carry = carry + (levels[k] if k < len(levels) else []), []
+        while len(level) > 2:
+            x, y, z = level.pop(), level.pop(), level.pop()
+            half = x ^ y
+            carry.append((x & y) | (half & z))
+            level.append(half ^ z)
+        if len(level) == 2:
+            x, y = level
+            carry.append(x & y)
+            level = [x ^ y]
+        out.append(level[0] if level else None)
+        k += 1
+    some = next((x for x in out if x is not None), None)
+    return [] if some is None else [np.zeros_like(some) if x is None else x for x in out]
+
+
 class Block:
     """A block of baskets, in the order of their number of lines and rid. Those of each number begin at a multiple of 64.
 
@@ -98,6 +120,9 @@ class Block:
         self.weight = np.zeros(len(self.items) + 1)
         self.weight[self.code[known]] = weight[known]
         self.plain = bool(pc.all(table.column("plain")).as_py()) and bool((self.weight[self.code[known]] == weight[known]).all())
+        of_basket = np.bincount(owner, weights=np.where(known, weight, 0.0), minlength=self.n)
+        # then no score is above the root of what is satisfied
+        self.bounded = self.plain and bool((of_basket <= self.root**2 * (1 + 1e-9) + 1e-9).all())
         order = np.flatnonzero(known)[np.argsort(self.code[known], kind="stable")]
         self.posted = owner[order]
         self.cut = np.searchsorted(self.code[order], np.arange(len(self.items) + 1))
@@ -172,19 +197,7 @@ class Hits:
             return
         level = [bits for c in self.held for bits in block.layers(c)]
         self.most = len(level)
-        while level:
-            carry = []
-            while len(level) > 2:
-                x, y, z = level.pop(), level.pop(), level.pop()
-                half = x ^ y
-                carry.append((x & y) | (half & z))
-                level.append(half ^ z)
-            if len(level) == 2:
-                x, y = level
-                carry.append(x & y)
-                level = [x ^ y]
-            self.bits.append(level[0])
-            level = carry
+        self.bits = added([level])
         self.unset = [~b for b in self.bits]
 
     def _equal(self, have: int, a: int, b: int) -> np.ndarray:
@@ -280,6 +293,39 @@ class Hits:
         root = b.root[at]
         return at, rounded(np.where(root > 0, num[at] / np.where(root > 0, root, 1.0), 0.0))
 
+    def reaching(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Every basket with at least this score (others may be among them), and the scores.
+
+        A score is at most the root of the satisfied weight, so that weight is added up in bits, rounded up to parts of what is
+        needed, and only baskets that reach it are looked at one by one."""
+        b, needed = self.block, max(least - 1e-6, 0.0) ** 2
+        if not b.bounded or needed <= 1e-9:
+            return self.touched()
+        if b.weight[self.held].max() > needed * 64:
+            return self.touched()
+        levels: list[list[np.ndarray]] = [[] for _ in range((PARTS * 65).bit_length())]
+        for c in self.held:
+            parts = int(np.ceil(b.weight[c] / needed * PARTS * (1 + 1e-9)))
+            for bits in b.layers(c):
+                for k in range(parts.bit_length()):
+                    if parts >> k & 1:
+                        levels[k].append(bits)
+        sums = added(levels)
+        if len(sums) < PARTS.bit_length():
+            return np.zeros(0, np.int64), np.zeros(0)
+        reached = sums[PARTS.bit_length() - 1]  # a power of two
+        for bits in sums[PARTS.bit_length() :]:
+            reached = reached | bits
+        if int(np.bitwise_count(reached).sum()) * 20 > b.n:
+            return self.touched()
+        some = np.flatnonzero(reached)
+        at = (some[:, None] * 64 + np.arange(64)).reshape(-1)[np.unpackbits(reached[some].view(np.uint8), bitorder="little").view(bool)]
+        most = np.zeros(len(at), np.int64)
+        for k, bits in enumerate(sums):
+            most += (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64) << k
+        at = at[most * (needed / PARTS) * (1 + 1e-9) >= (least - 1e-6) * b.root[at]]
+        return at, self.scores(at)
+
     def open_items(self, at: np.ndarray) -> np.ndarray:
         """Codes of the options of unsatisfied lines of these baskets, once for each line."""
         b = self.block
@@ -686,7 +732,7 @@ def gold_ranks(held: DataFrame, need: DataFrame, gold: DataFrame) -> DataFrame:
         rid, have, total, score = asked
         place = block.before(total, rid)
         more = sum(hits.number(h) for h in range(have + 1, hits.most + 1)) + hits.number(have, end=place)
-        at, value = hits.touched()
+        at, value = hits.reaching(score)
         higher = int(((value > score) | ((value == score) & (at < place))).sum())
         return np.array([more]), np.array([higher])
 
