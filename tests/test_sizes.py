@@ -347,3 +347,43 @@ def test_scores_are_bounded_by_bits(monkeypatch):
             assert {p for p, x in every.items() if x >= least} <= got.keys() and all(abs(every[p] - x) < 1.1e-6 for p, x in got.items())
             looked += len(got) / len(every)
     assert np.isfinite(looked) and looked < 0.7 * 360
+
+
+def test_packs_are_written_once_and_travel_compressed(spark, write, small_blocks):
+    from wicker.operators import answer
+
+    d, recipes, queries = tables(write, 23)
+    pack = answer.build_pack(spark, d)
+    assert "parquet" in plan(pack.need) and not {"Exchange", "ExistingRDD", "Window"} & set(plan(pack.need).replace(" ", "\n").replace("(", "\n").split("\n"))
+    need = {r: [n for n in ls if n != "i0"] for r, ls in recipes.items()}
+    assert Counter((r["rid"], r["id"] or "unknown", r["total"]) for r in pack.need.collect()) == Counter((r, n, len(ls)) for r, ls in need.items() for n in ls)
+    for name in ("answer_group_counts", "candidate_pool"):
+        assert "MapInArrow" in plan(run(spark, d, name)[0]).replace("FlatMapCoGroupsInArrow", "")
+
+
+def test_lacking_baskets_are_told_from_all_at_once():
+    import pyarrow as pa
+    from wicker.operators import blocks
+
+    rnd = random.Random(24)
+    names = [f"i{k}" for k in range(30)]
+    baskets = [[rnd.choice([*names, None]) for _ in range(rnd.randint(1, 20))] for _ in range(500)]
+    whole = pa.table({
+        "rid": [f"r{k:03}" for k in range(500)], "total": [len(ls) for ls in baskets], "den": [1.0] * 500,
+        "line": pa.array([list(range(len(ls))) for ls in baskets], pa.list_(pa.int64())), "id": pa.array(baskets, pa.list_(pa.string())),
+        "w": [[1.0 if i else 0.0 for i in ls] for ls in baskets], "plain": [True] * 500,
+    })
+    sent = blocks._unbundled([blocks._bundle(whole[:200]), blocks._bundle(whole[200:])])
+    assert sent.to_pylist() == whole.to_pylist()
+    block = blocks.Block(sent)
+    code = {i: k for k, i in enumerate(block.items.to_pylist())}
+    for _ in range(40):
+        held = rnd.sample(names, rnd.randint(1, 28))
+        hits = blocks.Hits(block, [code[i] for i in held])
+        have = [sum(i in held for i in ls) for ls in baskets]
+        assert hits.highest() == max(have)
+        for m in range(5):
+            expected = {f"r{k:03}" for k, ls in enumerate(baskets) if have[k] and len(ls) - have[k] == m}
+            at = hits.lacking(m)
+            assert set(block.rids[at]) == expected and hits.number_lacking(m) == len(expected) == len(at) and (at[1:] > at[:-1]).all()
+            assert [round(x * len(p), 6) for x, p in zip(hits.scores(at), at[:, None])] == [have[int(block.rids[p][1:])] for p in at]

@@ -24,30 +24,32 @@ class Pack:
     need: DataFrame  # rid, line_no, id (null for an unread line), w, total, den
     idf: DataFrame  # id, df, idf; at most as many rows as the reference table
     staples: list[str]
+    packed: blocks.Packed | None = None  # the same lines by basket
+
+    @property
+    def baskets(self) -> DataFrame | blocks.Packed:
+        return self.packed or self.need
 
 
 def build_pack(spark: SparkSession, sf_dir: str) -> Pack:
-    """Lines are gathered by basket once (a basket is one record) and written; all else is counted inside the rows."""
+    """Lines are gathered by basket once (a basket is one record) and written; all else is counted inside the rows, and no
+    row is moved again."""
     ensure_checkpoint_dir(spark)
     known = basket.dimension(spark, sf_dir).select("id", "staple").limit(MAX_ITEMS + 1).collect()
     if len(known) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items in the reference table")
     staples = sorted(r["id"] for r in known if r["staple"])
-    rows = basket.basket_lines(spark, sf_dir).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("line_no", "options", "optional"))).alias("lines"))
+    rows = basket.line_sets(spark, sf_dir)
     st = F.array(*map(F.lit, staples)).cast("array<string>")
     needed = F.filter("lines", lambda x: ~x["optional"] & ~F.arrays_overlap(x["options"], st))
-    kept = rows.withColumn("need", needed).where(F.size("need") > 0).checkpoint()
-    ids = kept.select(F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["options"])))).alias("id"))
-    idf = basket.inverse_frequency(ids.groupBy("id").agg(F.count(F.lit(1)).alias("df")), kept.count()).checkpoint()
-    flat = kept.select("rid", F.size("need").cast("long").alias("total"), F.inline("need")).drop("optional")
-    options = flat.select("rid", "total", "line_no", F.explode_outer("options").alias("id"))
-    # all windows share the partitioning by basket
-    weighed = options.join(F.broadcast(idf.select("id", "idf")), "id", "left").repartition("rid")
-    line, basket_ = Window.partitionBy("rid", "line_no"), Window.partitionBy("rid")
-    best = weighed.withColumn("w", F.coalesce(F.max("idf").over(line), F.lit(0.0)))
-    share = best.withColumn("share", F.col("w") / F.count(F.lit(1)).over(line))
-    need = share.withColumn("den", F.sum("share").over(basket_)).select("rid", "line_no", "id", "w", "total", "den").checkpoint()
-    return Pack(need, idf, staples)
+    none = F.array(F.lit(None).cast("string"))
+    option = lambda x: F.transform(F.when(F.size(x["options"]) > 0, x["options"]).otherwise(none), lambda o: F.struct(x["line_no"].cast("long").alias("line"), o.alias("id")))
+    wanted = rows.withColumn("need", needed).where(F.size("need") > 0).withColumn("o", F.flatten(F.transform("need", option)))
+    every = F.array_distinct(F.flatten(F.transform("lines", lambda x: x["options"])))
+    kept = written(wanted.select("rid", F.size("need").cast("long").alias("total"), F.col("o.line").alias("line"), F.col("o.id").alias("id"), every.alias("ids")))
+    idf = basket.inverse_frequency(kept.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("df")), kept.count()).checkpoint()
+    baskets = blocks.Packed(blocks.weighed(kept.drop("ids"), idf.select("id", "idf").toArrow()))
+    return Pack(baskets.rows(), idf, staples, baskets)
 
 
 def held_items(queries: DataFrame, pack: Pack) -> DataFrame:
@@ -75,7 +77,7 @@ def scored(held: DataFrame, pack: Pack) -> DataFrame:
 
 def near(held: DataFrame, pack: Pack) -> DataFrame:
     """The rows of ``scored`` with at most two missing lines, found block by block, so that no other row is ever shuffled."""
-    return blocks.within(held, pack.need, MAX_MISSING)
+    return blocks.within(held, pack.baskets, MAX_MISSING)
 
 
 def items(spark: SparkSession, sf_dir: str, limit: int = 10, diet: str | None = None) -> DataFrame:
@@ -85,7 +87,7 @@ def items(spark: SparkSession, sf_dir: str, limit: int = 10, diet: str | None =
     if diet is not None:
         raise NotImplementedError("answers by diet are not supported")
     pack = build_pack(spark, sf_dir)
-    close = blocks.within(held_items(basket.pantry_queries(spark, sf_dir), pack), pack.need, MAX_MISSING, max(limit, 0))
+    close = blocks.within(held_items(basket.pantry_queries(spark, sf_dir), pack), pack.baskets, MAX_MISSING, max(limit, 0))
     order = Window.partitionBy("qid", "missing").orderBy(F.desc("score"), "total", "rid")
     ranked = close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(limit, 0))
     return ranked.select("qid", "missing", "rank", "rid", "have", "total", "score")
@@ -95,7 +97,7 @@ def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, make_now, one_away, two_away for every query, zeros included."""
     pack = build_pack(spark, sf_dir)
     queries = basket.pantry_queries(spark, sf_dir)
-    found = blocks.counts_within(held_items(queries, pack), pack.need, MAX_MISSING)
+    found = blocks.counts_within(held_items(queries, pack), pack.baskets, MAX_MISSING)
     count = lambda k: F.coalesce(F.sum(F.when(F.col("missing") == k, F.col("n"))), F.lit(0))
     return queries.select("qid").distinct().join(found, "qid", "left").groupBy("qid").agg(
         count(0).alias("make_now"), count(1).alias("one_away"), count(2).alias("two_away")
@@ -106,7 +108,7 @@ def unlocks(spark: SparkSession, sf_dir: str, top: int = 10) -> DataFrame:
     """qid, rank, id, n: the items that complete the most baskets one line away."""
     pack = build_pack(spark, sf_dir)
     held = held_items(basket.pantry_queries(spark, sf_dir), pack)
-    counts = blocks.open_counts(held, pack.need, 1, top).groupBy("qid", "id").agg(F.sum("n").alias("n"))
+    counts = blocks.open_counts(held, pack.baskets, 1, top).groupBy("qid", "id").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("qid").orderBy(F.desc("n"), "id")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("qid", "rank", "id", "n")
 
@@ -120,7 +122,7 @@ def blockers(spark: SparkSession, sf_dir: str, queries: DataFrame, top: int = 5)
     """
     pack = build_pack(spark, sf_dir)
     asked = held_items(queries, pack)
-    reached = blocks.counts_within(asked, pack.need, MAX_MISSING).select("qid").distinct()
+    reached = blocks.counts_within(asked, pack.baskets, MAX_MISSING).select("qid").distinct()
     held = asked.join(reached, "qid", "left_anti").checkpoint()  # of the blocked queries only
     found = scored(held, pack)
     gain = pack.need.where("id is not null").groupBy("rid", "id").agg(F.countDistinct("line_no").alias("gain"), F.first("total").alias("total"))

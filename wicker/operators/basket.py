@@ -24,13 +24,33 @@ def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A line whose name is not in the reference table (a fixed dimension, broadcast) is unread and has no options.
     """
-    lines = read_table(spark, sf_dir, "parsed_ingredients").select(
+    return _with_options(spark, sf_dir, _named_lines(spark, sf_dir).distinct()).drop("name")
+
+
+def line_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rid, lines: the rows of ``basket_lines`` by basket, as structs with the name. Lines are moved once, by basket."""
+    lines = _with_options(spark, sf_dir, _named_lines(spark, sf_dir))
+    return lines.groupBy("rid").agg(F.collect_set(F.struct("line_no", "name", "options", "optional")).alias("lines"))
+
+
+def item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rid, id, n: the distinct items of each basket, and how many there are. They are moved once, by basket."""
+    lines = _with_options(spark, sf_dir, _named_lines(spark, sf_dir)).select("rid", F.explode("options").alias("id"))
+    sets = lines.groupBy("rid").agg(F.collect_set("id").alias("ids"))
+    return sets.select("rid", F.explode("ids").alias("id"), F.size("ids").cast("long").alias("n"))
+
+
+def _named_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "parsed_ingredients").select(
         F.col("recipe_id").alias("rid"), "line_no", clean_item(F.col("canonical")).alias("name"), F.coalesce(F.col("raw").contains("(optional)"), F.lit(False)).alias("optional")
-    ).distinct()
+    )
+
+
+def _with_options(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     ids = dimension(spark, sf_dir).select("name", "id")
     read = F.col("id").isNotNull()
     options = F.when(read, F.array("id")).otherwise(F.array().cast("array<string>"))
-    return lines.join(F.broadcast(ids), "name", "left").select("rid", "line_no", options.alias("options"), "optional", read.alias("read"))
+    return lines.join(F.broadcast(ids), "name", "left").select("rid", "line_no", "name", options.alias("options"), "optional", read.alias("read"))
 
 
 def worth_keeping(lines: DataFrame, staples: DataFrame) -> DataFrame:
@@ -75,14 +95,14 @@ def sized(items: DataFrame) -> DataFrame:
 def candidate_pool(queries: DataFrame, items: DataFrame, cap: int) -> DataFrame:
     """qid, rid, matched, missing, rank: per query the first ``cap`` baskets by coverage, fewest missing, id.
 
-    ``items`` holds rid, id (distinct). A cap below zero is an error, zero gives nothing. The baskets are searched block by
+    ``items`` holds rid, id (distinct), and n if it has been counted. A cap below zero is an error, zero gives nothing. The baskets are searched block by
     block, and each block gives its own first ``cap``.
     """
     from wicker.operators import blocks
 
     if cap < 0:
         raise ValueError("cap must not be negative")
-    found = blocks.pools(queries, sized(items), cap)
+    found = blocks.pools(queries, items if "n" in items.columns else sized(items), cap)
     scored = found.withColumn("missing", F.col("n") - F.col("matched"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.col("matched") / F.col("n")), "missing", "rid")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select("qid", "rid", "matched", "missing", "rank")

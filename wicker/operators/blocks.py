@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from wicker.session import written
 BASKETS = 262_144
 QUERIES = 262_144
 GIVEN = 2_000_000
+#: Packed baskets that travel together, compressed.
+BUNDLED = 50_000
 #: A query block is not cut smaller than this for the sake of parallel work.
 LEAST_QUERIES = 256
 #: Parts, a power of two, in which the weight that a score needs is counted.
@@ -132,6 +135,8 @@ class Block:
         self.item_rank = np.argsort(pc.sort_indices(self.items).to_numpy())
         self.whole = False  # whether it has all baskets
         self.orders: dict[int, list] = {}
+        self.planes: dict[int, list[np.ndarray]] = {}  # by missing lines, the bits of how many a basket then satisfies
+        self.closed: dict[tuple[int, int], np.ndarray] = {}
         self.named: list[bytes] = []  # the rids, once they are asked for
         self.has = np.zeros(len(self.items) + 1, bool)
         if not self.plain:
@@ -163,6 +168,17 @@ class Block:
             self.kept[code] = out
         return out
 
+    def needed(self, missing: int, levels: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The lowest ``levels`` bits of how many lines each basket satisfies if it lacks ``missing``, and the baskets for which that
+        is nothing or takes more bits."""
+        if missing not in self.planes:
+            have = np.maximum(self.total - missing, 0)
+            self.planes[missing] = [np.packbits(have >> k & 1 == 1, bitorder="little").view(np.uint64) for k in range(int(have.max(initial=0)).bit_length())]
+        if (missing, levels) not in self.closed:
+            have = self.total - missing
+            self.closed[missing, levels] = np.packbits((have <= 0) | (have >> levels > 0), bitorder="little").view(np.uint64)
+        return self.planes[missing][:levels], self.closed[missing, levels]
+
     def covering(self, most: int) -> list[tuple[int, int, int]]:
         """Index of a size, its number of lines and how many (not all) are satisfied, the best covered first, then the fewest
         missing."""
@@ -180,6 +196,13 @@ class Block:
         return int(a + np.searchsorted(self.rids[a:b], rid))
 
 
+def _places(words: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """The places of the bits that are set, those of the first ``limit`` words with any."""
+    some = np.flatnonzero(words)[:limit]
+    at = np.flatnonzero(np.unpackbits(words[some].view(np.uint8), bitorder="little").view(bool))
+    return some[at >> 6] * 64 + (at & 63)
+
+
 class Hits:
     """The baskets of a block by how many of their lines a query satisfies."""
 
@@ -200,6 +223,17 @@ class Hits:
         self.bits = added([level])
         self.unset = [~b for b in self.bits]
 
+    def highest(self) -> int:
+        """The most lines that a basket has satisfied."""
+        if self.have is not None:
+            return self.most
+        most, among = 0, None
+        for k in reversed(range(len(self.bits))):
+            on = self.bits[k] if among is None else among & self.bits[k]
+            if on.any():
+                most, among = most + (1 << k), on
+        return most
+
     def _equal(self, have: int, a: int, b: int) -> np.ndarray:
         out = None
         for k, (on, off) in enumerate(zip(self.bits, self.unset)):
@@ -217,10 +251,7 @@ class Hits:
             return np.zeros(0, np.int64)
         if self.have is not None:
             return (np.flatnonzero(self.have[a * 64 : b * 64] == have) + a * 64)[:limit]
-        words = self._equal(have, a, b)
-        some = np.flatnonzero(words)[:limit]
-        row, bit = np.nonzero(np.unpackbits(words[some].view(np.uint8), bitorder="little").reshape(-1, 64))
-        return ((some[row] + a) * 64 + bit)[:limit]
+        return _places(self._equal(have, a, b), limit)[:limit] + a * 64
 
     def number(self, have: int, size: int | None = None, end: int | None = None) -> int:
         """How many baskets ``places`` has, those before the place ``end`` if given."""
@@ -240,12 +271,26 @@ class Hits:
         a, b = (0, self.block.n // 64) if size is None else self.block.words[size : size + 2].tolist()
         return int(np.bitwise_count(self._equal(have, a, b)).sum())
 
+    def _lacking(self, missing: int) -> np.ndarray:
+        """Those of ``lacking`` as bits: where no bit of what is satisfied differs from what has to be."""
+        planes, differ = self.block.needed(missing, len(self.bits))
+        differ, own = differ.copy(), np.empty_like(differ)
+        for bits, plane in zip(self.bits, planes):
+            np.bitwise_or(differ, np.bitwise_xor(bits, plane, out=own), out=differ)
+        for bits in self.bits[len(planes) :]:
+            np.bitwise_or(differ, bits, out=differ)
+        return np.bitwise_not(differ, out=differ)
+
     def lacking(self, missing: int) -> np.ndarray:
         """Baskets with something satisfied that lack so many lines, in order."""
+        if self.have is None:
+            return _places(self._lacking(missing))
         found = [self.places(int(t) - missing, s) for s, t in enumerate(self.block.sizes) if 0 < t - missing <= self.most]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def number_lacking(self, missing: int) -> int:
+        if self.have is None:
+            return int(np.bitwise_count(self._lacking(missing)).sum())
         return sum(self.number(int(t) - missing, s) for s, t in enumerate(self.block.sizes) if 0 < t - missing <= self.most)
 
     def _open(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,11 +306,11 @@ class Hits:
         b = self.block
         if self.have is not None:
             num = self.sum[at]
-        elif len(at):
-            rows, held = self._open(at)
-            num = np.add.reduceat(np.where(held, b.weight[b.code[rows]], 0.0), np.cumsum(b.size[at]) - b.size[at])
         else:
-            num = np.zeros(0)
+            num, byte, bit = np.zeros(len(at)), at >> 3, (at & 7).astype(np.uint8)
+            for c in self.held if len(at) else []:
+                for bits in b.layers(c):
+                    num += b.weight[c] * (bits.view(np.uint8)[byte] >> bit & 1)
         root = b.root[at]
         return rounded(np.where(root > 0, num / np.where(root > 0, root, 1.0), 0.0))
 
@@ -359,21 +404,97 @@ def _packed(rows: DataFrame) -> DataFrame:
     return packed.select("rid", "total", "den", number.alias("line"), part("id").alias("id"), part("w").alias("w"), plain.alias("plain"))
 
 
+def weighed(baskets: DataFrame, idf: pa.Table) -> DataFrame:
+    """Packed baskets, of rid, total, line and id (arrays, one place an option, null for an unread line): the weight of a line is
+    its best option's, and ``idf`` (id, idf) goes to every task."""
+    shared = baskets.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, value = shared.value.column("id").combine_chunks(), np.append(numbers(shared.value, "idf"), 0.0)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            cut, line = edges(table, "id"), numbers(table, "line").astype(np.int64)
+            owner = np.repeat(np.arange(table.num_rows), np.diff(cut))
+            code = pc.index_in(table.column("id").combine_chunks().flatten(), names, skip_nulls=True)
+            w = value[pc.fill_null(code, -1).to_numpy(zero_copy_only=False)]
+            order = np.lexsort([line, owner])
+            new = np.append(True, (np.diff(owner[order]) != 0) | (np.diff(line[order]) != 0))[: len(order)]
+            begin = np.flatnonzero(new)
+            of, best = np.cumsum(new) - 1, np.maximum.reduceat(w[order], begin) if len(order) else w
+            share = np.empty_like(w)
+            w[order], share[order] = best[of], (best / np.diff(np.append(begin, len(order))))[of]
+            den = np.bincount(owner, weights=share, minlength=table.num_rows)
+            lines = np.bincount(owner[order][begin], minlength=table.num_rows)
+            columns = [table.column(c).combine_chunks() for c in ("rid", "total")] + [pa.array(den), table.column("line").combine_chunks(), table.column("id").combine_chunks()]
+            columns += [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(w)), pa.array(lines == np.diff(cut))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "total", "den", "line", "id", "w", "plain"])
+
+    return baskets.mapInArrow(run, "rid string, total long, den double, line array<long>, id array<string>, w array<double>, plain boolean")
+
+
+def _bundle(baskets: pa.Table) -> bytes:
+    """Packed baskets compressed, each item and weight once: every block of queries gets its own copy of them."""
+    for c in ("id", "w"):
+        lists = baskets.column(c).combine_chunks()
+        coded = pa.ListArray.from_arrays(pa.array(edges(baskets, c), pa.int32()), lists.flatten().dictionary_encode())
+        baskets = baskets.set_column(baskets.schema.get_field_index(c), c, coded)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, baskets.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(baskets)
+    return sink.getvalue().to_pybytes()
+
+
+def _unbundled(bundles: list[bytes]) -> pa.Table:
+    parts = []
+    for bundle in bundles:
+        part = pa.ipc.open_stream(bundle).read_all()
+        for c in ("id", "w"):
+            lists = part.column(c).combine_chunks()
+            part = part.set_column(part.schema.get_field_index(c), c, pa.ListArray.from_arrays(lists.offsets, lists.values.dictionary_decode()))
+        parts.append(part)
+    return pa.concat_tables(parts)
+
+
+def _bundled(packed: DataFrame) -> DataFrame:
+    """_b, bundle: the packed baskets of each block, in as few rows as may be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list[pa.Table]] = defaultdict(list)
+
+        def row(b: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([_bundle(pa.concat_tables(waiting.pop(b)))], pa.binary())], names=["_b", "bundle"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for b in pc.unique(table.column("_b")).to_pylist():
+                waiting[b].append(table.filter(pc.equal(table.column("_b"), b)).drop_columns(["_b"]))
+                if sum(part.num_rows for part in waiting[b]) >= BUNDLED:
+                    yield row(b)
+        for b in list(waiting):
+            yield row(b)
+
+    return packed.mapInArrow(run, "_b long, bundle binary")
+
+
 class Packed:
     """Baskets packed and written once, for several searches. Their blocks are ranges of rid, so that ties by rid go to the
     first blocks."""
 
-    def __init__(self, rows: DataFrame):
-        self.table = written(_packed(rows))
+    def __init__(self, packed: DataFrame):
+        self.table = written(packed)
         self.n = self.table.count()
         self.begin: list[str] = []
         if (blocks := -(-self.n // BASKETS)) > 1:
-            placed = self.table.select("rid").repartitionByRange(blocks, "rid").withColumn("p", F.spark_partition_id())
+            placed = self.table.select("rid").where("rid is not null").repartitionByRange(blocks, "rid").withColumn("p", F.spark_partition_id())
             self.begin = sorted(r["rid"] for r in placed.groupBy("p").agg(F.min("rid").alias("rid")).collect())[1:]
         self.blocks = len(self.begin) + 1
 
     def block(self) -> Column:
-        return sum(((F.col("rid") >= F.lit(x)).cast("int") for x in self.begin), F.lit(0))
+        return F.coalesce(sum(((F.col("rid") >= F.lit(x)).cast("int") for x in self.begin), F.lit(0)), F.lit(0))
+
+    def rows(self) -> DataFrame:
+        """rid, line_no, id, w, total, den, as they were packed."""
+        return self.table.select("rid", "total", "den", F.inline(F.arrays_zip("line", "id", "w"))).select("rid", F.col("line").alias("line_no"), "id", "w", "total", "den")
 
 
 def search(queries: DataFrame, rows: DataFrame | Packed, pick: Callable[[Block, Hits, tuple], tuple], schema: str, given: int = 30, given_in_parts: int = 0) -> DataFrame:
@@ -385,10 +506,8 @@ def search(queries: DataFrame, rows: DataFrame | Packed, pick: Callable[[Block,
     """
     spark = queries.sparkSession
     n_queries = queries.count()
-    if isinstance(rows, Packed):
-        packed, basket_blocks = rows.table, rows.blocks
-    else:
-        packed, basket_blocks = _packed(rows), max(1, -(-rows.select("rid").distinct().count() // BASKETS))
+    rows = rows if isinstance(rows, Packed) else Packed(_packed(rows))
+    basket_blocks = rows.blocks
     wanted = -(-spark.sparkContext.defaultParallelism // basket_blocks)
     given = max(given, given_in_parts) if basket_blocks > 1 else given
     query_blocks = max(1, -(-n_queries // QUERIES), -(-n_queries * given // GIVEN), min(wanted, -(-n_queries // LEAST_QUERIES)))
@@ -396,10 +515,10 @@ def search(queries: DataFrame, rows: DataFrame | Packed, pick: Callable[[Block,
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     right = queries.withColumn("_q", block("qid", query_blocks)).withColumn("_b", every(basket_blocks))
-    left = packed.withColumn("_b", rows.block() if isinstance(rows, Packed) else block("rid", basket_blocks)).withColumn("_q", every(query_blocks))
+    left = _bundled(rows.table.withColumn("_b", rows.block().cast("long"))).withColumn("_q", every(query_blocks))
     group = F.col("_q") * basket_blocks + F.col("_b")
     right = right.select(groups.key(group), *queries.columns)
-    left = left.select(groups.key(group), "_b", *packed.columns)
+    left = left.select(groups.key(group), "_b", "bundle")
     names, kinds = zip(*(part.split() for part in schema.split(", ")))
     rest_columns = [c for c in queries.columns if c not in ("qid", "ids")]
 
@@ -408,7 +527,7 @@ def search(queries: DataFrame, rows: DataFrame | Packed, pick: Callable[[Block,
         out: list[list[np.ndarray]] = [[] for _ in names]
         made = None
         if baskets.num_rows and asked.num_rows:
-            made = Block(baskets)
+            made = Block(_unbundled(baskets.column("bundle").to_pylist()))
             made.whole, made.number = basket_blocks == 1, int(baskets.column("_b")[0].as_py())
             named = pa.array(made.rids, pa.string())
             more = [asked.column(c).to_pylist() for c in rest_columns]
@@ -456,7 +575,7 @@ def _joined(parts: list[tuple], columns: int) -> tuple:
     return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * columns
 
 
-def within(held: DataFrame, need: DataFrame, missing: int, k: int | None = None) -> DataFrame:
+def within(held: DataFrame, need: DataFrame | Packed, missing: int, k: int | None = None) -> DataFrame:
     """qid, rid, have, total, missing, score of every basket that lacks at most so many lines; with ``k``, a superset of the
     first k by score, fewest lines and rid of each number of missing lines, those of each block."""
 
@@ -474,7 +593,7 @@ def within(held: DataFrame, need: DataFrame, missing: int, k: int | None = None)
     return search(as_queries(held), need, pick, _SCORED, 2_000 if k is None else (missing + 1) * k)
 
 
-def counts_within(held: DataFrame, need: DataFrame, missing: int) -> DataFrame:
+def counts_within(held: DataFrame, need: DataFrame | Packed, missing: int) -> DataFrame:
     """qid, missing, n: how many baskets of each block lack so many lines, up to ``missing``; none where there are none."""
 
     def pick(block: Block, hits: Hits, _: tuple) -> tuple:
@@ -485,7 +604,7 @@ def counts_within(held: DataFrame, need: DataFrame, missing: int) -> DataFrame:
     return search(as_queries(held), need, pick, "missing long, n long")
 
 
-def open_counts(held: DataFrame, need: DataFrame, missing: int, top: int) -> DataFrame:
+def open_counts(held: DataFrame, need: DataFrame | Packed, missing: int, top: int) -> DataFrame:
     """qid, id, n: the options of unsatisfied lines of the baskets that lack exactly so many lines, counted by block; where one
     block has all baskets, only the first ``top`` by number and id."""
 
@@ -499,12 +618,12 @@ def open_counts(held: DataFrame, need: DataFrame, missing: int, top: int) -> Dat
     return search(as_queries(held), need, pick, "id string, n long", top, 200)
 
 
-def best(held: DataFrame, need: DataFrame, arm: str, k: int) -> DataFrame:
+def best(held: DataFrame, need: DataFrame | Packed, arm: str, k: int) -> DataFrame:
     """qid, rid, have, total, missing, score: a superset of the first k of an arm, the first k of each block."""
 
     def overlap(block: Block, hits: Hits, _: tuple) -> tuple:
         parts, left = [], k
-        for have in range(hits.most, 0, -1):
+        for have in range(hits.highest(), 0, -1):
             if left <= 0:
                 break
             at = hits.places(have, limit=left)
@@ -551,7 +670,7 @@ def _item_rows(items: DataFrame) -> DataFrame:
 
 def packed_items(items: DataFrame) -> Packed:
     """``items`` as for ``pools``, for several searches."""
-    return Packed(_item_rows(items))
+    return Packed(_packed(_item_rows(items)))
 
 
 def _first_pooled(block: Block, hits: Hits, cap: int, cut: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -689,7 +808,7 @@ def pool_ranks(queries: DataFrame, items: DataFrame | Packed, own: DataFrame) ->
     return search(asked, items if isinstance(items, Packed) else _item_rows(items), pick, "before long").groupBy("qid").agg((F.sum("before") + 1).alias("rank"))
 
 
-def makeable(held: DataFrame, need: DataFrame) -> DataFrame:
+def makeable(held: DataFrame, need: DataFrame | Packed) -> DataFrame:
     """qid, complete, touched: baskets that lack nothing, and all that share something with the query, counted by block."""
 
     def pick(block: Block, hits: Hits, _: tuple) -> tuple:
@@ -698,8 +817,9 @@ def makeable(held: DataFrame, need: DataFrame) -> DataFrame:
     return search(as_queries(held), need, pick, "complete long, touched long").groupBy("qid").agg(F.sum("complete").alias("complete"), F.sum("touched").alias("touched"))
 
 
-def _own(held: DataFrame, need: DataFrame, gold: DataFrame) -> DataFrame:
+def _own(held: DataFrame, need: DataFrame | Packed, gold: DataFrame) -> DataFrame:
     """qid, g_rid, g_have, g_total, g_score of the gold basket of each query that shares something with it."""
+    need = need.rows() if isinstance(need, Packed) else need
     own = gold.join(need, "rid").join(held, ["qid", "id"]).select("qid", "rid", "line_no", "w", "total", "den").distinct()
     own = own.groupBy("qid", "rid", "line_no").agg(F.max("w").alias("w"), F.max("total").alias("total"), F.max("den").alias("den"))
     own = own.groupBy("qid", "rid").agg(F.count(F.lit(1)).alias("g_have"), F.sum("w").alias("num"), F.max("total").alias("g_total"), F.max("den").alias("den"))
@@ -707,7 +827,7 @@ def _own(held: DataFrame, need: DataFrame, gold: DataFrame) -> DataFrame:
     return own.select("qid", F.col("rid").alias("g_rid"), "g_have", "g_total", F.round(score, 6).alias("g_score"))
 
 
-def shown_before(held: DataFrame, need: DataFrame, gold: DataFrame, missing: int) -> DataFrame:
+def shown_before(held: DataFrame, need: DataFrame | Packed, gold: DataFrame, missing: int) -> DataFrame:
     """qid, before: for gold baskets that lack at most so many lines, the baskets before them among those that lack as many, by
     score, fewest lines and rid, counted by block."""
     own = _own(held, need, gold).where(F.col("g_total") - F.col("g_have") <= missing)
@@ -721,7 +841,7 @@ def shown_before(held: DataFrame, need: DataFrame, gold: DataFrame, missing: int
     return search(as_queries(held).join(own, "qid"), need, pick, "before long").groupBy("qid").agg(F.sum("before").alias("before"))
 
 
-def gold_ranks(held: DataFrame, need: DataFrame, gold: DataFrame) -> DataFrame:
+def gold_ranks(held: DataFrame, need: DataFrame | Packed, gold: DataFrame) -> DataFrame:
     """qid, rank_overlap, rank_idf_flat of the gold basket of each query: one more than the baskets before it; null for a gold
     basket that shares nothing with its query. ``gold`` holds qid, rid.
 
