@@ -387,3 +387,23 @@ def test_lacking_baskets_are_told_from_all_at_once():
             at = hits.lacking(m)
             assert set(block.rids[at]) == expected and hits.number_lacking(m) == len(expected) == len(at) and (at[1:] > at[:-1]).all()
             assert [round(x * len(p), 6) for x, p in zip(hits.scores(at), at[:, None])] == [have[int(block.rids[p][1:])] for p in at]
+
+
+def test_names_go_to_every_task_instead_of_rows_to_names(spark, write):
+    """Pairs are moved by key and by row, never to meet the totals, shares or numbers of their names."""
+    from wicker.plans import graph_queries
+
+    rnd = random.Random(25)
+    recipes = [rnd.sample([f"i{k:02}" for k in range(40)], 4) for _ in range(120)]
+    d = write("recipes", [(f"r{k}", r) for k, r in enumerate(recipes)], "recipe_id string, canonical array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = graph_queries._pairs(spark, d)
+        assert "parquet" in plan(pairs)
+        values = substitution.sppmi(pairs)
+        assert "SortMergeJoin" not in plan(values) and "BroadcastHashJoin" in plan(values)
+        got = {x[:3]: x[3] for x in rows(graph_queries._graph(spark, d))}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    expected = {(a, r, b): s for a, r, b, s in brute_neighbors(recipes, 5)}
+    assert got.keys() == expected.keys() and all(abs(got[x] - expected[x]) < 1.1e-6 for x in got)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wicker.operators.blocks import Groups, edges, first, numbers, spans
-from wicker.session import ensure_checkpoint_dir, written
+from wicker.session import SENT_ROWS, bounded, ensure_checkpoint_dir, written
 
 
 def cooccurrence(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def cooccurrence(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     Lists are cut to the vocabulary before pairs are made inside the row, so nothing is joined per pair.
     """
-    kept = records.select("key", F.explode("items").alias("item")).join(vocabulary, "item", "left_semi")
+    kept = records.select("key", F.explode("items").alias("item")).join(bounded(vocabulary), "item", "left_semi")
     lists = kept.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("l"))
     first = lists.select("l", F.posexplode("l").alias("p", "i"))
     return first.select("i", F.explode(F.expr("slice(l, p + 2, size(l))")).alias("j")).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
@@ -32,7 +32,7 @@ def sppmi(pairs: DataFrame, shift: float = 1.0) -> DataFrame:
     if shift < 1:
         raise ValueError("shift must be at least 1")
     both = mirrored(pairs)
-    rows = both.groupBy("i").agg(F.sum("n").alias("r"))
+    rows = bounded(both.groupBy("i").agg(F.sum("n").alias("r")))
     total = rows.agg(F.sum("r").alias("t"))
     joined = both.join(rows, "i").join(rows.select(F.col("i").alias("j"), F.col("r").alias("rj")), "j").crossJoin(F.broadcast(total))
     value = F.log(F.col("n") * F.col("t") / (F.col("r") * F.col("rj"))) - F.log(F.lit(float(shift)))
@@ -67,15 +67,17 @@ def graph_neighbors(unit: DataFrame, pairs: DataFrame, k: int, beta: float = 100
     names = numbered(unit.select(F.col("i").alias("item")).unionByName(unit.select(F.col("j").alias("item"))))
     n = names.count()
     b_blocks = max(1, -(-n // HELD_ROWS))
-    a_blocks = max(1, -(-n // SCORED_ROWS), min(-(-2 * spark.sparkContext.defaultParallelism // b_blocks), -(-n // 64)))
+    a_blocks = max(1, -(-n // SCORED_ROWS), min(-(-spark.sparkContext.defaultParallelism // b_blocks), -(-n // 64)))
+    names = F.broadcast(names) if n <= SENT_ROWS else names
     named = lambda c: names.select(F.col("item").alias(c), F.col("id").alias(f"{c}_id"))
-    # both lists of a row are gathered at one exchange on its name: its values and its companions with their shares
+    # both lists of a row are gathered at one exchange on its number: its values and its companions with their shares
     both = mirrored(pairs)
-    share = both.select("i", "j", F.lit(None).cast("double").alias("v"), (F.col("n") / F.max("n").over(Window.partitionBy("i"))).alias("c"))
-    entries = unit.select("i", "j", "v", F.lit(None).cast("double").alias("c")).unionByName(share).join(named("j"), "j")
+    most = bounded(both.groupBy("i").agg(F.max("n").alias("most")))
+    share = both.join(most, "i").select("i", "j", F.lit(None).cast("double").alias("v"), (F.col("n") / F.col("most")).alias("c"))
+    entries = unit.select("i", "j", "v", F.lit(None).cast("double").alias("c")).unionByName(share).join(named("j"), "j").join(named("i"), "i").select("i_id", "j_id", "v", "c")
     values = F.collect_list(F.when(F.col("v").isNotNull(), F.struct("j_id", "v")))
     shares = F.collect_list(F.when(F.col("c").isNotNull(), F.struct("j_id", "c")))
-    lists = entries.groupBy("i").agg(values.alias("l"), shares.alias("m")).join(named("i"), "i").where(F.size("l") > 0)
+    lists = entries.groupBy("i_id").agg(values.alias("l"), shares.alias("m")).where(F.size("l") > 0).join(named("i"), "i_id")
     column = lambda of, part: F.transform(of, lambda x: x[part])
     whole = written(lists.select(F.col("i").alias("name"), F.col("i_id").alias("id"), column("l", "j_id").alias("at"), column("l", "v").alias("v"), column("m", "j_id").alias("near"), column("m", "c").alias("c")))
     groups = Groups(spark, a_blocks * b_blocks)

@@ -11,7 +11,7 @@ from wicker.functions.text import parse_unit
 from wicker.operators import basket, evaluation, learning, nutrition, ranking, substitution
 from wicker.operators.unit_convert import unit_rows
 from wicker.plans.sqltext import clean, with_
-from wicker.session import ensure_checkpoint_dir, read_table, written
+from wicker.session import read_table, written
 
 #: Least number of baskets of a vocabulary item, whatever the number of baskets.
 LEAST_BASKETS = 2
@@ -26,8 +26,7 @@ def _vocabulary(spark, d):
 def _pairs(spark, d):
     """Pair counts over the vocabulary; written once, since several stages read them."""
     records, vocabulary = _vocabulary(spark, d)
-    ensure_checkpoint_dir(spark)
-    return substitution.cooccurrence(records, vocabulary).checkpoint()
+    return written(substitution.cooccurrence(records, vocabulary))
 
 
 def _sppmi(spark, d):
