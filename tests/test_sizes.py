@@ -407,3 +407,41 @@ def test_names_go_to_every_task_instead_of_rows_to_names(spark, write):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     expected = {(a, r, b): s for a, r, b, s in brute_neighbors(recipes, 5)}
     assert got.keys() == expected.keys() and all(abs(got[x] - expected[x]) < 1.1e-6 for x in got)
+
+
+def test_lines_are_gathered_as_numbers(spark, write):
+    """Repeated rows count once, unread lines by name; lines without a number and names with two entries stay apart."""
+    from wicker.operators import basket, blocks
+
+    ingredients = [("salt", "salt", "", "1"), ("a", "apple", "", "0"), ("b", "bean", "", "0"), ("c", "twice", "", "0"), ("d", "twice", "", "0")]
+    d = write("ingredients", ingredients, "id string, name string, synonyms string, staple string")
+    lines = [("r1", 0, "Apple"), ("r1", 0, "apple "), ("r1", 1, "bean"), ("r1", 1, "strange"), ("r1", 1, "odd"), ("r1", 2, "salt"), ("r2", 0, "salt"), ("r2", 1, None), ("r3", 3, "twice"), ("r3", -1, "bean"), ("r4", 0, "salt")]
+    d = write("parsed_ingredients", [(r, n, "raw", x) for r, n, x in lines], "recipe_id string, line_no int, raw string, canonical string")
+    known = basket.entries(spark, d)
+    codes = basket.line_codes(spark, d, known)
+    assert dict(codes.dtypes)["read"] == "array<bigint>"
+    counts = {r["id"]: r["df"] for r in blocks.counted_lines(codes, known).collect()}
+    assert counts == {"a": 1, "b": 2, "c": 1, "d": 1, "salt": 2, None: 3}
+    packed = blocks.weighed(codes, spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, idf double").toArrow(), known)
+    got = {r["rid"]: (r["total"], sorted(zip(r["line"], map(str, r["id"]))), r["plain"]) for r in packed.collect()}
+    assert got == {
+        "r1": (4, [(0, "a"), (1, "None"), (1, "None"), (1, "b")], False), "r2": (1, [(1, "None")], True), "r3": (3, [(-1, "b"), (3, "c"), (3, "d")], False),
+    }
+    assert {(r["rid"], r["id"], r["n"]) for r in basket.item_rows(spark, d).collect()} == {
+        (r, i, n) for r, ids in {"r1": ["a", "b", "salt"], "r2": ["salt"], "r3": ["b", "c", "d"], "r4": ["salt"]}.items() for i, n in zip(ids, [len(ids)] * 9)
+    }
+
+
+def test_tasks_merge_what_blocks_give(spark, write, small_blocks):
+    """No more rows leave the search than a query asked for, though there are several blocks."""
+    from wicker.operators import answer, basket, blocks
+
+    d, recipes, queries = tables(write, 26)
+    pack, held = answer.build_pack(spark, d), basket.pantries(spark, d)
+    assert pack.baskets.blocks > 2
+    most = Counter((r["qid"], r["missing"]) for r in blocks.within(held, pack.baskets, 2, 3).collect())
+    assert most and max(most.values()) == 3
+    for arm in ("overlap", "idf_flat", "shipped"):
+        assert max(Counter(r["qid"] for r in blocks.best(held, pack.baskets, arm, 4).collect()).values()) == 4
+    packed = blocks.Packed(blocks.gathered_items(spark, d))
+    assert max(Counter(r["qid"] for r in blocks.pools(held, packed, 6).collect()).values()) == 6

@@ -27,6 +27,8 @@ QUERIES = 262_144
 GIVEN = 2_000_000
 #: Packed baskets that travel together, compressed.
 BUNDLED = 50_000
+#: Blocks of baskets that one task searches one after the other, at most, where it merges what a query keeps of each.
+SPAN = 8
 #: A query block is not cut smaller than this for the sake of parallel work.
 LEAST_QUERIES = 256
 #: Parts, a power of two, in which the weight that a score needs is counted.
@@ -115,7 +117,8 @@ class Block:
         self.size, self.start = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
         self.size[place], self.start[place] = sizes, np.cumsum(sizes) - sizes
         owner = np.repeat(place, sizes)
-        ids = table.column("id").combine_chunks().flatten().dictionary_encode()
+        ids = table.column("id").combine_chunks().flatten()
+        ids = ids if pa.types.is_dictionary(ids.type) else ids.dictionary_encode()
         self.items = ids.dictionary
         self.code = pc.fill_null(ids.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
         weight, self.line_weight = numbers(table, "w"), None
@@ -156,7 +159,7 @@ class Block:
             again = np.concatenate([[False], at[1:] == at[:-1]])
             one = at[~again]
             bits = np.zeros(self.n // 64, np.uint64)
-            if len(one) * 16 > self.n:
+            if len(one) * 1024 > self.n:
                 flags = np.zeros(self.n, np.uint8)
                 flags[one] = 1
                 bits = np.packbits(flags, bitorder="little").view(np.uint64)
@@ -203,6 +206,13 @@ def _places(words: np.ndarray, limit: int | None = None) -> np.ndarray:
     return some[at >> 6] * 64 + (at & 63)
 
 
+def _any(bits: list[np.ndarray]) -> np.ndarray:
+    out = bits[0]
+    for k, on in enumerate(bits[1:]):
+        out = out | on if k == 0 else np.bitwise_or(out, on, out=out)
+    return out
+
+
 class Hits:
     """The baskets of a block by how many of their lines a query satisfies."""
 
@@ -221,7 +231,19 @@ class Hits:
         level = [bits for c in self.held for bits in block.layers(c)]
         self.most = len(level)
         self.bits = added([level])
-        self.unset = [~b for b in self.bits]
+        self._unset: list[np.ndarray] | None = None
+
+    @property
+    def unset(self) -> list[np.ndarray]:
+        if self._unset is None:
+            self._unset = [~b for b in self.bits]
+        return self._unset
+
+    def number_touched(self) -> int:
+        """How many baskets have something satisfied."""
+        if self.have is not None:
+            return int(np.count_nonzero(self.have))
+        return int(np.bitwise_count(_any(self.bits)).sum())
 
     def highest(self) -> int:
         """The most lines that a basket has satisfied."""
@@ -331,10 +353,7 @@ class Hits:
         if not posts:
             return np.zeros(0, np.int64), np.zeros(0)
         num = np.bincount(np.concatenate(posts), weights=np.repeat(b.weight[self.held], [len(x) for x in posts]), minlength=b.n)
-        any_ = self.bits[0].copy()
-        for bits in self.bits[1:]:
-            any_ |= bits
-        at = np.flatnonzero(np.unpackbits(any_.view(np.uint8), bitorder="little"))
+        at = _places(_any(self.bits))
         root = b.root[at]
         return at, rounded(np.where(root > 0, num[at] / np.where(root > 0, root, 1.0), 0.0))
 
@@ -404,15 +423,120 @@ def _packed(rows: DataFrame) -> DataFrame:
     return packed.select("rid", "total", "den", number.alias("line"), part("id").alias("id"), part("w").alias("w"), plain.alias("plain"))
 
 
-def weighed(baskets: DataFrame, idf: pa.Table) -> DataFrame:
-    """Packed baskets, of rid, total, line and id (arrays, one place an option, null for an unread line): the weight of a line is
-    its best option's, and ``idf`` (id, idf) goes to every task."""
-    shared = baskets.sparkSession.sparkContext.broadcast(idf)
+def _listed(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The row of each value of the lists, and the values."""
+    lists = lists.combine_chunks()
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), lists.flatten()
+
+
+def _lines(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number, place of the entry (-1 if unread) and whether it is optional, of each line of ``basket.line_codes``, once each."""
+    owner, read = _listed(table.column("read"))
+    read = read.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort([read, owner])
+    owner, read = owner[order], read[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (read[1:] != read[:-1]))[: len(order)]
+    owner, read = owner[new], read[new]
+    parts = [owner], [read >> 32], [(read >> 1) & (2**31 - 1)], [read & 1]
+    owner, rest = _listed(table.column("rest"))
+    if len(rest):
+        fields = rest.field("line"), pc.fill_null(rest.field("code"), -1), rest.field("optional").cast(pa.int64())
+        for part, add in zip(parts, (owner, *(x.to_numpy(zero_copy_only=False).astype(np.int64) for x in fields))):
+            part.append(add)
+        order = np.argsort(np.concatenate(parts[0]), kind="stable")
+        owner, line, code, optional = (np.concatenate(part)[order] for part in parts)
+        return owner, line, code, optional
+    return tuple(part[0] for part in parts)
+
+
+def _needed(table: pa.Table, known: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number and entry of each line (as of ``_lines``), and which of them are needed: not optional and no staple."""
+    owner, line, code, optional = _lines(table)
+    staple = np.append(known.column("staple").to_numpy(), False)
+    return owner, line, code, (optional == 0) & ~staple[code]
+
+
+def _distinct_ids(owner: np.ndarray, code: np.ndarray, known: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The distinct ids of each row: the row and the place in the ids, and the ids."""
+    ids = known.column("id").combine_chunks().dictionary_encode()
+    at = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    own, which = owner[code >= 0], at[code[code >= 0]]
+    both = np.unique(own * max(len(ids.dictionary), 1) + which)
+    return both // max(len(ids.dictionary), 1), both % max(len(ids.dictionary), 1), ids.dictionary
+
+
+def counted_lines(baskets: DataFrame, known: pa.Table) -> DataFrame:
+    """id, df: how many of the baskets (of ``basket.line_codes``) with a needed line name each item; the null id counts them all."""
+    shared = baskets.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = None, 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            owner, _, code, need = _needed(table, shared.value)
+            kept = np.zeros(table.num_rows, bool)
+            kept[owner[need]] = True
+            own, which, ids = _distinct_ids(owner, code, shared.value)
+            more = np.bincount(which[kept[own]], minlength=len(ids))
+            counts, n = more if counts is None else counts + more, n + int(kept.sum())
+        if counts is not None:
+            some = np.flatnonzero(counts)
+            names = pa.concat_arrays([ids.take(pa.array(some)), pa.array([None], pa.string())])
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.append(counts[some], n), pa.int64())], names=["id", "n"])
+
+    return baskets.mapInArrow(run, "id string, n long").groupBy("id").agg(F.sum("n").alias("df")).where("df > 0")
+
+
+_PACKED = "rid string, total long, den double, line array<long>, id array<string>, w array<double>, plain boolean"
+
+
+def gathered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct items of each basket, packed; they have no weight."""
+    from wicker.operators import basket
+
+    known = basket.entries(spark, sf_dir)
+    lines, shared = basket.line_codes(spark, sf_dir, known), spark.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, value = shared.value.column("id").combine_chunks(), np.append(numbers(shared.value, "idf"), 0.0)
         for batch in batches:
             table = pa.Table.from_batches([batch])
+            owner, _, code, _ = _lines(table)
+            own, which, ids = _distinct_ids(owner, code, shared.value)
+            n = np.bincount(own, minlength=table.num_rows)
+            some = np.flatnonzero(n)
+            cut = pa.array(np.append(0, np.cumsum(n[some])), pa.int32())
+            line = np.arange(len(own)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+            lists = [pa.ListArray.from_arrays(cut, x) for x in (pa.array(line, pa.int64()), ids.take(pa.array(which)), pa.array(np.zeros(len(own))))]
+            rid = table.column("rid").combine_chunks().take(pa.array(some))
+            columns = [rid, pa.array(n[some], pa.int64()), pa.array(np.zeros(len(some))), *lists, pa.array(np.ones(len(some), bool))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "total", "den", "line", "id", "w", "plain"])
+
+    return lines.mapInArrow(run, _PACKED)
+
+
+def item_rows_of(packed: DataFrame) -> DataFrame:
+    """rid, id, n of packed items."""
+    return packed.select("rid", F.explode("id").alias("id"), F.col("total").alias("n"))
+
+
+def weighed(baskets: DataFrame, idf: pa.Table, known: pa.Table) -> DataFrame:
+    """The needed lines of baskets (of ``basket.line_codes``), packed: a place an option, with a null id for an unread line. The weight
+    of a line is its best option's, and ``idf`` (id, idf) goes to every task."""
+    shared = baskets.sparkSession.sparkContext.broadcast((idf, known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, known = shared.value
+        names, value = idf.column("id").combine_chunks(), np.append(numbers(idf, "idf"), 0.0)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            owner, line, code, need = _needed(table, known)
+            owner, line, code = owner[need], line[need], code[need]
+            n = np.bincount(owner, minlength=table.num_rows)
+            some = np.flatnonzero(n)
+            cut = pa.array(np.append(0, np.cumsum(n[some])), pa.int32())
+            id_ = known.column("id").combine_chunks().take(pa.array(code, mask=code < 0))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(line, pa.int64())), pa.ListArray.from_arrays(cut, id_)]
+            table = pa.table([table.column("rid").combine_chunks().take(pa.array(some)), pa.array(n[some], pa.int64()), *lists], names=["rid", "total", "line", "id"])
             cut, line = edges(table, "id"), numbers(table, "line").astype(np.int64)
             owner = np.repeat(np.arange(table.num_rows), np.diff(cut))
             code = pc.index_in(table.column("id").combine_chunks().flatten(), names, skip_nulls=True)
@@ -429,7 +553,7 @@ def weighed(baskets: DataFrame, idf: pa.Table) -> DataFrame:
             columns += [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(w)), pa.array(lines == np.diff(cut))]
             yield pa.RecordBatch.from_arrays(columns, names=["rid", "total", "den", "line", "id", "w", "plain"])
 
-    return baskets.mapInArrow(run, "rid string, total long, den double, line array<long>, id array<string>, w array<double>, plain boolean")
+    return baskets.mapInArrow(run, _PACKED)
 
 
 def _bundle(baskets: pa.Table) -> bytes:
@@ -444,15 +568,17 @@ def _bundle(baskets: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unbundled(bundles: list[bytes]) -> pa.Table:
+def _unbundled(bundles: list[bytes], coded: bool = False) -> pa.Table:
+    """The baskets of all bundles; with ``coded``, ids as places in one dictionary."""
     parts = []
     for bundle in bundles:
         part = pa.ipc.open_stream(bundle).read_all()
-        for c in ("id", "w"):
+        for c in ("w",) if coded else ("id", "w"):
             lists = part.column(c).combine_chunks()
             part = part.set_column(part.schema.get_field_index(c), c, pa.ListArray.from_arrays(lists.offsets, lists.values.dictionary_decode()))
         parts.append(part)
-    return pa.concat_tables(parts)
+    whole = pa.concat_tables(parts)
+    return whole.unify_dictionaries() if coded else whole
 
 
 def _bundled(packed: DataFrame) -> DataFrame:
@@ -497,37 +623,43 @@ class Packed:
         return self.table.select("rid", "total", "den", F.inline(F.arrays_zip("line", "id", "w"))).select("rid", F.col("line").alias("line_no"), "id", "w", "total", "den")
 
 
-def search(queries: DataFrame, rows: DataFrame | Packed, pick: Callable[[Block, Hits, tuple], tuple], schema: str, given: int = 30, given_in_parts: int = 0) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame | Packed, pick: Callable[[Block, Hits, tuple], tuple], schema: str, given: int = 30, given_in_parts: int = 0, merge: Callable | None = None) -> DataFrame:
     """What ``pick`` gives for each query and block, as rows of ``schema`` with ``qid`` before them.
 
     ``queries`` holds qid, ids (an array) and further columns, given to ``pick`` as a tuple; ``rows`` holds rid, line_no, id,
     w, total, den, all rows of a basket (or has them packed). ``pick`` gives an array for each column of the schema, a rid as its place and an id
-    as its code, about ``given`` rows a query. Queries without items and empty tables give no rows.
+    as its code, about ``given`` rows a query. Queries without items and empty tables give no rows. With ``merge``, a task searches
+    several blocks, in the order of rid, and only the rows that it chooses (of the query's number and columns by name) are kept.
     """
     spark = queries.sparkSession
     n_queries = queries.count()
     rows = rows if isinstance(rows, Packed) else Packed(_packed(rows))
     basket_blocks = rows.blocks
-    wanted = -(-spark.sparkContext.defaultParallelism // basket_blocks)
+    span = SPAN if merge else 1
+    lanes = -(-basket_blocks // span)
+    wanted = -(-spark.sparkContext.defaultParallelism // lanes)
     given = max(given, given_in_parts) if basket_blocks > 1 else given
+    given *= 1 if lanes == basket_blocks else 2  # two blocks' rows are there while they are merged
     query_blocks = max(1, -(-n_queries // QUERIES), -(-n_queries * given // GIVEN), min(wanted, -(-n_queries // LEAST_QUERIES)))
-    groups = Groups(spark, basket_blocks * query_blocks)
+    groups = Groups(spark, lanes * query_blocks)
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    right = queries.withColumn("_q", block("qid", query_blocks)).withColumn("_b", every(basket_blocks))
+    right = queries.withColumn("_q", block("qid", query_blocks)).withColumn("_l", every(lanes))
     left = _bundled(rows.table.withColumn("_b", rows.block().cast("long"))).withColumn("_q", every(query_blocks))
-    group = F.col("_q") * basket_blocks + F.col("_b")
+    left = left.withColumn("_l", F.floor(F.col("_b") / span))
+    group = F.col("_q") * lanes + F.col("_l")
     right = right.select(groups.key(group), *queries.columns)
     left = left.select(groups.key(group), "_b", "bundle")
     names, kinds = zip(*(part.split() for part in schema.split(", ")))
     rest_columns = [c for c in queries.columns if c not in ("qid", "ids")]
 
-    def run(baskets: pa.Table, asked: pa.Table) -> pa.Table:
+    def one(baskets: pa.Table, asked: pa.Table) -> pa.Table:
+        """What one block gives, with the numbers of the queries."""
         who: list[np.ndarray] = []
         out: list[list[np.ndarray]] = [[] for _ in names]
         made = None
         if baskets.num_rows and asked.num_rows:
-            made = Block(_unbundled(baskets.column("bundle").to_pylist()))
+            made = Block(_unbundled(baskets.column("bundle").to_pylist(), True))
             made.whole, made.number = basket_blocks == 1, int(baskets.column("_b")[0].as_py())
             named = pa.array(made.rids, pa.string())
             more = [asked.column(c).to_pylist() for c in rest_columns]
@@ -543,7 +675,7 @@ def search(queries: DataFrame, rows: DataFrame | Packed, pick: Callable[[Block,
                 who.append(np.full(len(found[0]), q))
                 for kept, column in zip(out, found):
                     kept.append(column)
-        columns = {"qid": asked.column("qid").combine_chunks().take(pa.array(np.concatenate(who) if who else np.zeros(0, np.int64)))}
+        columns = {"_w": pa.array(np.concatenate(who) if who else np.zeros(0, np.int64))}
         for name, type_, kept in zip(names, kinds, out):
             values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
             if name == "rid":
@@ -554,13 +686,24 @@ def search(queries: DataFrame, rows: DataFrame | Packed, pick: Callable[[Block,
                 columns[name] = pa.array(values, pa.float64() if type_ == "double" else pa.int64())
         return pa.table(columns)
 
+    def run(baskets: pa.Table, asked: pa.Table) -> pa.Table:
+        found = None
+        for b in sorted(pc.unique(baskets.column("_b")).to_pylist()) or [None]:
+            more = one(baskets.filter(pc.equal(baskets.column("_b"), pa.scalar(b, pa.int64()))), asked)
+            if found is not None:
+                more = pa.concat_tables([found, more])
+                more = more.take(pa.array(merge(numbers(more, "_w"), {c: numbers(more, c) for c, type_ in zip(names, kinds) if type_ != "string"})))
+            found = more
+        qids = asked.column("qid").combine_chunks().take(found.column("_w").combine_chunks())
+        return found.drop_columns(["_w"]).add_column(0, "qid", qids)
+
     kind = queries.schema["qid"].dataType.simpleString()
     return groups.cogroup(left, right).applyInArrow(run, f"qid {kind}, {schema}")
 
 
 def as_queries(held: DataFrame) -> DataFrame:
-    """qid, ids of queries given as qid, id."""
-    return held.groupBy("qid").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    """qid, ids of queries given as qid, id; those given with ids stay as they are."""
+    return held if "ids" in held.columns else held.groupBy("qid").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
 _SCORED = "rid string, have long, total long, missing long, score double"
@@ -575,6 +718,25 @@ def _joined(parts: list[tuple], columns: int) -> tuple:
     return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * columns
 
 
+def _merged(k: int, *keys: Callable[[dict], np.ndarray], apart: str | None = None) -> Callable:
+    """Chooses the first k rows of each query, or of each query and value of ``apart``, by these keys, then in the order given."""
+
+    def choose(who: np.ndarray, columns: dict[str, np.ndarray]) -> np.ndarray:
+        part = columns[apart] if apart else np.zeros(len(who), np.int64)
+        order = np.lexsort([*(key(columns) for key in reversed(keys)), part, who])
+        who, part = who[order], part[order]
+        new = np.append(True, (who[1:] != who[:-1]) | (part[1:] != part[:-1]))[: len(order)]
+        begin = np.flatnonzero(new)
+        return order[np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order)))) < k]
+
+    return choose
+
+
+#: The orders of the arms, before rid.
+_SCORE, _TOTAL = lambda c: -c["score"], lambda c: c["total"]
+ORDERS = {"overlap": (lambda c: -c["have"], _TOTAL), "idf_flat": (_SCORE, _TOTAL), "shipped": (lambda c: c["missing"], _SCORE, _TOTAL)}
+
+
 def within(held: DataFrame, need: DataFrame | Packed, missing: int, k: int | None = None) -> DataFrame:
     """qid, rid, have, total, missing, score of every basket that lacks at most so many lines; with ``k``, a superset of the
     first k by score, fewest lines and rid of each number of missing lines, those of each block."""
@@ -590,7 +752,9 @@ def within(held: DataFrame, need: DataFrame | Packed, missing: int, k: int | Non
             parts.append(_scored(hits, at, block.total[at] - m, score))
         return _joined(parts, 5)
 
-    return search(as_queries(held), need, pick, _SCORED, 2_000 if k is None else (missing + 1) * k)
+    if k is None:
+        return search(as_queries(held), need, pick, _SCORED, 2_000)
+    return search(as_queries(held), need, pick, _SCORED, (missing + 1) * k, merge=_merged(k, _SCORE, _TOTAL, apart="missing"))
 
 
 def counts_within(held: DataFrame, need: DataFrame | Packed, missing: int) -> DataFrame:
@@ -601,7 +765,7 @@ def counts_within(held: DataFrame, need: DataFrame | Packed, missing: int) -> Da
         some = np.flatnonzero(n)
         return some, n[some]
 
-    return search(as_queries(held), need, pick, "missing long, n long")
+    return search(as_queries(held), need, pick, "missing long, n long", missing + 1)
 
 
 def open_counts(held: DataFrame, need: DataFrame | Packed, missing: int, top: int) -> DataFrame:
@@ -661,7 +825,7 @@ def best(held: DataFrame, need: DataFrame | Packed, arm: str, k: int) -> DataFra
     asked = as_queries(held)
     if arm == "random":
         return search(asked.withColumn("q", F.col("qid")), need, random, _SCORED, k)
-    return search(asked, need, {"overlap": overlap, "idf_flat": idf_flat, "shipped": shipped}[arm], _SCORED, k)
+    return search(asked, need, {"overlap": overlap, "idf_flat": idf_flat, "shipped": shipped}[arm], _SCORED, k, merge=_merged(k, *ORDERS[arm]))
 
 
 def _item_rows(items: DataFrame) -> DataFrame:
@@ -695,15 +859,15 @@ def _first_pooled(block: Block, hits: Hits, cap: int, cut: tuple | None = None)
     return _joined(parts, 3)
 
 
-def pools(queries: DataFrame, items: DataFrame, cap: int) -> DataFrame:
+def pools(queries: DataFrame, items: DataFrame | Packed, cap: int) -> DataFrame:
     """qid, rid, matched, n: a superset of the first ``cap`` baskets by coverage and fewest missing, those of each block.
 
-    ``items`` holds rid, id (distinct) and n, the number of items of the basket."""
+    ``items`` holds rid, id (distinct) and n, the number of items of the basket, or has them packed."""
 
     def pick(block: Block, hits: Hits, _: tuple) -> tuple:
         return _first_pooled(block, hits, cap)
 
-    return search(as_queries(queries), _item_rows(items), pick, "rid string, matched long, n long", cap)
+    return search(as_queries(queries), items if isinstance(items, Packed) else _item_rows(items), pick, "rid string, matched long, n long", cap, merge=_merged(cap, lambda c: -(c["matched"] / c["n"]), lambda c: c["n"] - c["matched"]))
 
 
 def _cuts(asked: DataFrame, baskets: Packed, cap: int) -> DataFrame:
@@ -805,22 +969,26 @@ def pool_ranks(queries: DataFrame, items: DataFrame | Packed, own: DataFrame) ->
         return (np.array([before]),)
 
     asked = as_queries(queries).join(own.select("qid", "g_rid", "g_matched", "g_n"), "qid")
-    return search(asked, items if isinstance(items, Packed) else _item_rows(items), pick, "before long").groupBy("qid").agg((F.sum("before") + 1).alias("rank"))
+    return search(asked, items if isinstance(items, Packed) else _item_rows(items), pick, "before long", 1).groupBy("qid").agg((F.sum("before") + 1).alias("rank"))
 
 
 def makeable(held: DataFrame, need: DataFrame | Packed) -> DataFrame:
     """qid, complete, touched: baskets that lack nothing, and all that share something with the query, counted by block."""
 
     def pick(block: Block, hits: Hits, _: tuple) -> tuple:
-        return np.array([hits.number_lacking(0)]), np.array([sum(hits.number(h) for h in range(1, hits.most + 1))])
+        return np.array([hits.number_lacking(0)]), np.array([hits.number_touched()])
 
-    return search(as_queries(held), need, pick, "complete long, touched long").groupBy("qid").agg(F.sum("complete").alias("complete"), F.sum("touched").alias("touched"))
+    return search(as_queries(held), need, pick, "complete long, touched long", 1).groupBy("qid").agg(F.sum("complete").alias("complete"), F.sum("touched").alias("touched"))
 
 
 def _own(held: DataFrame, need: DataFrame | Packed, gold: DataFrame) -> DataFrame:
     """qid, g_rid, g_have, g_total, g_score of the gold basket of each query that shares something with it."""
-    need = need.rows() if isinstance(need, Packed) else need
-    own = gold.join(need, "rid").join(held, ["qid", "id"]).select("qid", "rid", "line_no", "w", "total", "den").distinct()
+    if isinstance(need, Packed) and "ids" in held.columns:  # rows only of lines that are held
+        both = gold.join(need.table.drop("plain"), "rid").join(held, "qid")
+        line = F.filter(F.arrays_zip("line", "id", "w"), lambda x: F.array_contains("ids", x["id"]))
+        own = both.select("qid", "rid", "total", "den", F.inline(line)).withColumnRenamed("line", "line_no")
+    else:
+        own = gold.join(need.rows() if isinstance(need, Packed) else need, "rid").join(held, ["qid", "id"])
     own = own.groupBy("qid", "rid", "line_no").agg(F.max("w").alias("w"), F.max("total").alias("total"), F.max("den").alias("den"))
     own = own.groupBy("qid", "rid").agg(F.count(F.lit(1)).alias("g_have"), F.sum("w").alias("num"), F.max("total").alias("g_total"), F.max("den").alias("den"))
     score = F.when(F.col("den") > 0, F.col("num") / F.sqrt("den")).otherwise(0.0)
@@ -838,7 +1006,7 @@ def shown_before(held: DataFrame, need: DataFrame | Packed, gold: DataFrame, mis
         value = hits.scores(at)
         return (np.array([int(((value > score) | ((value == score) & (at < block.before(total, rid)))).sum())]),)
 
-    return search(as_queries(held).join(own, "qid"), need, pick, "before long").groupBy("qid").agg(F.sum("before").alias("before"))
+    return search(as_queries(held).join(own, "qid"), need, pick, "before long", 1).groupBy("qid").agg(F.sum("before").alias("before"))
 
 
 def gold_ranks(held: DataFrame, need: DataFrame | Packed, gold: DataFrame) -> DataFrame:
@@ -856,7 +1024,7 @@ def gold_ranks(held: DataFrame, need: DataFrame | Packed, gold: DataFrame) -> Da
         higher = int(((value > score) | ((value == score) & (at < place))).sum())
         return np.array([more]), np.array([higher])
 
-    counted = search(as_queries(held).join(_own(held, need, gold), "qid"), need, pick, "overlap long, idf_flat long").groupBy("qid").agg(
+    counted = search(as_queries(held).join(_own(held, need, gold), "qid"), need, pick, "overlap long, idf_flat long", 1).groupBy("qid").agg(
         (F.sum("overlap") + 1).alias("rank_overlap"), (F.sum("idf_flat") + 1).alias("rank_idf_flat")
     )
     return gold.select("qid").join(counted, "qid", "left")

@@ -12,8 +12,9 @@ from wicker.session import read_table
 
 
 def _held(spark, d):
+    """Pantries as they are (no basket needs a staple or an unknown item), and the pack."""
     pack = answer.build_pack(spark, d)
-    return answer.held_items(basket.pantry_queries(spark, d), pack), pack
+    return basket.pantries(spark, d), pack
 
 
 def _best(spark, d, arm, k=10):
@@ -47,19 +48,18 @@ def _keep(spark, d):
     return basket.worth_keeping(basket.basket_lines(spark, d), basket.dimension(spark, d).where("staple").select("id"))
 
 
-def _items(spark, d):
-    return basket.item_rows(spark, d)
+def _packed(spark, d):
+    return blocks.Packed(blocks.gathered_items(spark, d))
 
 
 def _pool(spark, d):
-    return basket.candidate_pool(basket.pantry_queries(spark, d), _items(spark, d), 25)
+    return basket.candidate_pool(basket.pantries(spark, d), _packed(spark, d), 25)
 
 
 def _overlap(spark, d):
-    pool = basket.candidate_pool(basket.pantry_queries(spark, d), _items(spark, d), 5)
-    held = basket.pantry_queries(spark, d).groupBy("qid").agg(F.collect_set("id").alias("held"))
-    own = _items(spark, d).groupBy("rid").agg(F.collect_set("id").alias("own"))
-    joined = pool.join(held, "qid").join(own, "rid")
+    baskets, held = _packed(spark, d), basket.pantries(spark, d)
+    pool = basket.candidate_pool(held, baskets, 5)
+    joined = pool.join(held.withColumnRenamed("ids", "held"), "qid").join(baskets.table.select("rid", F.col("id").alias("own")), "rid")
     return joined.select(
         "qid", "rank", "rid", F.round(F.col("matched") / F.size("own"), 6).alias("coverage"),
         F.array_join(F.array_sort(F.array_intersect("held", "own")), "|").alias("matched"),
@@ -145,7 +145,7 @@ def _lookup(spark, d):
 
 
 def _blocked(spark, d):
-    return answer.blockers(spark, d, basket.pantry_queries(spark, d))
+    return answer.blockers(spark, d, basket.pantries(spark, d))
 
 
 _TOP = "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY {o})::INT rank, rid FROM cand"
