@@ -445,3 +445,18 @@ def test_tasks_merge_what_blocks_give(spark, write, small_blocks):
         assert max(Counter(r["qid"] for r in blocks.best(held, pack.baskets, arm, 4).collect()).values()) == 4
     packed = blocks.Packed(blocks.gathered_items(spark, d))
     assert max(Counter(r["qid"] for r in blocks.pools(held, packed, 6).collect()).values()) == 6
+
+
+def test_places_are_counted_only_as_far_as_asked(spark, write, small_blocks):
+    from wicker.operators import blocks
+
+    d, recipes, queries = tables(write, 28)
+    packed = blocks.Packed(blocks.gathered_items(spark, d))
+    held = spark.createDataFrame([(q, sorted(set(ids))) for q, ids in queries.items()], "qid string, ids array<string>")
+    order = {q: pool for q, pool in covered(recipes, queries).items() if pool}
+    sizes = {r: len({n for n in ls if n != "unknown"}) for r, ls in recipes.items()}
+    own = [(q, *pool[k], sizes[pool[k][0]], k + 1) for q, pool in order.items() for k in [len(pool) // 2 % 9]]
+    asked = spark.createDataFrame([x[:4] for x in own], "qid string, g_rid string, g_matched long, g_n long")
+    every = {r["qid"]: r["rank"] for r in blocks.pool_ranks(held, packed, asked).collect()}
+    assert every == {x[0]: x[4] for x in own}
+    assert {r["qid"]: r["rank"] for r in blocks.pool_ranks(held, packed, asked, 4).collect()} == {q: k for q, k in every.items() if k <= 4}

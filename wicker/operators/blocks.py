@@ -949,8 +949,9 @@ def featured_pools(queries: DataFrame, baskets: Packed, cap: int, subs: DataFram
     return search(asked, baskets, pick, schema, 2 * cap)
 
 
-def pool_ranks(queries: DataFrame, items: DataFrame | Packed, own: DataFrame) -> DataFrame:
-    """qid, rank: the place of the gold basket of each query in an unbounded pool; each block counts the baskets before it.
+def pool_ranks(queries: DataFrame, items: DataFrame | Packed, own: DataFrame, upto: int | None = None) -> DataFrame:
+    """qid, rank: the place of the gold basket of each query in an unbounded pool; each block counts the baskets before it. With
+    ``upto``, of places up to it: a block that has so many baskets before the gold counts no further.
 
     ``items`` as for ``pools``; ``own`` holds qid, g_rid, g_matched (at least one) and g_n, one basket a query."""
 
@@ -959,7 +960,11 @@ def pool_ranks(queries: DataFrame, items: DataFrame | Packed, own: DataFrame) ->
         if matched == n:
             return (np.array([sum(hits.number(int(t), s, block.before(int(t), rid)) for s, t in enumerate(block.sizes) if t <= hits.most)]),)
         before = hits.number_lacking(0)
+        if upto is not None and before >= upto:
+            return (np.array([before]),)
         for s, t, have in block.covering(hits.most):
+            if upto is not None and before >= upto:
+                return (np.array([before]),)
             if (-(have / t), t - have) >= (-(matched / n), n - matched):
                 break
             before += hits.number(have, s)
@@ -969,7 +974,8 @@ def pool_ranks(queries: DataFrame, items: DataFrame | Packed, own: DataFrame) ->
         return (np.array([before]),)
 
     asked = as_queries(queries).join(own.select("qid", "g_rid", "g_matched", "g_n"), "qid")
-    return search(asked, items if isinstance(items, Packed) else _item_rows(items), pick, "before long", 1).groupBy("qid").agg((F.sum("before") + 1).alias("rank"))
+    ranks = search(asked, items if isinstance(items, Packed) else _item_rows(items), pick, "before long", 1).groupBy("qid").agg((F.sum("before") + 1).alias("rank"))
+    return ranks if upto is None else ranks.where(F.col("rank") <= upto)
 
 
 def makeable(held: DataFrame, need: DataFrame | Packed) -> DataFrame:
