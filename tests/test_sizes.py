@@ -460,3 +460,16 @@ def test_places_are_counted_only_as_far_as_asked(spark, write, small_blocks):
     every = {r["qid"]: r["rank"] for r in blocks.pool_ranks(held, packed, asked).collect()}
     assert every == {x[0]: x[4] for x in own}
     assert {r["qid"]: r["rank"] for r in blocks.pool_ranks(held, packed, asked, 4).collect()} == {q: k for q, k in every.items() if k <= 4}
+
+
+def test_without_blocked_queries_nothing_is_joined(spark, write, small_blocks):
+    d, _, _ = tables(write, 29)
+    read = lambda name, kept: spark.read.parquet(f"{d}/{name}.parquet").where(kept).collect()
+    lines = [r for r in read("parsed_ingredients", "recipe_id is not null")]
+    some = next(r["recipe_id"] for r in lines)
+    items = sorted({r["id"] for r in read("ingredients", "id is not null")})
+    schema = spark.read.parquet(f"{d}/eval_pantries.parquet").schema
+    row = {f.name: None for f in schema.fields} | {"gold_id": some, "draw": 0, "pantry": items}
+    write("eval_pantries", [tuple(row[f.name] for f in schema.fields)], schema)
+    df, got = run(spark, d, "answer_blockers")
+    assert not got and "Join" not in plan(df)

@@ -113,6 +113,8 @@ def blockers(spark: SparkSession, sf_dir: str, queries: DataFrame, top: int = 5)
     blocked = queries.join(reached, "qid", "left_anti")
     blocked = blocked.select("qid", F.explode("ids").alias("id")) if "ids" in queries.columns else blocked
     held = held_items(blocked, pack).checkpoint()  # of the blocked queries only
+    if held.isEmpty():
+        return spark.createDataFrame([], "qid string, rank int, id string, n long")
     found = scored(held, pack)
     gain = pack.need.where("id is not null").groupBy("rid", "id").agg(F.countDistinct("line_no").alias("gain"), F.first("total").alias("total"))
     alone = gain.where(F.col("total") - F.col("gain") <= MAX_MISSING)
